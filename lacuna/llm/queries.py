@@ -4,10 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, packing, quality
+from lacuna.llm import bpe, lang_id, license_scan, packing, quality, toxicity
 from lacuna.llm._text import documents
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text", "lang")
+    return lang_id.identify(docs, lang_id.fit(docs))
+
+
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir, "doc_id", "text")
+    return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -20,5 +34,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
+QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
 ORACLES = {"op7_quality_rules": quality.ORACLE}
