@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,6 +9,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
+from lacuna.operators.graph import cut  # noqa: F401
+
 #: Bytes of text that are turned into numpy arrays at a time; a longer single text is a block of its own.
 BLOCK_BYTES = 2 << 20
 
@@ -89,19 +90,6 @@ def ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
     return np.repeat(start - before, count) + np.arange(int(count.sum()))
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared checkpoint folder; sets a local one only where none is named (tests)."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-"))
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def documents(spark: SparkSession, sf_dir: str, *cols: str) -> DataFrame:
     df = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return df.select(*cols) if cols else df

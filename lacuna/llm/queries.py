@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, lang_id, license_scan, packing, quality, toxicity
+from lacuna.llm import bpe, lang_id, license_scan, minhash, packing, quality, toxicity
 from lacuna.llm._text import documents
 
 
@@ -13,6 +13,10 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.identify(docs, lang_id.fit(docs))
 
 
+def op2_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.components(documents(spark, sf_dir, "doc_id", "text"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
 
@@ -34,5 +38,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op3_license_scan, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
-ORACLES = {"op7_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash, op3_license_scan, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
+ORACLES = {"op2_minhash": minhash.ORACLE, "op7_quality_rules": quality.ORACLE}
