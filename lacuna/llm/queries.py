@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, lang_id, license_scan, minhash, packing, quality, toxicity
+from lacuna.llm import bpe, chat, embed_dedup, lang_id, license_scan, minhash, packing, quality, toxicity
 from lacuna.llm._text import documents
 
 
@@ -21,6 +21,14 @@ def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(documents(spark, sf_dir, "doc_id", "text"))
 
 
+def op4_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op5_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embed_dedup.components(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir, "doc_id", "text")
     return toxicity.score(docs, toxicity.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
@@ -38,5 +46,5 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash, op3_license_scan, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
-ORACLES = {"op2_minhash": minhash.ORACLE, "op7_quality_rules": quality.ORACLE}
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash, op3_license_scan, op4_chat_formatting, op5_embedding_dedup, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op10_byte_bpe)}
+ORACLES = {"op2_minhash": minhash.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_embedding_dedup": embed_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
