@@ -2,7 +2,7 @@
 
 1. Each task splits its texts into pre-tokens (the public pattern, vectorised over code points) and
    explodes them with their positions, in compact form: a block of texts becomes one row with the
-   rank of the word at each position and, for each hash bucket, one row with the block's distinct words.
+   number of the word at each position and, for each hash bucket, one row with the block's distinct words.
 2. The rows are shuffled by bucket. All blocks' copies of a word meet there and are encoded once.
 3. The ids go back to their block, which puts them in order by position, hashes them, and decodes
    them by the table of each token's bytes.
@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 
 from lacuna.llm._text import blocks, flat, ragged
 
-BLOCK = 6 << 20
+BLOCK = 10 << 20
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
 #: The contractions of the pattern; the letters after the apostrophe.
 CONTRACTIONS = [b"s", b"t", b"re", b"ve", b"m", b"ll", b"d"]
@@ -116,7 +116,7 @@ def pretokens(data: np.ndarray, off: np.ndarray) -> np.ndarray:
 
 
 def _planes(x: np.ndarray) -> bytes:
-    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype("<u4").view(np.uint8).reshape(-1, 4).T).tobytes(), 6)
 
 
 def _unplanes(b: bytes) -> np.ndarray:
@@ -142,18 +142,17 @@ def _explode(buckets: int):
                 edges = np.append(start, len(data)).astype(np.int32)
                 words = pa.Array.from_buffers(pa.binary(), len(start), [None, pa.py_buffer(edges), pa.py_buffer(data)]).dictionary_encode()
                 code, vocab = words.indices.to_numpy(zero_copy_only=False), words.dictionary.to_pylist()
-                order = np.argsort(-np.bincount(code, minlength=len(vocab)), kind="stable")
-                rank = np.empty(len(vocab), np.int64)
-                rank[order] = np.arange(len(vocab))
-                vocab = [vocab[i] for i in order]
+                # words are numbered as they come up; a word's first place is 0, any later one its number plus 1
+                later = np.ones(len(code), bool)
+                later[np.unique(code, return_index=True)[1]] = False
                 bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in vocab), np.int64, len(vocab))
                 per_doc = np.diff(np.searchsorted(start, off))
                 ids = part.column(0).to_numpy(zero_copy_only=False)
-                rows = [(block, 1, block % buckets, ids.tobytes(), _planes(per_doc), _planes(bucket), _planes(rank[code]))]
+                rows = [(block, 1, block % buckets, ids.tobytes(), _planes(per_doc), _planes(bucket), _planes(np.where(later, code + 1, 0)))]
                 by = np.argsort(bucket, kind="stable")
                 for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                     mine = [vocab[i] for i in own]
-                    rows.append((block, 0, int(bucket[own[0]]), _planes(np.array([len(w) for w in mine])), zstandard.compress(b"".join(mine), 3), None, None))
+                    rows.append((block, 0, int(bucket[own[0]]), _planes(np.array([len(w) for w in mine])), zstandard.compress(b"".join(mine), 6), None, None))
                 yield _rows(rows)
                 block += 1
 
@@ -197,16 +196,18 @@ def _assemble(path: str):
                     ids.append(_unplanes(b))
                     continue
                 doc_ids, per_doc = np.frombuffer(a, np.int64), _unplanes(b).astype(np.int64)
-                place = np.argsort(_unplanes(c), kind="stable")  # a word's bucket, by rank -> the words as they come back
+                place = np.argsort(_unplanes(c), kind="stable")  # each word's bucket -> the words as they come back
                 count = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64)
                 words = np.concatenate([*ids, np.zeros(0, np.uint32)])
                 first, size = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
                 first[place], size[place] = np.cumsum(count) - count, count
-                rank = _unplanes(d).astype(np.int64)
+                word = _unplanes(d).astype(np.int64)
+                new = word == 0
+                word = np.where(new, np.cumsum(new) - 1, word - 1)
                 edges = np.concatenate([[0], np.cumsum(per_doc)])
                 rows = []
                 for i in range(len(doc_ids)):
-                    mine = rank[edges[i] : edges[i + 1]]
+                    mine = word[edges[i] : edges[i + 1]]
                     got = words[ragged(first[mine], size[mine])]
                     text = token_bytes[ragged(token_off[got], token_off[got + np.uint32(1)] - token_off[got])]
                     rows.append((int(doc_ids[i]), len(got), hashlib.sha256(got.astype("<u4")).hexdigest(), hashlib.sha256(text).hexdigest()))
