@@ -263,7 +263,10 @@ def solve_problems(edges: DataFrame, candidates: DataFrame, config: SolverConfig
         head = dict(problem=key[0], status=status, conflict_factor=factor, tests=len(tests), coverable=coverable, covered=covered, lower_bound=bound)
         return rows.assign(**head)[[f.split()[0] for f in RESULT.split(", ")]].astype({"cand": "Int64", "x": "float64", "y": "float64"})
 
-    return edges.groupBy("problem").cogroup(candidates.groupBy("problem")).applyInPandas(run, RESULT)
+    # names anew, as both sides may come from one frame
+    e = edges.select(*[F.col(c).alias(c) for c in ("problem", "test", "cand")])
+    c = candidates.select(*[F.col(c).alias(c) for c in ("problem", "cand", "x", "y", "exclusion")])
+    return e.groupBy("problem").cogroup(c.groupBy("problem")).applyInPandas(run, RESULT)
 
 
 def place_sites(tests: DataFrame, candidates: DataFrame, max_radius: float, config: SolverConfig = SolverConfig()) -> DataFrame:
