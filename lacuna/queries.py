@@ -83,15 +83,24 @@ def filter_combinations(spark, sf):
     return coverage.combinations(src.points(spark, sf), 1000).select("min_depth", *coverage.REQUIRED, "combo_key", scalar.readable_combination("combo_key").alias("label"))
 
 
-def _covered_cells(spark, sf):
-    return coverage.cell_coverage(src.cells(spark, sf, H), src.points(spark, sf), H, "zone", "spacing", MAX_R)
+def _covered_cells(spark, sf, h=64.0):
+    return coverage.cell_coverage(src.cells(spark, sf, h), src.points(spark, sf), h, "zone", "spacing", MAX_R)
 
 
 CX = f"(cells.ix + CAST(0.5 AS DOUBLE)) * CAST({H} AS DOUBLE)"
 CY = f"(cells.iy + CAST(0.5 AS DOUBLE)) * CAST({H} AS DOUBLE)"
-COVERED = f"""{P}, {Z}, {C}, cc AS (SELECT zone, spacing, ix, iy, {CX} AS x, {CY} AS y FROM cells),
+
+
+def covered_sql(h: float) -> str:
+    return f"""{P}, {Z}, {src.cells_sql(h)}, cc AS (SELECT zone, spacing, ix, iy, (ix + CAST(0.5 AS DOUBLE)) * CAST({h} AS DOUBLE) AS x, (iy + CAST(0.5 AS DOUBLE)) * CAST({h} AS DOUBLE) AS y FROM cells),
 cov AS (SELECT zone, spacing, ix, iy, EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN cc.x - spacing AND cc.x + spacing AND {d("cc", "pts")} <= spacing) AS hit FROM cc)"""
+
+
+COVERED = covered_sql(H)
 A = f"CAST({H * H} AS DOUBLE)"
+#: Gaps are walked on a coarser lattice, as the SQL side meets every pair of a piece's cells.
+HG = 128.0
+AG = f"CAST({HG * HG} AS DOUBLE)"
 
 
 @query(f"""WITH {COVERED} SELECT zone, count(*) * {A} AS total_m2, count(*) FILTER (WHERE hit) * {A} AS covered_m2, round({PCT.format(p="count(*) FILTER (WHERE hit)", w="count(*)")}, 1) AS covered_pct FROM cov GROUP BY ROLLUP (zone)""".replace("SELECT zone, count", "SELECT coalesce(zone, -1) AS zone, count"))
@@ -99,42 +108,38 @@ def zone_area_stats(spark, sf):
     return coverage.zone_stats(_covered_cells(spark, sf), H, "zone").withColumn("zone", F.coalesce("zone", F.lit(-1)))
 
 
-PIECES = f"""{COVERED}, g AS (SELECT zone, ix, iy FROM cov WHERE NOT hit),
-reach(zone, ix, iy, jx, jy) AS (SELECT zone, ix, iy, ix, iy FROM g UNION SELECT r.zone, r.ix, r.iy, g.ix, g.iy FROM reach r JOIN g ON g.zone = r.zone AND abs(g.ix - r.jx) + abs(g.iy - r.jy) = 1),
+PIECES = f"""{covered_sql(HG)}, g AS (SELECT zone, ix, iy FROM cov WHERE NOT hit),
+reach(zone, ix, iy, jx, jy) AS (SELECT zone, ix, iy, ix, iy FROM g UNION SELECT r.zone, r.ix, r.iy, g.ix, g.iy FROM reach r CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy) JOIN g ON g.zone = r.zone AND g.ix = r.jx + o.dx AND g.iy = r.jy + o.dy),
 piece AS (SELECT zone, ix, iy, min(((zone * 2097152 + jx + 1048576) * 2097152) + jy + 1048576) AS piece FROM reach GROUP BY zone, ix, iy)"""
 
 
 def _gaps(spark, sf):
-    return _covered_cells(spark, sf).where("NOT is_match").select("zone", "ix", "iy")
-
-
-# the SQL side walks every pair of cells of a piece, so it gets the zones of wider spacing, whose gaps are smaller
-GAP_ZONES = "SELECT n_nationkey FROM nation WHERE n_regionkey >= 2"
+    return _covered_cells(spark, sf, HG).where("NOT is_match").select("zone", "ix", "iy")
 
 
-@query(f"""WITH RECURSIVE {PIECES} SELECT zone, piece, count(*) * {A} AS area_m2, round((avg(ix) + CAST(0.5 AS DOUBLE)) * {H}, 4) AS centroid_x, round((avg(iy) + CAST(0.5 AS DOUBLE)) * {H}, 4) AS centroid_y FROM piece GROUP BY zone, piece""")
+@query(f"""WITH RECURSIVE {PIECES} SELECT zone, piece, count(*) * {AG} AS area_m2, round((avg(ix) + CAST(0.5 AS DOUBLE)) * {HG}, 4) AS centroid_x, round((avg(iy) + CAST(0.5 AS DOUBLE)) * {HG}, 4) AS centroid_y FROM piece GROUP BY zone, piece""")
 def gap_pieces(spark, sf):
     g = region.pieces(_gaps(spark, sf), "zone").groupBy("zone", "piece")
-    return g.agg((F.count("*") * H * H).alias("area_m2"), F.round((F.avg("ix") + 0.5) * H, 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * H, 4).alias("centroid_y"))
+    return g.agg((F.count("*") * HG * HG).alias("area_m2"), F.round((F.avg("ix") + 0.5) * HG, 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * HG, 4).alias("centroid_y"))
 
 
-GAPS = f"""{PIECES}, size AS (SELECT zone, piece, count(*) * {A} AS area_m2, (avg(ix) + CAST(0.5 AS DOUBLE)) * {H} AS cx, (avg(iy) + CAST(0.5 AS DOUBLE)) * {H} AS cy FROM piece GROUP BY zone, piece HAVING count(*) * {A} >= 100),
-rep AS (SELECT zone, piece, area_m2, cx, cy, arg_min((ix + CAST(0.5 AS DOUBLE)) * {H}, (d2, iy, ix)) AS x, arg_min((iy + CAST(0.5 AS DOUBLE)) * {H}, (d2, iy, ix)) AS y FROM (SELECT s.*, p.ix, p.iy, ((p.ix + CAST(0.5 AS DOUBLE)) * {H} - cx) * ((p.ix + CAST(0.5 AS DOUBLE)) * {H} - cx) + ((p.iy + CAST(0.5 AS DOUBLE)) * {H} - cy) * ((p.iy + CAST(0.5 AS DOUBLE)) * {H} - cy) AS d2 FROM size s JOIN piece p USING (zone, piece)) GROUP BY ALL),
+GAPS = f"""{PIECES}, size AS (SELECT zone, piece, count(*) * {AG} AS area_m2, (avg(ix) + CAST(0.5 AS DOUBLE)) * {HG} AS cx, (avg(iy) + CAST(0.5 AS DOUBLE)) * {HG} AS cy FROM piece GROUP BY zone, piece HAVING count(*) * {AG} >= 100),
+rep AS (SELECT zone, piece, area_m2, cx, cy, arg_min((ix + CAST(0.5 AS DOUBLE)) * {HG}, (d2, iy, ix)) AS x, arg_min((iy + CAST(0.5 AS DOUBLE)) * {HG}, (d2, iy, ix)) AS y FROM (SELECT s.*, p.ix, p.iy, ((p.ix + CAST(0.5 AS DOUBLE)) * {HG} - cx) * ((p.ix + CAST(0.5 AS DOUBLE)) * {HG} - cx) + ((p.iy + CAST(0.5 AS DOUBLE)) * {HG} - cy) * ((p.iy + CAST(0.5 AS DOUBLE)) * {HG} - cy) AS d2 FROM size s JOIN piece p USING (zone, piece)) GROUP BY ALL),
 gs AS (SELECT zone, piece, area_m2, cx, cy, x, y, (SELECT min({d("rep", "pts")}) FROM pts) AS dist FROM rep)"""
 
 
 @query(f"""WITH RECURSIVE {GAPS} SELECT row_number() OVER (ORDER BY area_m2 DESC, piece) AS id, zone, piece, area_m2, area_m2 / 10000 AS area_ha, round(cx, 4) AS centroid_x, round(cy, 4) AS centroid_y, round(x, 4) AS suggested_x, round(y, 4) AS suggested_y, round(dist, 4) AS rep_distance_m FROM gs""")
 def gap_statistics(spark, sf):
-    g = coverage.gap_statistics(_gaps(spark, sf), src.points(spark, sf).select("id", "x", "y"), H, "zone")
+    g = coverage.gap_statistics(_gaps(spark, sf), src.points(spark, sf).select("id", "x", "y"), HG, "zone")
     return g.withColumns({c: F.round(c, 4) for c in ("centroid_x", "centroid_y", "suggested_x", "suggested_y", "rep_distance_m")})
 
 
-@query(f"""WITH RECURSIVE {GAPS}, a AS (SELECT count(*) FILTER (WHERE hit) * {A} AS covered_m2, count(*) * {A} AS total_m2 FROM cov)
+@query(f"""WITH RECURSIVE {GAPS}, a AS (SELECT count(*) FILTER (WHERE hit) * {AG} AS covered_m2, count(*) * {AG} AS total_m2 FROM cov)
 SELECT covered_m2, total_m2 - covered_m2 AS uncovered_m2, total_m2, covered_m2 / 10000 AS covered_ha, round(100 * covered_m2 / total_m2, 4) AS covered_pct, (SELECT count(*) FROM gs) AS gap_count, coalesce((SELECT max(area_m2) FROM gs), 0) AS largest_gap_m2, round(coalesce((SELECT max(dist) FROM gs), 0), 4) AS max_distance_m FROM a""")
 def coverage_summary(spark, sf):
-    c = _covered_cells(spark, sf)
-    per = c.groupBy("zone").agg((F.count("*") * H * H).alias("total_m2"), (F.count_if("is_match") * H * H).alias("covered_m2"))
-    g = coverage.gap_statistics(c.where("NOT is_match").select("zone", "ix", "iy"), src.points(spark, sf).select("id", "x", "y"), H, "zone")
+    c = _covered_cells(spark, sf, HG)
+    per = c.groupBy("zone").agg((F.count("*") * HG * HG).alias("total_m2"), (F.count_if("is_match") * HG * HG).alias("covered_m2"))
+    g = coverage.gap_statistics(c.where("NOT is_match").select("zone", "ix", "iy"), src.points(spark, sf).select("id", "x", "y"), HG, "zone")
     return coverage.summary(per, g).withColumn("max_distance_m", F.round("max_distance_m", 4))
 
 
@@ -447,10 +452,10 @@ def consolidation(spark, sf):
 
 @query()
 def greedy_disk_cover(spark, sf):
-    gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * H, "y": (F.col("iy") + 0.5) * H})
+    gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * HG, "y": (F.col("iy") + 0.5) * HG})
     c = _candidates(spark, sf, 1.0).join(src.zones(spark, sf).select(F.col("zone").alias("problem"), "spacing"), "problem").withColumnRenamed("problem", "owner")
     near = djoin.distance_join(gaps, c.select("owner", "cand", "x", "y", "spacing"), F.col("r_spacing"), MAX_R).where("zone = r_owner")
-    return solve.greedy_cover(near.select(F.col("zone").alias("problem"), F.col("r_cand").alias("cand"), region.cell_id().alias("cell")), H * H, 200.0)
+    return solve.greedy_cover(near.select(F.col("zone").alias("problem"), F.col("r_cand").alias("cand"), region.cell_id().alias("cell")), HG * HG, 200.0)
 
 
 @query()
