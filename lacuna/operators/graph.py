@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,9 +17,17 @@ def checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """The same rows, written to the shared checkpoint folder: a lost executor costs no recomputation.
+
+    Spark drops the shuffle and checkpoint files of earlier rounds when the driver collects its garbage,
+    so an iterative job that makes little of it does so itself.
+    """
+    spark = df.sparkSession
+    checkpoint_dir(spark)
+    out = df.checkpoint(eager=True)
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    return out
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
