@@ -5,10 +5,13 @@
    ROWS entries each (minima and maxima in bands of their own) are hashed to bucket keys.
 2. Texts with one set are one class; only the class's least id goes on.
 3. Each member of a bucket is compared with the bucket's least member. What that links is joined to
-   components. Where a bucket then still holds several components, members of different ones are
-   compared as well, by a growing random share of them that ends with all: no pair of a bucket that
-   could link two components is left out, and none within a component is looked at again.
-4. Comparisons run in groups of a bounded number of texts around one hub; a hub with many members is
+   components.
+4. Members of buckets that then still hold several components meet again by prefix: in one order of
+   all shingles, rarest first, similar sets share one of their first elements. Where members of
+   different components share one, they are compared, by a growing random share of them that ends with
+   all: no pair of a bucket that could link two components is left out, and none within a component is
+   looked at again.
+5. Comparisons run in groups of a bounded number of texts around one hub; a hub with many members is
    dealt over several groups. A link needs 100 * intersection >= 75 * union of the full sets.
 
 At a similarity of 0.75 a pair shares no bucket with probability below 3e-7.
@@ -36,6 +39,8 @@ WORDS, PERMUTATIONS, ROWS = 5, 80, 4
 BANDS = 2 * PERMUTATIONS // ROWS
 #: Texts that are compared with one hub in one group, and members of a bucket that are all compared at once.
 GROUP, FIRST_SHARE = 128, 24
+#: Slots of the counts that order shingles by rarity.
+SLOTS = 1 << 16
 MULTIPLIER = (mix(np.arange(1, PERMUTATIONS + 1)) | np.uint64(1)).tolist()
 
 
@@ -142,6 +147,49 @@ def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
     return rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(_compare(threshold), "a long, b long, linked boolean")
 
 
+def _several(members: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (bucket, rep, n) of buckets that hold several components, with component and the bucket's size m."""
+    named = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
+    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
+    return named.join(several, "bucket")
+
+
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """How many texts hold shingles of each slot."""
+    total = np.zeros(SLOTS, np.int64)
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            total += np.bincount((shingles(part.column(part.schema.get_field_index("text")))[0] >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
+    slot = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+
+
+def _prefixes(live: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
+    """bucket, rep, n: the shingles of each live text's prefix, of which similar texts share one at least.
+
+    In one order for all texts, roughly the rarest first, two sets of the given similarity share an
+    element among the first n - ceil(threshold * n / 100) + 1 of either. A passage that very many texts
+    share comes last in the order, so that texts with nothing else in common don't meet.
+    """
+    own = live.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "text")
+    count = np.zeros(SLOTS, np.int64)
+    counts = own.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
+    count[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                key, bounds = shingles(part.column(1))
+                size = np.diff(bounds)
+                doc = np.repeat(np.arange(len(size)), size)
+                order = np.lexsort((key, count[(key >> np.uint64(40)).astype(np.int64) % SLOTS], doc))
+                first = np.arange(len(key)) - bounds[:-1][doc] < (size - -(-threshold * size // 100) + 1)[doc]
+                rep = part.column(0).to_numpy(zero_copy_only=False)
+                yield pa.RecordBatch.from_arrays([pa.array(key[order][first].view(np.int64)), pa.array(rep[doc[first]]), pa.array(size[doc[first]])], ["bucket", "rep", "n"])
+
+    return own.mapInArrow(run, "bucket long, rep long, n long")
+
+
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -158,27 +206,24 @@ def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     # one id with several texts: the classes of all of them are joined by it
     same = classes.groupBy("print").agg(F.min("rep").alias("rep")).join(rows.where("print IS NOT NULL").select("print", "doc_id").distinct(), "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
     done = cut(_verify(pairs, texts, threshold))
+    found = connected_components(done.where("linked"))
+    live = _several(inside.select("bucket", "rep", "n"), found).select("rep", "n").distinct()
+    prefix = cut(_prefixes(live, texts, threshold))
     share = FIRST_SHARE
-    live = inside.select("bucket", "rep", "n", "m")
     while True:
-        found = connected_components(done.where("linked"))
-        named = live.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-        several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi AND m > 2")
-        live = cut(named.join(several.select("bucket", "m"), "bucket"))
-        most = live.agg(F.max("m")).first()[0]
+        prefix = cut(_several(prefix, found))
+        most = prefix.agg(F.max("m")).first()[0]
         if most is None:
             break
-        heads = live.where(f"m <= {share} OR pmod(xxhash64(rep, bucket), m) < {share}").select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-        more = live.join(heads, "bucket").where("component <> other_component").where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
+        heads = prefix.where(f"m <= {share} OR pmod(xxhash64(rep, bucket), m) < {share}").select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
+        more = prefix.join(heads, "bucket").where("component <> other_component").where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
         more = cut(more.join(done.select("a", "b"), ["a", "b"], "left_anti"))
         if not more.isEmpty():
             done = cut(done.unionByName(_verify(more, texts, threshold)))
-        elif most <= share:
-            break
-        if most <= share:
             found = connected_components(done.where("linked"))
+        if most <= share:
             break
-        live = live.where(f"m > {share}").select("bucket", "rep", "n", "m")
+        prefix = prefix.where(f"m > {share}").select("bucket", "rep", "n")
         share *= 8
     links = found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(same)
     # classes and their copies: a star under the class's least id, which is already the component's where no id repeats
