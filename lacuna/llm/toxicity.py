@@ -314,8 +314,24 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     order = F.xxhash64("doc_id"), F.col("doc_id")
     ids = known.where("toxic = 1").orderBy(*order).limit(MAX_DOCS).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_DOCS))
     pair = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
-    rows = pair.join(F.broadcast(ids), "doc_id").orderBy(*order, "text").collect()  # 2 * MAX_DOCS ids at most
-    return train([r["text"] or "" for r in rows], [r["toxic"] for r in rows])
+    sample = pair.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")  # 2 * MAX_DOCS ids at most
+    row = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text", "toxic").mapInArrow(_train, "at array<int>, weight array<float>, bias double, slope double, shift double").first()
+    if row is None:
+        return train([], [])
+    weight = np.zeros(A**3, np.float32)
+    weight[row["at"]] = row["weight"]
+    return Model(weight, row["bias"], row["slope"], row["shift"])
+
+
+def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One task: the sample is bounded, and the driver need not hold it."""
+    texts, toxic = [], []
+    for batch in batches:
+        texts += [t or "" for t in batch.column(0).to_pylist()]
+        toxic += batch.column(1).to_pylist()
+    m = train(texts, toxic)
+    at = np.flatnonzero(m.weight)
+    yield pa.RecordBatch.from_arrays([pa.array([at.tolist()], pa.list_(pa.int32())), pa.array([m.weight[at].tolist()], pa.list_(pa.float32())), *(pa.array([float(x)]) for x in (m.bias, m.slope, m.shift))], ["at", "weight", "bias", "slope", "shift"])
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
