@@ -250,8 +250,8 @@ cloud AS (SELECT DISTINCT zone, ix + dx AS ix, iy + dy AS iy FROM u JOIN o ON (d
 pair AS (SELECT a.zone AS zone_a, b.zone AS zone_b, a.zone * 1000 + b.zone AS pair, a.ix, a.iy FROM cloud a JOIN cloud b ON a.ix = b.ix AND a.iy = b.iy AND a.zone < b.zone)"""
 
 
-def _pairs(spark, sf):
-    c = consolidate.clouds(src.tests(spark, sf, 0.5), H, MAX_R)
+def _pairs(spark, sf, factor=0.5):
+    c = consolidate.clouds(src.tests(spark, sf, factor), H, MAX_R)
     a, b = c.select(F.col("zone").alias("zone_a"), "ix", "iy"), c.select(F.col("zone").alias("zone_b"), "ix", "iy")
     return a.join(b, ["ix", "iy"]).where("zone_a < zone_b").select("zone_a", "zone_b", (F.col("zone_a") * 1000 + F.col("zone_b")).alias("pair"), "ix", "iy")
 
@@ -439,14 +439,16 @@ def placement_gaps(spark, sf):
 
 @query()
 def consolidation(spark, sf):
-    """Second pass over the overlaps of the zones' clouds, on sites placed zone by zone."""
-    p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
+    """Second pass over the overlaps of the clouds of all zones."""
+    settings = Settings()
+    factor = settings.lattice.test_factor
+    p = _pairs(spark, sf, factor).select("pair", "ix", "iy").distinct()
     clusters = consolidate.group_pairs(p)
     one = p.join(clusters, "pair").select(F.col("cluster").alias("problem"), "ix", "iy").distinct()
     s = src.sites(spark, sf).select(F.col("id").alias("seq"), "x", "y", F.expr("id % 4 = 0").alias("is_centreline"))
-    t = src.tests(spark, sf, 0.5).where("zone % 6 = 0").select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
-    tier1 = region.intersection(one, src.cells(spark, sf, H).where("zone % 6 = 0").select("ix", "iy").distinct())
-    out = consolidate.consolidate(s, t, tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H, Settings(solver=SolverConfig(conflict_mode="none", local_search_rounds=2)))
+    t = src.tests(spark, sf, factor).select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
+    tier1 = region.intersection(one, src.cells(spark, sf, H).select("ix", "iy").distinct())
+    out = consolidate.consolidate(s, t, tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H, settings)
     return out["removed"].select(F.lit("removed").alias("kind"), "problem", "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "problem", "x", "y"))
 
 
