@@ -165,7 +165,7 @@ def unsatisfied_tests(spark, sf):
 
 @query(f"""WITH {S} SELECT s.id AS a, t.id AS b, round({d("s", "t")}, 4) AS distance FROM sites s JOIN sites t ON s.id < t.id AND {d("s", "t")} <= 600 ORDER BY 1, 2 LIMIT 2000""")
 def conflict_pairs(spark, sf):
-    return djoin.conflict_pairs(src.sites(spark, sf), 600.0, most=2000).withColumn("distance", F.round("distance", 4))
+    return djoin.conflict_pairs(src.sites(spark, sf), 600.0).withColumn("distance", F.round("distance", 4))
 
 
 @query(f"""WITH {P}, {S} SELECT pts.id, arg_min(sites.id, ({d("pts", "sites")}, sites.id)) AS nearest_id, round(min({d("pts", "sites")}), 4) AS distance FROM pts, sites GROUP BY pts.id""")

@@ -29,3 +29,14 @@ def test_consolidation_covers_the_border_of_any_two_zones(spark, two_zones):
     both = clouds.groupBy("ix", "iy").count().where("count > 1")
     tests = region.contains(src.tests(spark, two_zones, 0.2), both, q.H, [])
     assert tests.count() > 0 and djoin.unsatisfied(tests, final, q.TEST_KEYS, q.MAX_R).count() == 0
+
+
+def test_conflict_pairs_are_all_there(spark, tmp_path):
+    table(spark, tmp_path, "supplier", [(k,) for k in range(1, 1001)], "s_suppkey long")
+    at = [(k, k * 15485863 % 10007, k * 32452843 % 10009) for k in range(1, 1001)]
+    want = [(a, b) for a, x, y in at for b, u, v in at if a < b and (x - u) ** 2 + (y - v) ** 2 <= 600**2]
+    got = sorted((r.a, r.b) for r in q.QUERIES["conflict_pairs"](spark, str(tmp_path)).select("a", "b").collect())
+    assert len(want) > 2000 and got == want
+    # the cap is an option: the first by (a, b)
+    some = djoin.conflict_pairs(src.sites(spark, str(tmp_path)), 600.0, most=10).collect()
+    assert [(r.a, r.b) for r in some] == want[:10]
