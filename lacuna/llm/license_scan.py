@@ -2,17 +2,18 @@
 
 The index holds, for each word of the licence templates, its postings: templates and places there. A
 first pass counts over the whole corpus in how many texts each of these words stands; that gives
-their inverse document frequencies. A second pass looks up the licence words of highest frequency
-weight that a text holds, and intersects their postings by relative position: a place in the text
-less the place in the template is where the template would begin. Beginnings with enough weight are
-verified: the words at their places must make up MIN_SHARE of the template's weight, and the
-template's mandatory key phrase must stand there word for word (within SLACK words).
+their inverse document frequencies. A second pass looks up each template's words of highest weight,
+as many as leave less than MIN_SHARE of it to the others, and takes their postings: a place in the
+text less the place in the template is where the template would begin. A beginning with a share of
+MIN_SHARE matches one of these words, so every one is proposed. Each is verified: the words at their
+places must make up MIN_SHARE of the template's weight, and the template's mandatory key phrase must
+stand there word for word (within SLACK words).
 
 The base phrases are found everywhere: each of their occurrences holds the phrase's rarest word, whose
 postings propose the beginning, and all words are then compared.
 
 Null text: empty. Texts without a word: counts 0, places null, labels empty, score 0. Ties in weight
-go by the word. Repeated rows are scanned each; extra columns are ignored. Empty table: empty result.
+go by the place. Repeated rows are scanned each; extra columns are ignored. Empty table: empty result.
 """
 
 from __future__ import annotations
@@ -49,8 +50,8 @@ TEMPLATES = [
     ("cc-by-nc", "licensed under the creative commons attribution noncommercial 4 0 international license", "creative commons attribution noncommercial 4 0"),
     ("all-rights-reserved", "copyright all rights reserved", "all rights reserved"),
 ]
-#: Words looked up in each text, least share of a template's weight, shift allowed to the key phrase.
-TOP_WORDS, MIN_SHARE, SLACK = 24, 0.6, 3
+#: Least share of a template's weight, shift allowed to the key phrase, allowance for rounding in sums of shares.
+MIN_SHARE, SLACK, EPS = 0.6, 3, 1e-9
 
 SEPARATOR = np.zeros(256, bool)
 SEPARATOR[:128] = True
@@ -119,6 +120,16 @@ def frequencies(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((n + 1) / (np.array([got.get(i, 0) for i in range(len(WORDS))]) + 1)) + 0.01
 
 
+def _voters(codes: np.ndarray, idf: np.ndarray) -> list[int]:
+    """The template's places of highest weight that no beginning with a share of MIN_SHARE can do without.
+
+    The places left out weigh less than MIN_SHARE together, so one of these at least is matched there.
+    """
+    order = np.lexsort((np.arange(len(codes)), -idf[codes]))
+    left = 1 - np.cumsum(idf[codes][order]) / float(idf[codes].sum())
+    return order[: int(np.argmax(left < MIN_SHARE - EPS)) + 1].tolist()
+
+
 def _scan(t: Text, idf: np.ndarray):
     n = len(t.bounds) - 1
     ends = t.bounds[1:]
@@ -141,41 +152,30 @@ def _scan(t: Text, idf: np.ndarray):
             labels[d].add(label)
             score[d] = 1.0
 
-    # each text's licence words of highest weight, TOP_WORDS of them
     at = np.flatnonzero(t.word >= 0)
-    pair = np.unique(t.doc[at].astype(np.int64) * len(WORDS) + t.word[at])
-    doc, word = pair // len(WORDS), pair % len(WORDS)
-    order = np.lexsort((word, -idf[word], doc))
-    doc, word = doc[order], word[order]
-    rank = np.arange(len(doc)) - np.searchsorted(doc, doc)
-    chosen = np.sort(pair[order][rank < TOP_WORDS])
-    key = t.doc[at].astype(np.int64) * len(WORDS) + t.word[at]
-    where = np.searchsorted(chosen, key)
-    at = at[(where < len(chosen)) & (chosen[np.minimum(where, len(chosen) - 1)] == key)] if len(chosen) else at[:0]
     for (label, _, _), codes, phrase, key_at in zip(TEMPLATES, TEMPLATE_CODES, KEY_CODES, KEY_AT, strict=True):
-        begin, weight, owner = [], [], []
-        for place, code in enumerate(codes):
-            mine = at[t.word[at] == code]
+        total = float(idf[codes].sum())
+        begin, owner = [], []
+        for place in _voters(codes, idf):
+            mine = at[t.word[at] == codes[place]]
             begin.append(mine - place)
-            weight.append(np.full(len(mine), idf[code]))
             owner.append(t.doc[mine])
-        begin, weight, owner = map(np.concatenate, (begin, weight, owner))
+        begin, owner = map(np.concatenate, (begin, owner))
         if not len(begin):
             continue
         # beginnings before a text's first word stay its own
-        spot, back = np.unique(np.stack([owner, begin]), axis=1, return_inverse=True)
-        vote = np.bincount(back.ravel(), weights=weight)
-        total = float(idf[codes].sum())
-        good = spot[:, vote >= 0.3 * total]
-        for d, b in good.T.tolist():
-            share = 0.0
-            for place, code in enumerate(codes):
-                p = b + place
-                if t.bounds[d] <= p < ends[d] and t.word[p] == code:
-                    share += idf[code] / total
+        spot = np.unique(np.stack([owner, begin]), axis=1)
+        d, b = spot
+        share = np.zeros(len(b))
+        for place, code in enumerate(codes):
+            p = b + place
+            inside = (t.bounds[d] <= p) & (p < ends[d])
+            share[inside] += (t.word[p[inside]] == code) * (idf[code] / total)
+        good = share >= MIN_SHARE
+        for d, b, share in zip(d[good].tolist(), b[good].tolist(), share[good].tolist(), strict=True):
             near = b + key_at + np.arange(-SLACK, SLACK + 1)
             near = near[near >= t.bounds[d]]
-            if share >= MIN_SHARE and _stands(t, near, np.full(len(near), ends[d]), phrase).any():
+            if _stands(t, near, np.full(len(near), ends[d]), phrase).any():
                 labels[d].add(label)
                 score[d] = max(score[d], min(1.0, share))
     return n_base, first, last, base, labels, score
