@@ -79,25 +79,27 @@ def cube(tests: DataFrame, points: DataFrame, combos: DataFrame, keys: list[str]
     return out.withColumn("covered_pct", F.round(percent("covered", "tests"), 4))
 
 
-def cell_coverage(cells: DataFrame, points: DataFrame, h: float, zone: str, radius: str, max_radius: float) -> DataFrame:
-    """Cells (zone, ix, iy, radius) with is_match: is a point within the zone's radius of the centre?"""
-    tests = cells.withColumns({"x": (F.col("ix") + 0.5) * h, "y": (F.col("iy") + 0.5) * h})
+def cell_coverage(cells: DataFrame, points: DataFrame, h: float | str, zone: str, radius: str, max_radius: float) -> DataFrame:
+    """Cells (zone, ix, iy, radius) with is_match: is a point within the zone's radius of the centre? h: metres, or a column."""
+    w = F.col(h) if isinstance(h, str) else F.lit(float(h))
+    tests = cells.withColumns({"x": (F.col("ix") + 0.5) * w, "y": (F.col("iy") + 0.5) * w})
     return djoin.distance_join(tests, points.select("x", "y"), radius, max_radius, "exists", [zone, "ix", "iy"]).drop("x", "y")
 
 
-def gap_statistics(gaps: DataFrame, points: DataFrame, h: float, zone: str, least_m2: float = 100.0, start: float = 200.0) -> DataFrame:
+def gap_statistics(gaps: DataFrame, points: DataFrame, h: float | str, zone: str, least_m2: float = 100.0, start: float = 200.0) -> DataFrame:
     """One row for each connected gap: area, centroid, representative cell, nearest point (D3).
 
-    gaps: zone (integer), ix, iy. Sorted by area, numbered from 1. The representative is the gap's cell
+    gaps: zone (integer), ix, iy; h: metres, or a column of gaps that is the same within a zone. Sorted by area, numbered from 1. The representative is the gap's cell
     nearest to the centroid; rep_distance_m is the distance from there to the nearest point.
     """
     from pyspark.sql import Window
 
+    w, keys = (F.col(h), [zone, "piece", h]) if isinstance(h, str) else (F.lit(float(h)), [zone, "piece"])
     own = region.pieces(gaps, zone)
-    size = own.groupBy(zone, "piece").agg((F.count("*") * h * h).alias("area_m2"), ((F.avg("ix") + 0.5) * h).alias("centroid_x"), ((F.avg("iy") + 0.5) * h).alias("centroid_y")).where(F.col("area_m2") >= least_m2)
-    d2 = lambda: ((F.col("ix") + 0.5) * h - F.col("centroid_x")) * ((F.col("ix") + 0.5) * h - F.col("centroid_x")) + ((F.col("iy") + 0.5) * h - F.col("centroid_y")) * ((F.col("iy") + 0.5) * h - F.col("centroid_y"))
-    rep = own.join(size, [zone, "piece"]).groupBy(zone, "piece", "area_m2", "centroid_x", "centroid_y").agg(F.min(F.struct(d2().alias("d"), F.col("iy"), F.col("ix"))).alias("m"))
-    rep = rep.withColumns({"x": (F.col("m.ix") + 0.5) * h, "y": (F.col("m.iy") + 0.5) * h}).drop("m")
+    size = own.groupBy(*keys).agg((F.count("*") * w * w).alias("area_m2"), ((F.avg("ix") + 0.5) * w).alias("centroid_x"), ((F.avg("iy") + 0.5) * w).alias("centroid_y")).where(F.col("area_m2") >= least_m2)
+    d2 = lambda: ((F.col("ix") + 0.5) * w - F.col("centroid_x")) * ((F.col("ix") + 0.5) * w - F.col("centroid_x")) + ((F.col("iy") + 0.5) * w - F.col("centroid_y")) * ((F.col("iy") + 0.5) * w - F.col("centroid_y"))
+    rep = own.join(size, keys).groupBy(*keys, "area_m2", "centroid_x", "centroid_y").agg(F.min(F.struct(d2().alias("d"), F.col("iy"), F.col("ix"))).alias("m"))
+    rep = rep.withColumns({"x": (F.col("m.ix") + 0.5) * w, "y": (F.col("m.iy") + 0.5) * w}).drop("m")
     near = djoin.nearest(rep.select(zone, "piece", "x", "y"), points, [zone, "piece"], points.columns[0], start)
     out = rep.join(near, [zone, "piece"], "left")
     order = Window.orderBy(F.desc("area_m2"), "piece")  # one row for each gap

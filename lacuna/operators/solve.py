@@ -307,10 +307,11 @@ def greedy_area(cover: pd.DataFrame, cell_m2: float, radius: float, config: Solv
     return pd.DataFrame(out, columns=["cand", "step", "gain_m2"])
 
 
-def greedy_cover(cover: DataFrame, cell_m2: float, radius: float, config: SolverConfig = SolverConfig()) -> DataFrame:
-    """problem, cand, step and gain_m2 of the greedy cover of each problem's cells. cover: problem, cand, cell."""
+def greedy_cover(cover: DataFrame, cell_m2: float | str, radius: float, config: SolverConfig = SolverConfig()) -> DataFrame:
+    """problem, cand, step and gain_m2 of the greedy cover of each problem's cells. cover: problem, cand, cell; cell_m2: a number, or a column that is the same within a problem."""
 
     def run(key, pdf: pd.DataFrame) -> pd.DataFrame:
-        return greedy_area(pdf, cell_m2, radius, config).assign(problem=key[0])[["problem", "cand", "step", "gain_m2"]]
+        area = float(pdf[cell_m2].iloc[0]) if isinstance(cell_m2, str) else cell_m2
+        return greedy_area(pdf, area, radius, config).assign(problem=key[0])[["problem", "cand", "step", "gain_m2"]]
 
     return cover.groupBy("problem").applyInPandas(run, "problem long, cand long, step int, gain_m2 double")

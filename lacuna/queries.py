@@ -143,6 +143,41 @@ def coverage_summary(spark, sf):
     return coverage.summary(per, g).withColumn("max_distance_m", F.round("max_distance_m", 4))
 
 
+# The SQL above fixes its lattice at HG, wider than some zones' spacing; these see every gap, each zone
+# at its own resolution. Their million cells are too many for the recursive SQL.
+
+
+def _covered_own(spark, sf):
+    """Cells of each zone at its own resolution h, the largest power of two of at most spacing / 10."""
+    z = src.zones(spark, sf).withColumn("h", F.pow(F.lit(2.0), F.floor(F.log2(F.col("spacing") / 10))))
+    return coverage.cell_coverage(region.box_cells(z, "h", ["zone", "spacing", "h"]), src.points(spark, sf), "h", "zone", "spacing", MAX_R)
+
+
+def _gaps_own(spark, sf):
+    return _covered_own(spark, sf).where("NOT is_match").select("zone", "ix", "iy", "h")
+
+
+@query()
+def gap_pieces_own_h(spark, sf):
+    g = region.pieces(_gaps_own(spark, sf), "zone").groupBy("zone", "piece", "h")
+    return g.agg((F.count("*") * F.col("h") * F.col("h")).alias("area_m2"), F.round((F.avg("ix") + 0.5) * F.col("h"), 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * F.col("h"), 4).alias("centroid_y"))
+
+
+@query()
+def gap_statistics_own_h(spark, sf):
+    g = coverage.gap_statistics(_gaps_own(spark, sf), src.points(spark, sf).select("id", "x", "y"), "h", "zone")
+    return g.withColumns({c: F.round(c, 4) for c in ("centroid_x", "centroid_y", "suggested_x", "suggested_y", "rep_distance_m")})
+
+
+@query()
+def coverage_summary_own_h(spark, sf):
+    m2 = F.col("h") * F.col("h")
+    c = _covered_own(spark, sf)
+    per = c.groupBy("zone", "h").agg((F.count("*") * m2).alias("total_m2"), (F.count_if("is_match") * m2).alias("covered_m2"))
+    g = coverage.gap_statistics(c.where("NOT is_match").select("zone", "ix", "iy", "h"), src.points(spark, sf).select("id", "x", "y"), "h", "zone")
+    return coverage.summary(per, g).withColumn("max_distance_m", F.round("max_distance_m", 4))
+
+
 # --- joins ------------------------------------------------------------------------------------
 
 
@@ -454,10 +489,10 @@ def consolidation(spark, sf):
 
 @query()
 def greedy_disk_cover(spark, sf):
-    gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * HG, "y": (F.col("iy") + 0.5) * HG})
+    gaps = _gaps_own(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})
     c = _candidates(spark, sf, 1.0).join(src.zones(spark, sf).select(F.col("zone").alias("problem"), "spacing"), "problem").withColumnRenamed("problem", "owner")
     near = djoin.distance_join(gaps, c.select("owner", "cand", "x", "y", "spacing"), F.col("r_spacing"), MAX_R).where("zone = r_owner")
-    return solve.greedy_cover(near.select(F.col("zone").alias("problem"), F.col("r_cand").alias("cand"), region.cell_id().alias("cell")), HG * HG, 200.0)
+    return solve.greedy_cover(near.select(F.col("zone").alias("problem"), F.col("r_cand").alias("cand"), region.cell_id().alias("cell"), (F.col("h") * F.col("h")).alias("cell_m2")), "cell_m2", 200.0)
 
 
 @query()

@@ -1,5 +1,6 @@
 """The queries and operators do the whole job: no row, zone, word or copy is left out."""
 
+import numpy as np
 import pytest
 
 from lacuna.operators import consolidate, djoin, region
@@ -40,3 +41,52 @@ def test_conflict_pairs_are_all_there(spark, tmp_path):
     # the cap is an option: the first by (a, b)
     some = djoin.conflict_pairs(src.sites(spark, str(tmp_path)), 600.0, most=10).collect()
     assert [(r.a, r.b) for r in some] == want[:10]
+
+
+HOLE = 1024.0
+
+
+@pytest.fixture(scope="module")
+def small_gap(spark, tmp_path_factory):
+    """Zone 0 of 100 m spacing, full of points but for 170 m around a corner of four cells of 128 m."""
+    folder = tmp_path_factory.mktemp("gap")
+    at = [(k, k * 7919 % 10007, k * 104729 % 10009) for k in range(1, 100_000)]
+    at = [(k, x, y) for k, x, y in at if x < 2100 and y < 2100 and (x - HOLE) ** 2 + (y - HOLE) ** 2 > 170**2]
+    table(spark, folder, "nation", [(0, "a", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    table(spark, folder, "customer", [(k, 100.0, "A") for k, _, _ in at], "c_custkey long, c_acctbal double, c_mktsegment string")
+    table(spark, folder, "orders", [(at[0][0], "1-URGENT")], "o_custkey long, o_orderpriority string")
+    table(spark, folder, "supplier", [(1,)], "s_suppkey long")
+    return str(folder), np.array([(x, y) for _, x, y in at], float)
+
+
+def brute_gaps(p, h=8.0):
+    """Cells of zone 0 without a point within 100 m, in 4-connected pieces."""
+    c = [(i, j) for i in range(int(2000 // h)) for j in range(int(2000 // h))]
+    open_ = {(i, j) for i, j in c if ((p - (np.array([i, j]) + 0.5) * h) ** 2).sum(1).min() > 100.0**2}
+    cells, out = len(c), []
+    while open_:
+        piece, todo = [], [open_.pop()]
+        while todo:
+            i, j = todo.pop()
+            piece.append((i, j))
+            for n in ((i + 1, j), (i - 1, j), (i, j + 1), (i, j - 1)):
+                if n in open_:
+                    open_.remove(n)
+                    todo.append(n)
+        out.append((len(piece) * h * h, *np.round((np.mean(piece, axis=0) + 0.5) * h, 4).tolist()))
+    return cells * h * h, sorted(out)
+
+
+def test_gaps_narrower_than_the_query_lattice_are_found(spark, small_gap):
+    folder, p = small_gap
+    total, want = brute_gaps(p)
+    assert q.QUERIES["gap_pieces"](spark, folder).count() == 0 < len(want)
+    cols = ("area_m2", "centroid_x", "centroid_y")
+    got = sorted(tuple(r[c] for c in cols) for r in q.QUERIES["gap_pieces_own_h"](spark, folder).collect())
+    assert np.allclose(got, want, atol=1e-3)
+    big = [w for w in want if w[0] >= 100]
+    got = sorted(tuple(r[c] for c in cols) for r in q.QUERIES["gap_statistics_own_h"](spark, folder).collect())
+    assert np.allclose(got, big, atol=1e-3)
+    s = q.QUERIES["coverage_summary_own_h"](spark, folder).first()
+    assert (s.total_m2, s.uncovered_m2, s.gap_count, s.largest_gap_m2) == (total, sum(w[0] for w in want), len(big), big[-1][0])
+    assert q.QUERIES["greedy_disk_cover"](spark, folder).count() == 1
