@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.config import CellConfig, Settings, SolverConfig, with_zone_settings
+from lacuna.config import CellConfig, LatticeConfig, Settings, SolverConfig, with_zone_settings
 from lacuna.functions import scalar
 from lacuna.operators import consolidate, coverage, dedupe, djoin, lattice, region, solve
 from lacuna.operators.graph import connected_components
@@ -41,6 +41,7 @@ P, S, E = src.POINTS, src.SITES, src.EDITS
 Z, ZG = src.zones_sql(), src.zones_sql(100.0)
 T2, T5 = src.tests_sql(0.2), src.tests_sql(0.5)
 C, CG = src.cells_sql(H), src.cells_sql(H)
+TEST_FACTOR = LatticeConfig().test_factor
 PCT = "CASE WHEN {w} > 0 THEN CAST(100 AS DOUBLE) * {p} / {w} ELSE CAST(0 AS DOUBLE) END"
 
 
@@ -442,8 +443,8 @@ def edit_windows(spark, sf):
 # --- placement --------------------------------------------------------------------------------
 
 
-def _open_tests(spark, sf):
-    t = djoin.unsatisfied(src.tests(spark, sf, 0.5), src.points(spark, sf).select("x", "y"), TEST_KEYS, MAX_R)
+def _open_tests(spark, sf, factor=0.5):
+    t = djoin.unsatisfied(src.tests(spark, sf, factor), src.points(spark, sf).select("x", "y"), TEST_KEYS, MAX_R)
     return t.select(F.col("zone").alias("problem"), (F.col("row") * 100_000 + F.col("k")).cast("long").alias("test"), "x", "y", "required_radius")
 
 
@@ -459,7 +460,7 @@ PLACE = SolverConfig(local_search_rounds=5)
 @query()
 def placement(spark, sf):
     """Sites that close every zone's gaps, by set cover with spacing conflicts."""
-    return solve.place_sites(_open_tests(spark, sf), _candidates(spark, sf), MAX_R, PLACE)
+    return solve.place_sites(_open_tests(spark, sf, TEST_FACTOR), _candidates(spark, sf), MAX_R)
 
 
 @query(f"""WITH {P}, {Z}, {T5}, o AS (SELECT zone FROM tp WHERE NOT EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius))
@@ -467,11 +468,41 @@ SELECT zone AS problem, count(*) AS tests, CAST(0 AS BIGINT) AS missed FROM o GR
 def placement_gaps(spark, sf):
     """After placement no open test of a zone is left (every test has a candidate in reach)."""
     t = _open_tests(spark, sf)
-    s = solve.place_sites(t, _candidates(spark, sf), MAX_R, PLACE).where("cand IS NOT NULL").select("problem", "x", "y")
+    return _missed(t, solve.place_sites(t, _candidates(spark, sf), MAX_R, PLACE))
+
+
+def _missed(t, placed):
+    s = placed.where("cand IS NOT NULL").select("problem", "x", "y")
     hit = djoin.distance_join(t, s.withColumnRenamed("problem", "owner"), "required_radius", MAX_R).where("problem = r_owner").select("problem", "test").distinct().withColumn("hit", F.lit(True))
     return t.join(hit, ["problem", "test"], "left").groupBy("problem").agg(F.count("*").alias("tests"), F.count_if(F.col("hit").isNull()).alias("missed"))
 
 
+# The SQL of the four below fixes a test factor of 0.5; these use the shipped one, as placement does.
+
+
+@query(ORACLES["filter_cube"].replace(T5, T2))
+def filter_cube_all_tests(spark, sf):
+    p = src.points(spark, sf)
+    return coverage.cube(src.tests(spark, sf, TEST_FACTOR), p, coverage.combinations(p, STEP), TEST_KEYS, MAX_R)
+
+
+@query(ORACLES["pre_coverage"].replace(T5, T2))
+def pre_coverage_all_tests(spark, sf):
+    c = djoin.pre_covered(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R)
+    return c.groupBy("zone").agg(F.count("*").alias("tests"), F.count_if("is_match").alias("served"))
+
+
+@query(ORACLES["unsatisfied_tests"].replace(T5, T2))
+def unsatisfied_tests_all_tests(spark, sf):
+    return djoin.unsatisfied(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R).groupBy("zone").agg(F.count("*").alias("unserved"))
+
+
+@query()
+def placement_gaps_all_tests(spark, sf):
+    t = _open_tests(spark, sf, TEST_FACTOR)
+    return _missed(t, solve.place_sites(t, _candidates(spark, sf), MAX_R))
+
+
 @query()
 def consolidation(spark, sf):
     """Second pass over the overlaps of the clouds of all zones."""

@@ -90,3 +90,22 @@ def test_gaps_narrower_than_the_query_lattice_are_found(spark, small_gap):
     s = q.QUERIES["coverage_summary_own_h"](spark, folder).first()
     assert (s.total_m2, s.uncovered_m2, s.gap_count, s.largest_gap_m2) == (total, sum(w[0] for w in want), len(big), big[-1][0])
     assert q.QUERIES["greedy_disk_cover"](spark, folder).count() == 1
+
+
+def test_holes_between_thinned_tests_get_a_site(spark, tmp_path):
+    """Zone 0 of 100 m spacing; the hole lies between three tests of a lattice of half the spacing."""
+    hole = (1025.0, 967.0)
+    at = [(k, k * 7919 % 10007, k * 104729 % 10009) for k in range(1, 400_000)]
+    at = [(k, x, y) for k, x, y in at if x < 2100 and y < 2100 and (x - hole[0]) ** 2 + (y - hole[1]) ** 2 > 115**2]
+    table(spark, tmp_path, "nation", [(0, "a", 0)], "n_nationkey int, n_name string, n_regionkey int")
+    table(spark, tmp_path, "customer", [(k, 100.0, "A") for k, _, _ in at], "c_custkey long, c_acctbal double, c_mktsegment string")
+    table(spark, tmp_path, "orders", [(at[0][0], "1-URGENT")], "o_custkey long, o_orderpriority string")
+    d, p = str(tmp_path), np.array([(x, y) for _, x, y in at], float)
+    lattice = np.array([(r.x, r.y) for r in src.tests(spark, d, 0.2).select("x", "y").collect()])
+    missed = [t for t in lattice if ((p - t) ** 2).sum(1).min() > 100.0**2]
+    assert q._open_tests(spark, d).count() == 0 < len(missed)
+    placed = q.QUERIES["placement"](spark, d).where("cand IS NOT NULL").collect()
+    assert placed and all(min((s.x - x) ** 2 + (s.y - y) ** 2 for s in placed) <= 100.0**2 for x, y in missed)
+    assert [tuple(r) for r in q.QUERIES["placement_gaps_all_tests"](spark, d).collect()] == [(0, len(missed), 0)]
+    cube = {r.combo_key: (r.tests, r.covered) for r in q.QUERIES["filter_cube_all_tests"](spark, d).collect()}
+    assert cube["d0_spt0_txt0_txe0"] == (len(lattice), len(lattice) - len(missed))
