@@ -29,7 +29,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from lacuna.llm._text import blocks, flat, ragged
+from lacuna.llm._text import blocks, flat, id_values, ragged
 
 BLOCK = 10 << 20
 OTHER, SPACE, LETTER, NUMBER = 0, 1, 2, 3
@@ -147,8 +147,8 @@ def _explode(buckets: int):
                 later[np.unique(code, return_index=True)[1]] = False
                 bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in vocab), np.int64, len(vocab))
                 per_doc = np.diff(np.searchsorted(start, off))
-                ids = part.column(0).to_numpy(zero_copy_only=False)
-                rows = [(block, 1, block % buckets, ids.tobytes(), _planes(per_doc), _planes(bucket), _planes(np.where(later, code + 1, 0)))]
+                ids, null = id_values(part.column(0))
+                rows = [(block, 1, block % buckets, ids.tobytes() + (null.tobytes() if null.any() else b""), _planes(per_doc), _planes(bucket), _planes(np.where(later, code + 1, 0)))]
                 by = np.argsort(bucket, kind="stable")
                 for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                     mine = [vocab[i] for i in own]
@@ -195,7 +195,9 @@ def _assemble(path: str):
                     counts.append(_unplanes(a))
                     ids.append(_unplanes(b))
                     continue
-                doc_ids, per_doc = np.frombuffer(a, np.int64), _unplanes(b).astype(np.int64)
+                per_doc = _unplanes(b).astype(np.int64)
+                n = len(per_doc)
+                doc_ids, null = np.frombuffer(a, np.int64, n), np.frombuffer(a[8 * n :], bool) if len(a) > 8 * n else np.zeros(n, bool)
                 place = np.argsort(_unplanes(c), kind="stable")  # each word's bucket -> the words as they come back
                 count = np.concatenate([*counts, np.zeros(0, np.uint32)]).astype(np.int64)
                 words = np.concatenate([*ids, np.zeros(0, np.uint32)])
@@ -210,8 +212,8 @@ def _assemble(path: str):
                     mine = word[edges[i] : edges[i + 1]]
                     got = words[ragged(first[mine], size[mine])]
                     text = token_bytes[ragged(token_off[got], token_off[got + np.uint32(1)] - token_off[got])]
-                    rows.append((int(doc_ids[i]), len(got), hashlib.sha256(got.astype("<u4")).hexdigest(), hashlib.sha256(text).hexdigest()))
-                yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names)
+                    rows.append((None if null[i] else int(doc_ids[i]), len(got), hashlib.sha256(got.astype("<u4")).hexdigest(), hashlib.sha256(text).hexdigest()))
+                yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(zip(*rows, strict=True), (pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)], names)
                 counts, ids = [], []
 
     return run

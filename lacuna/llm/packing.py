@@ -32,7 +32,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.llm._text import Words, blocks, cut, flat, ragged
+from lacuna.llm._text import Words, blocks, cut, flat, id_values, ragged
 
 CAPACITY = 2048
 #: Bins with this share of their capacity are final.
@@ -200,20 +200,22 @@ def cut_pieces(ids: np.ndarray, off: np.ndarray, doc_ids: np.ndarray, capacity:
 
 def _local(path: str, capacity: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tok, rows = tokenizer(path), []
+        tok, rows, nulls = tokenizer(path), [], []
         for batch in batches:
             for part in blocks(batch, "text", TOKEN_BLOCK_BYTES):
                 ids, off = token_ids(part.column(1), tok)
-                rows.append(cut_pieces(ids, off, part.column(0).to_numpy(zero_copy_only=False), capacity))
+                doc_ids, null = id_values(part.column(0))
+                rows.append(cut_pieces(ids, off, doc_ids, capacity))
+                nulls.append(np.repeat(null, -(-np.diff(off) // capacity)))
         if not rows:
             return
-        rows = np.concatenate(rows)
+        rows, null = np.concatenate(rows), np.concatenate(nulls)
         bins, offset, _ = best_fit(rows[:, 3], capacity)
         bins += TaskContext.get().partitionId() << 32
         cols = [*rows.T, bins, offset]
         for a in range(0, len(rows), 50_000):
             part = [c[a : a + 50_000] for c in cols]
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64()) for i, c in enumerate(part)], [x.split()[0] for x in PIECES.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int32() if i == 1 else pa.int64(), mask=null[a : a + 50_000] if i == 0 else None) for i, c in enumerate(part)], [x.split()[0] for x in PIECES.split(", ")])
 
     return run
 

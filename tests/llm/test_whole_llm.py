@@ -5,7 +5,7 @@ import re
 
 import numpy as np
 
-from lacuna.llm import license_scan
+from lacuna.llm import bpe, license_scan, packing
 
 SF = "/root/testdata/sf0.001"
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -46,3 +46,13 @@ def test_license_voters_leave_less_than_the_least_share():
     for codes in license_scan.TEMPLATE_CODES:
         rest = np.delete(idf[codes], license_scan._voters(codes, idf)).sum() / idf[codes].sum()
         assert rest < license_scan.MIN_SHARE
+
+
+def test_null_ids_leave_other_ids_as_they_are(spark):
+    big = 2**60 + 1
+    own = spark.createDataFrame([(5, "five words of plain text"), (None, "no id"), (big, "a large id"), (None, None)], "doc_id long, text string").coalesce(1)
+    clean = own.selectExpr("coalesce(doc_id, -1) AS doc_id", "text")
+    for run in (bpe.round_trip, packing.pack):
+        got, want = [sorted((-1 if r[0] is None else r[0], *map(str, r[1:])) for r in run(df).collect()) for df in (own, clean)]
+        assert got == want and {r[0] for r in got} == {5, -1, big}
+    assert {r.doc_id for r in bpe.round_trip(own).collect()} == {5, None, big}
