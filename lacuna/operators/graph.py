@@ -2,50 +2,53 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpoint_dir(spark: SparkSession) -> None:
-    """Keeps the cluster's shared checkpoint folder; sets a local one only where none is named (tests)."""
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The shared checkpoint folder: the one in use, or else that of spark.checkpoint.dir.
+
+    Without either, a local master gets a temporary one; on a cluster that would be a folder of each machine's own.
+    """
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isEmpty():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="lacuna-"))
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and sc.master.split("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="lacuna-"))
+    return sc._jsc.sc().getCheckpointDir().get()
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written to the shared checkpoint folder: a lost executor costs no recomputation.
+    """The same rows, written to the shared checkpoint folder: a lost executor costs no recomputation."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
-    Spark drops the shuffle and checkpoint files of earlier rounds when the driver collects its garbage,
-    so an iterative job that makes little of it does so itself.
-    """
-    spark = df.sparkSession
-    checkpoint_dir(spark)
-    out = df.checkpoint(eager=True)
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-    return out
+
+#: Steps of a round of connected_components, between two tests for an end.
+STEPS = 2
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex that an edge names; component is the least id that it reaches.
 
-    Each round takes the least label among neighbours, then that label's own label (pointer jumping),
-    so long chains take a logarithmic number of rounds. Both steps are equi-joins and aggregations with
+    Each step takes the least label among neighbours, then that label's own label (pointer jumping),
+    so long chains take a logarithmic number of steps. Both are equi-joins and aggregations with
     map-side combine; a vertex with very many edges is a skewed join side, which adaptive execution
     splits. Null ends are no edges; loops and repeated edges do no harm; without edges no rows.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = cut(both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "id"))
+    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("id"), "label", F.col("label").alias("old"))
     while True:
-        near = both.join(labels.withColumnRenamed("id", "v"), "v").groupBy("u").agg(F.min("label").alias("near"))
-        step = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "label", F.least("label", "near").alias("low"))
-        jump = step.join(labels.select(F.col("id").alias("low"), F.col("label").alias("lower")), "low").select("id", F.col("label").alias("old"), F.least("low", "lower").alias("label"))
-        jump = cut(jump)
-        labels = jump.select("id", "label")
-        if not jump.where("label <> old").limit(1).count():
-            return labels.withColumnRenamed("label", "component")
+        for _ in range(STEPS):
+            near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
+            step = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "old", F.least("label", "near").alias("low"))
+            labels = step.join(labels.select(F.col("id").alias("low"), F.col("label").alias("lower")), "low").select("id", "old", F.least("low", "lower").alias("label"))
+        labels = cut(labels)
+        if labels.where("label <> old").isEmpty():
+            return labels.select("id", F.col("label").alias("component"))
+        labels = labels.select("id", "label", F.col("label").alias("old"))
