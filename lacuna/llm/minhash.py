@@ -2,46 +2,55 @@
 
 1. Each text's set of distinct five-word shingles gives, under each of PERMUTATIONS hash functions,
    both its least and its greatest value: two signature entries for one evaluation. BANDS bands of
-   ROWS entries each (minima and maxima in bands of their own) are hashed to bucket keys.
-2. Texts with one set are one class; only the class's least id goes on.
-3. Each member of a bucket is compared with the bucket's least member. What that links is joined to
-   components.
-4. Members of buckets that then still hold several components meet again by prefix: in one order of
-   all shingles, rarest first, similar sets share one of their first elements. Where members of
-   different components share one, they are compared, by a growing random share of them that ends with
-   all: no pair of a bucket that could link two components is left out, and none within a component is
-   looked at again.
-5. Comparisons run in groups of a bounded number of texts around one hub; a hub with many members is
-   dealt over several groups. A link needs 100 * intersection >= 75 * union of the full sets.
-
-At a similarity of 0.75 a pair shares no bucket with probability below 3e-7.
+   ROWS entries each (minima and maxima in bands of their own) are hashed to bucket keys; four bits of
+   every entry make a sketch. Texts with one set are one class; only the class's least id goes on.
+2. Members of a bucket whose sketches may belong to similar sets are joined to candidate groups, by a
+   spanning star for each bucket, not by pairs. A bucket of more than CROWD members is joined whole.
+3. Each candidate group travels once, as texts, to a task that finds the components of its links on the
+   full sets: rarest shingles first, similar sets share one of their first shingles, and pairs within a
+   component found already aren't looked at. What leaves the task is a spanning star of each component.
+4. A group of more than MEMBERS texts (or SHINGLES shingles) is dealt over tiles, each with the same few
+   hubs. Afterwards what isn't in the group's largest component meets every tile, so that no pair of
+   different components is left out.
+
+A link needs 100 * intersection >= 75 * union of the full sets. A pair of similarity 0.75 shares no
+bucket with probability 1.2e-8, and fails the comparison of sketches with probability below 2e-8. For k
+texts in a group of which r are outside its largest component after the tiles, 2 k r / MEMBERS texts
+travel in step 4; everything else grows with the number of texts.
 
 Null and empty texts and those without words: empty set, linked with nothing, kept. Fewer than five
-words: the whole sequence is the one shingle. Rows that share a doc_id are one node. Extra columns
-are ignored by `components` and kept by `keep_first`. Empty table: empty result.
+words: the whole sequence is the one shingle. Rows that share a doc_id are one node, also with several
+texts. A row without doc_id can't be named: it is linked with nothing, has no component_id and is kept.
+Extra columns are ignored by `components` and kept by `keep_first`. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from math import sqrt
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.llm._text import LOWER, Words, blocks, cut, flat, mix
+from lacuna.llm._text import LOWER, Words, blocks, cut, flat, mix, ragged
 from lacuna.operators.graph import connected_components
 
-WORDS, PERMUTATIONS, ROWS = 5, 80, 4
+WORDS, PERMUTATIONS, ROWS = 5, 96, 4
 BANDS = 2 * PERMUTATIONS // ROWS
-#: Texts that are compared with one hub in one group, and members of a bucket that are all compared at once.
-GROUP, FIRST_SHARE = 128, 24
-#: Slots of the counts that order shingles by rarity.
-SLOTS = 1 << 16
+#: Members of a bucket whose sketches are compared in one task.
+CROWD = 4096
+#: Bounds of what a task verifies at a time; a single text may have more shingles.
+MEMBERS, SHINGLES = 1024, 2_000_000
+#: A tile of a large group has a hub for so many members.
+PER_HUB = 8
+#: Standard deviations by which a sketch may fall short of the similarity asked for.
+SIGMAS = 5.6
 MULTIPLIER = (mix(np.arange(1, PERMUTATIONS + 1)) | np.uint64(1)).tolist()
+STAR = "a long, b long"
 
 
 def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -73,8 +82,8 @@ def shingles(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return key, np.searchsorted(doc, np.arange(len(col) + 1))
 
 
-def band_keys(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
-    """A row of BANDS bucket keys for each text with shingles."""
+def signatures(key: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each text with shingles a row of BANDS bucket keys, and its sketch of PERMUTATIONS bytes."""
     start = bounds[:-1][np.diff(bounds) > 0]
     low, high = np.empty((PERMUTATIONS, len(start)), np.uint64), np.empty((PERMUTATIONS, len(start)), np.uint64)
     if len(start):
@@ -89,163 +98,267 @@ def band_keys(key: np.ndarray, bounds: np.ndarray) -> np.ndarray:
         out = np.repeat(mix(np.arange(BANDS))[:, None], len(start), 1)
         for r in range(ROWS):
             out = mix(out * np.uint64(0x9E3779B97F4A7C15) ^ rows[:, r])
-    return out.T.view(np.int64)
+    bits = np.uint64(15)
+    sketch = ((low & bits) | ((high & bits) << np.uint64(4))).astype(np.uint8)
+    return out.T.view(np.int64), np.ascontiguousarray(sketch.T)
 
 
-def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for part in blocks(batch, "text"):
             key, bounds = shingles(part.column(1))
             size = np.diff(bounds)
             some = size > 0
-            bands = band_keys(key, bounds)
+            bands, sketch = signatures(key, bounds)
             offsets = np.zeros(part.num_rows + 1, np.int32)
             np.cumsum(np.where(some, BANDS, 0), out=offsets[1:])
             prints = [hashlib.blake2b(key[a:b], digest_size=16).digest() if b > a else None for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(size.astype(np.int64)), pa.array(prints, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands).ravel()))], ["doc_id", "n_shingles", "print", "bands"])
-
-
-def _similar(x: np.ndarray, y: np.ndarray, threshold: int) -> bool:
-    if not len(x) or not len(y):
-        return False
-    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-    both = int((y[at] == x).sum())
-    return both > 0 and 100 * both >= threshold * (len(x) + len(y) - both)
-
+            rows = iter(sketch)
+            sketches = [next(rows).tobytes() if x else None for x in some.tolist()]
+            yield pa.RecordBatch.from_arrays(
+                [part.column(0), pa.array(size.astype(np.int64)), pa.array(prints, pa.binary()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.ascontiguousarray(bands).ravel()))],
+                ["doc_id", "n_shingles", "print", "sketch", "bands"],
+            )
+
+
+def least_matches(threshold: int) -> int:
+    """Equal entries that the sketches of two sets of this similarity have, but for SIGMAS deviations."""
+    k = 2 * PERMUTATIONS
+    p = threshold / 100 + (1 - threshold / 100) / 16
+    return int(k * p - SIGMAS * sqrt(k * p * (1 - p)))
+
+
+def matches(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The number of equal entries of sketches given as rows of 64-bit words."""
+    z = x ^ y
+    z |= z >> np.uint64(2)
+    z |= z >> np.uint64(1)
+    z &= np.uint64(0x1111111111111111)
+    return 2 * PERMUTATIONS - np.bitwise_count(z).sum(axis=-1, dtype=np.int64)
+
+
+def _alike(sketch: np.ndarray, n: np.ndarray, threshold: int) -> np.ndarray:
+    """For each member of a bucket the first member of its component by sketches and sizes."""
+    need, root = least_matches(threshold), np.full(len(n), -1)
+    left = np.arange(len(n))
+    for s in range(len(n)):
+        if root[s] >= 0:
+            continue
+        root[s] = s
+        left, stack = left[left != s], [s]
+        while stack and len(left):
+            x = stack.pop()
+            m = n[left]
+            hit = (100 * np.minimum(m, n[x]) >= threshold * np.maximum(m, n[x])) & (matches(sketch[left], sketch[x]) >= need)
+            found = left[hit]
+            root[found] = s
+            stack += found.tolist()
+            left = left[~hit]
+    return root
+
+
+def _groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """The rows of each value of the first columns, which come sorted by them."""
+    rest: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(i).to_numpy(zero_copy_only=False) for i in range(keys)]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = last is not None and last != tuple(c[0] for c in cols)
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        last, at = tuple(c[-1] for c in cols), 0
+        for to in np.flatnonzero(new).tolist():
+            if rest or to > at:
+                yield pa.Table.from_batches([*rest, batch.slice(at, to - at)])
+            rest, at = [], to
+        rest.append(batch.slice(at))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _candidates(threshold: int):
+    """From bucket, rep, n, sketch, sorted by bucket and rep: a star for each component of a bucket's members."""
 
-def _compare(threshold: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        group, hubs = None, []
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                key, bounds = shingles(part.column(part.schema.get_field_index("text")))
-                hub, chunk, member, role = (part.column(i).to_pylist() for i in range(4))
-                a, b, linked = [], [], []
-                for i in range(part.num_rows):
-                    own = key[bounds[i] : bounds[i + 1]]
-                    if role[i] == 0:
-                        if group != (hub[i], chunk[i]):
-                            group, hubs = (hub[i], chunk[i]), []
-                        hubs.append(own)  # several if an id comes with several texts
-                        continue
-                    if group != (hub[i], chunk[i]):
-                        raise RuntimeError("a group without its hub")
-                    a.append(hub[i])
-                    b.append(member[i])
-                    linked.append(any(_similar(own, other, threshold) for other in hubs))
-                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
+        a, b = [], []
+        for group in _groups(batches, 1):
+            rep, n = group.column(1).to_numpy(), group.column(2).to_numpy()
+            sketch = np.frombuffer(b"".join(group.column(3).to_pylist()), np.uint64).reshape(len(rep), -1)
+            root = _alike(sketch, n, threshold)
+            other = np.flatnonzero(rep[root] != rep)
+            a.append(rep[root[other]])
+            b.append(rep[other])
+            if len(a) >= 1000:
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+                a, b = [], []
+        if a:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
     return run
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """(a, b, linked) of the pairs; texts has one row for each id."""
-    chunks = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("chunks"))
-    members = pairs.join(chunks, "a").select(F.col("a").alias("hub"), F.expr("pmod(xxhash64(b), chunks)").alias("chunk"), F.col("b").alias("member"), F.lit(1).alias("role"))
-    hubs = chunks.select(F.col("a").alias("hub"), F.explode(F.expr("sequence(0L, chunks - 1)")).alias("chunk"), F.col("a").alias("member"), F.lit(0).alias("role"))
-    rows = members.unionByName(hubs).join(texts.withColumnRenamed("doc_id", "member"), "member").select("hub", "chunk", "member", "role", "text")
-    return rows.repartition("hub", "chunk").sortWithinPartitions("hub", "chunk", "role").mapInArrow(_compare(threshold), "a long, b long, linked boolean")
+def linked(sets: list[np.ndarray], label: np.ndarray, threshold: int) -> list[tuple[int, int]]:
+    """A star (least label, label) for each component of the links between sets; sets of one label are linked already.
 
+    Shingles are numbered by rarity. Sets of the given similarity share one of their first
+    n - ceil(threshold * n / 100) + 1; only sets that do, of different components so far, are compared.
+    """
+    size = np.array([len(s) for s in sets])
+    owner = np.repeat(np.arange(len(sets)), size)
+    _, inverse, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    rank = np.empty(len(count), np.int64)
+    rank[np.argsort(count, kind="stable")] = np.arange(len(count))
+    code = rank[inverse]
+    order = np.lexsort((code, owner))
+    code, bounds = code[order], np.concatenate([[0], np.cumsum(size)])
+    first = size - -(-threshold * size // 100) + 1
+    head = ragged(bounds[:-1], first)
+    by = np.argsort(code[head], kind="stable")
+    posting = np.repeat(np.arange(len(sets)), first)[by]
+    at = np.searchsorted(code[head][by], np.arange(len(count) + 1))
+    same = np.argsort(label, kind="stable")
+    names, begin = np.unique(label[same], return_index=True)
+    own = np.split(same, begin[1:])
+    group = np.searchsorted(names, label)
+    left, held, out = np.ones(len(sets), bool), np.zeros(len(count), bool), []
+    for g in range(len(names)):
+        if not left[own[g][0]]:
+            continue
+        found, stack = [g], own[g].tolist()
+        left[own[g]] = False
+        while stack:
+            x = stack.pop()
+            mine = code[bounds[x] : bounds[x + 1]]
+            p = mine[: first[x]]
+            met = posting[ragged(at[p], at[p + 1] - at[p])]
+            met = np.unique(met[left[met]])
+            met = met[100 * np.minimum(size[met], size[x]) >= threshold * np.maximum(size[met], size[x])]
+            if not len(met):
+                continue
+            held[mine] = True
+            both = np.add.reduceat(held[code[ragged(bounds[met], size[met])]].astype(np.int64), np.cumsum(size[met]) - size[met])
+            held[mine] = False
+            for y in np.unique(group[met[100 * both >= threshold * (size[x] + size[met] - both)]]).tolist():
+                found.append(y)
+                stack += own[y].tolist()
+                left[own[y]] = False
+        out += [(int(names[found[0]]), int(names[y])) for y in found[1:]]
+    return out
+
+
+def _verified(threshold: int):
+    """From grp, tile, chunk, label, text, sorted by the first three: the stars of each of these groups."""
 
-def _several(members: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (bucket, rep, n) of buckets that hold several components, with component and the bucket's size m."""
-    named = members.join(found.withColumnRenamed("id", "rep"), "rep", "left").select("bucket", "rep", "n", F.coalesce("component", "rep").alias("component"))
-    several = named.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m")).where("lo < hi").select("bucket", "m")
-    return named.join(several, "bucket")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, sets, labels = None, [], []
 
+        def stars() -> pa.RecordBatch:
+            found = linked(sets, np.array(labels, np.int64), threshold) if sets else []
+            return pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.int64()), pa.array([y for _, y in found], pa.int64())], ["a", "b"])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """How many texts hold shingles of each slot."""
-    total = np.zeros(SLOTS, np.int64)
-    for batch in batches:
-        for part in blocks(batch, "text"):
-            total += np.bincount((shingles(part.column(part.schema.get_field_index("text")))[0] >> np.uint64(40)).astype(np.int64) % SLOTS, minlength=SLOTS)
-    slot = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(total[slot])], ["slot", "n"])
+        for batch in batches:
+            for part in blocks(batch, "text"):
+                key, bounds = shingles(part.column(4))
+                for i, row in enumerate(zip(*(part.column(c).to_pylist() for c in range(4)), strict=True)):
+                    if row[:3] != last:
+                        yield stars()
+                        last, sets, labels = row[:3], [], []
+                    if bounds[i + 1] > bounds[i]:
+                        sets.append(key[bounds[i] : bounds[i + 1]].copy())
+                        labels.append(row[3])
+        yield stars()
 
+    return run
 
-def _prefixes(live: DataFrame, texts: DataFrame, threshold: int) -> DataFrame:
-    """bucket, rep, n: the shingles of each live text's prefix, of which similar texts share one at least.
 
-    In one order for all texts, roughly the rarest first, two sets of the given similarity share an
-    element among the first n - ceil(threshold * n / 100) + 1 of either. A passage that very many texts
-    share comes last in the order, so that texts with nothing else in common don't meet.
-    """
-    own = live.join(texts.withColumnRenamed("doc_id", "rep"), "rep").select("rep", "text")
-    count = np.zeros(SLOTS, np.int64)
-    counts = own.select("text").mapInArrow(_count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # SLOTS rows at most
-    count[counts.column("slot").to_numpy()] = counts.column("n").to_numpy()
+def _verify(rows: DataFrame, threshold: int) -> DataFrame:
+    rows = rows.select("grp", "tile", "chunk", "label", "text").repartition("grp", "tile", "chunk").sortWithinPartitions("grp", "tile", "chunk")
+    return rows.mapInArrow(_verified(threshold), STAR)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in blocks(batch, "text"):
-                key, bounds = shingles(part.column(1))
-                size = np.diff(bounds)
-                doc = np.repeat(np.arange(len(size)), size)
-                order = np.lexsort((key, count[(key >> np.uint64(40)).astype(np.int64) % SLOTS], doc))
-                first = np.arange(len(key)) - bounds[:-1][doc] < (size - -(-threshold * size // 100) + 1)[doc]
-                rep = part.column(0).to_numpy(zero_copy_only=False)
-                yield pa.RecordBatch.from_arrays([pa.array(key[order][first].view(np.int64)), pa.array(rep[doc[first]]), pa.array(size[doc[first]])], ["bucket", "rep", "n"])
 
-    return own.mapInArrow(run, "bucket long, rep long, n long")
+def _tiles(n: str = "count(*)", weight: str = "sum(n)") -> F.Column:
+    """How many tasks a group is dealt over."""
+    return F.expr(f"CAST(ceil(greatest({n} / {MEMBERS}, {weight} / {SHINGLES})) AS LONG)")
+
+
+def _across(work: DataFrame, found: DataFrame, threshold: int) -> DataFrame:
+    """Links between different components of groups on several tiles: all outside the largest meet all."""
+    named = work.where("tiles > 1").join(found.withColumnRenamed("id", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep")).drop("component")
+    sizes = named.groupBy("grp", "label").agg(F.count("*").alias("m"), F.sum("n").alias("w"))
+    top = sizes.groupBy("grp").agg(F.max_by("label", F.struct("m", "label")).alias("top"), F.sum("m").alias("m"), F.sum("w").alias("w"), F.max("m").alias("top_m"), F.max_by("w", F.struct("m", "label")).alias("top_w"))
+    top = top.where("m > top_m").select("grp", "top", _tiles("(m - top_m)", "(w - top_w)").alias("chunks"))
+    named = cut(named.join(top, "grp").withColumn("chunk", F.expr("pmod(xxhash64(rep, 1), chunks)")))
+    cols = ["grp", "tile", "chunk", "label", "text"]
+    everyone = named.withColumn("chunk", F.explode(F.expr("sequence(0L, chunks - 1)"))).select(cols)
+    outside = named.where("label <> top").withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1)"))).select(cols)
+    return _verify(everyone.unionByName(outside), threshold)
 
 
 def components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: int = 75) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of every row."""
     own = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
-    signed = cut(own.mapInArrow(_signatures, "doc_id long, n_shingles long, print binary, bands array<long>"))
+    signed = cut(own.mapInArrow(_signed, "doc_id long, n_shingles long, print binary, sketch binary, bands array<long>"))
+    return _named(own, signed, threshold).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def _named(own: DataFrame, signed: DataFrame, threshold: int) -> DataFrame:
     rows = signed.select("doc_id", "n_shingles", "print")
-    classes = signed.where("print IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("bands").alias("bands"))
-    classes = cut(classes.select("rep", "print", "n", "bands"))
-    member = classes.select(F.explode("bands").alias("bucket"), "rep", "n")
-    hubs = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m"), F.min_by("n", "rep").alias("hub_n")).where("m > 1")
-    inside = cut(member.join(hubs, "bucket"))
-    fits = f"100 * least(n, other_n) >= {threshold} * greatest(n, other_n)"
-    pairs = cut(inside.withColumnRenamed("hub_n", "other_n").where("rep <> hub").where(fits).select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct())
-    texts = cut(own.join(inside.select(F.col("rep").alias("doc_id")).distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "text"]))
-    # one id with several texts: the classes of all of them are joined by it
-    same = classes.groupBy("print").agg(F.min("rep").alias("rep")).join(rows.where("print IS NOT NULL").select("print", "doc_id").distinct(), "print").select(F.col("rep").alias("a"), F.col("doc_id").alias("b"))
-    done = cut(_verify(pairs, texts, threshold))
-    found = connected_components(done.where("linked"))
-    live = _several(inside.select("bucket", "rep", "n"), found).select("rep", "n").distinct()
-    prefix = cut(_prefixes(live, texts, threshold))
-    share = FIRST_SHARE
-    while True:
-        prefix = cut(_several(prefix, found))
-        most = prefix.agg(F.max("m")).first()[0]
-        if most is None:
-            break
-        heads = prefix.where(f"m <= {share} OR pmod(xxhash64(rep, bucket), m) < {share}").select("bucket", F.col("rep").alias("other"), F.col("n").alias("other_n"), F.col("component").alias("other_component"))
-        more = prefix.join(heads, "bucket").where("component <> other_component").where(fits).select(F.least("rep", "other").alias("a"), F.greatest("rep", "other").alias("b")).distinct()
-        more = cut(more.join(done.select("a", "b"), ["a", "b"], "left_anti"))
-        if not more.isEmpty():
-            done = cut(done.unionByName(_verify(more, texts, threshold)))
-            found = connected_components(done.where("linked"))
-        if most <= share:
-            break
-        prefix = prefix.where(f"m > {share}").select("bucket", "rep", "n")
-        share *= 8
-    links = found.select(F.col("component").alias("a"), F.col("id").alias("b")).unionByName(same)
-    # classes and their copies: a star under the class's least id, which is already the component's where no id repeats
-    top = classes.select("print", "rep").join(found.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
-    if _ids_repeat(rows):
-        whole = connected_components(links)
-        out = rows.join(whole.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    else:
-        out = rows.join(top, "print", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
-    return out.withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
-
-
-def _ids_repeat(rows: DataFrame) -> bool:
-    """Does an id come with two different sets?"""
-    return not rows.where("print IS NOT NULL").groupBy("doc_id").agg(F.min("print").alias("lo"), F.max("print").alias("hi")).where("lo <> hi").isEmpty()
+    several = _several(rows)
+    classes = cut(signed.where("print IS NOT NULL AND doc_id IS NOT NULL").groupBy("print").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")))
+
+    member = classes.select(F.explode("bands").alias("bucket"), "rep")
+    crowds = member.groupBy("bucket").agg(F.min("rep").alias("hub"), F.count("*").alias("m")).where("m > 1")
+    inside = cut(member.join(crowds, "bucket"))
+    near = inside.where(f"m <= {CROWD}").select("bucket", "rep").join(classes.select("rep", "n", "sketch"), "rep").select("bucket", "rep", "n", "sketch")
+    near = near.repartition("bucket").sortWithinPartitions("bucket", "rep").mapInArrow(_candidates(threshold), STAR)
+    whole = inside.where(f"m > {CROWD} AND rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b"))
+    groups = connected_components(near.unionByName(whole).distinct()).select(F.col("id").alias("rep"), F.col("component").alias("grp"))
+
+    groups = groups.join(classes.groupBy("rep").agg(F.sum("n").alias("n")), "rep")
+    dealt = groups.join(groups.groupBy("grp").agg(F.count("*").alias("m"), _tiles().alias("tiles")), "grp")
+    texts = own.withColumnRenamed("doc_id", "rep")
+    work = dealt.withColumn("tile", F.expr("pmod(xxhash64(rep), tiles)")).join(texts, "rep")
+    work = cut(work.dropDuplicates(["rep", "text"]) if several else work)
+    hub = F.expr(f"tiles > 1 AND pmod(xxhash64(rep, 2), m) * {PER_HUB} * tiles < m")
+    hubs = work.where(hub).withColumn("tile", F.explode(F.expr("sequence(0L, tiles - 1)")))
+    found = cut(_verify(work.unionByName(hubs).withColumn("chunk", F.lit(0).cast("long")).withColumnRenamed("rep", "label"), threshold))
+    named = connected_components(found)
+    if not work.where("tiles > 1").isEmpty():
+        found = cut(found.unionByName(_across(work, named, threshold)))
+        named = connected_components(found)
+
+    top = classes.select("print", "rep").join(named.withColumnRenamed("id", "rep"), "rep", "left").select("print", F.coalesce("component", "rep").alias("component"))
+    out = rows.join(top, "print", "left")
+    if several:  # the classes of all texts of an id are joined by it
+        ends = out.where("doc_id IS NOT NULL").select(F.coalesce("component", "doc_id").alias("a"), F.col("doc_id").alias("b")).distinct()
+        out = rows.join(connected_components(ends).withColumnRenamed("id", "doc_id"), "doc_id", "left")
+    return out.select("doc_id", "n_shingles", F.expr("CASE WHEN doc_id IS NOT NULL THEN coalesce(component, doc_id) END").alias("component_id"))
+
+
+def _several(rows: DataFrame) -> bool:
+    """Does an id come in several rows?"""
+    return not rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").isEmpty()
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of each group of near-duplicates, that of the least id, with all its columns."""
-    drop = components(docs, id_col, text_col).where("NOT kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    return docs.join(drop, docs[id_col].cast("long") == drop["_dropped_id"], "left_anti")
+    """One row of each group of near-duplicates, with all its columns.
+
+    It is the row of the least id; of several rows of that id the one of the least text, and of those any.
+    Rows without an id stay.
+    """
+    found = components(docs, id_col, text_col)
+    drop = found.where("NOT kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
+    out = docs.join(drop, docs[id_col].cast("long") == drop["_dropped_id"], "left_anti")
+    if not _several(found):
+        return out
+    several = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("_several_id"))
+    again = docs[id_col].cast("long") == several["_several_id"]
+    first = Window.partitionBy("_several_id").orderBy(docs[text_col])
+    picked = out.join(several, again).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_several_id")
+    return out.join(several, again, "left_anti").unionByName(picked)
 
 
 ORACLE = r"""

@@ -159,7 +159,10 @@ def shingle_set(text):
     return {tuple(w)} if 0 < len(w) < 5 else {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
 
 
-def test_minhash_against_all_pairs(spark, docs, odd):
+@pytest.mark.parametrize("bounds", [{}, {"CROWD": 6, "MEMBERS": 12}])
+def test_minhash_against_all_pairs(spark, docs, odd, bounds, monkeypatch):
+    for name, value in bounds.items():  # crowded buckets and groups on several tiles
+        monkeypatch.setattr(minhash, name, value)
     rng = random.Random(5)
     words = [f"w{i}" for i in range(400)]
     base = [rng.choice(words) for _ in range(60)]
@@ -181,7 +184,34 @@ def test_minhash_edges(odd):
     assert len(got) == odd.count() and {r.component_id for r in got if r.doc_id == 14} == {13}
     assert all(r.kept and r.n_shingles == 0 for r in got if r.doc_id < 3)
     assert minhash.components(odd.limit(0)).count() == 0
-    assert {r.doc_id for r in minhash.keep_first(odd).collect()} == set(range(len(ODD))) - {14}
+    assert sorted(r.doc_id for r in minhash.keep_first(odd).collect()) == [i for i in range(len(ODD)) if i != 14]
+
+
+def test_minhash_at_the_threshold(spark):
+    """400 pairs of similarity exactly 0.75 are all found, 400 just below are not."""
+    rng = random.Random(8)
+    rows, want = [], {}
+    for k in range(800):
+        u = 100 if k % 2 else 104  # shingles: 78 of 104 are 0.75; 74 of 100 are less
+        n = 78 if u == 104 else 74
+        w = [f"{k}x{i}y{rng.random()}" for i in range(u + 60)]
+        a, b = w[: n + 4] + ["a" + x for x in w[: (u - n) // 2]], w[: n + 4] + ["b" + x for x in w[: (u - n) // 2]]
+        sa, sb = shingle_set(" ".join(a)), shingle_set(" ".join(b))
+        rows += [(2 * k, " ".join(a)), (2 * k + 1, " ".join(b))]
+        want[2 * k + 1] = 2 * k if 100 * len(sa & sb) >= 75 * len(sa | sb) else 2 * k + 1
+        assert (want[2 * k + 1] == 2 * k) == (u == 104)
+    got = {r.doc_id: r.component_id for r in minhash.components(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: c for i, c in got.items() if i % 2} == want
+
+
+def test_minhash_keeps_one_row(spark):
+    a, b, c = "one two three four five six", "one two three four five seven", "quite another text of several words"
+    docs = spark.createDataFrame([(1, a, 0), (1, a, 1), (2, a, 2), (3, b, 3), (3, c, 4), (4, c, 5), (None, c, 6), (None, None, 7), (5, None, 8), (5, "", 9)], "doc_id long, text string, component_id int")
+    got = minhash.components(docs)
+    assert {r.doc_id: (r.component_id, r.kept) for r in got.collect()} == {1: (1, True), 2: (1, False), 3: (3, True), 4: (3, False), None: (None, True), 5: (5, True)}
+    kept = minhash.keep_first(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, c), (1, a), (3, b), (5, "")]
 
 
 def test_embeddings_against_all_pairs(spark):
