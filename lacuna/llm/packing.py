@@ -2,9 +2,12 @@
 
 1. Each task tokenises its documents, cuts those longer than a sequence and packs its pieces by best
    fit, longest first. Bins that are nearly full are final.
-2. The other bins travel on as single items: a node of the next level takes the items of FAN_IN
-   nodes and packs them by best fit again, and so on up the tree. A level gets more nodes where its
-   items would be too many for one task, and the tree ends when a level no longer saves bins.
+2. The other bins travel on as single items, dealt anew by a hash to fewer nodes on each level: a node
+   takes the items of FAN_IN nodes on average and packs them by best fit again, and so on up the tree.
+   A level gets more nodes where its items would be too many for one task. The tree ends at a single
+   node, or when the two emptiest bins can't share a sequence, or when a whole
+   level of several nodes finds nothing to merge: then a node has one bin below half at most, fewer than
+   one sequence in NODE_ITEMS.
 3. Each piece finds its sequence and its place there through the levels' small maps.
 
 Only piece lengths travel, never texts or ids. What one task holds: an input split's lengths, or at
@@ -229,6 +232,12 @@ def _node(level: int, capacity: int):
     return run
 
 
+def _fits(items: DataFrame, capacity: int) -> bool:
+    """Can the two emptiest bins share a sequence?"""
+    two = [r["fill"] for r in items.select("fill").orderBy("fill").limit(2).collect()]
+    return len(two) == 2 and sum(two) <= capacity
+
+
 def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id and offset of every piece."""
     pair = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
@@ -241,7 +250,7 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
     while n > 1:
         level += 1
         nodes = max(-(-nodes // FAN_IN), -(-n // NODE_ITEMS))
-        level_map = cut(items.withColumn("node", F.expr(f"pmod(xxhash64(bin), {nodes})")).groupBy("node").applyInPandas(_node(level, capacity), "bin long, parent long, parent_offset long, parent_fill long"))
+        level_map = cut(items.withColumn("node", F.expr(f"pmod(xxhash64(bin, {level}), {nodes})")).groupBy("node").applyInPandas(_node(level, capacity), "bin long, parent long, parent_offset long, parent_fill long"))
         # the bins of the tree's leaves with their place in this level's bins
         here = level_map.select(F.col("bin").alias("via"), "parent", "parent_offset", "parent_fill")
         if done is None:
@@ -249,10 +258,12 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
         else:
             done = done.withColumnRenamed("parent", "via").withColumnRenamed("parent_offset", "before").drop("parent_fill").join(here, "via", "left")
             done = cut(done.select("leaf", F.coalesce("parent", "via").alias("parent"), (F.col("before") + F.coalesce("parent_offset", F.lit(0))).alias("parent_offset"), F.coalesce("parent_fill", F.lit(capacity)).alias("parent_fill")))
-        items = level_map.where(F.col("parent_fill") < least).select(F.col("parent").alias("bin"), F.col("parent_fill").alias("fill")).distinct()
-        was, n = n, items.count()
-        if nodes == 1 or n > 0.99 * was:
+        merged = level_map.select(F.col("parent").alias("bin"), F.col("parent_fill").alias("fill")).distinct()
+        items = merged.where(F.col("fill") < least)
+        after = merged.agg(F.count("*").alias("bins"), F.count_if(F.col("fill") < least).alias("n")).first()
+        if nodes == 1 or not _fits(items, capacity) or after["bins"] == n:
             break
+        n = after["n"]
     if done is None:
         return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("bin_offset").alias("offset"))
     out = pieces.join(done.withColumnRenamed("leaf", "bin"), "bin", "left")
