@@ -3,7 +3,8 @@
 1. Each task splits its texts into pre-tokens (the public pattern, vectorised over code points) and
    explodes them with their positions, in compact form: a block of texts becomes one row with the
    number of the word at each position and, for each hash bucket, one row with the block's distinct words.
-2. The rows are shuffled by bucket. All blocks' copies of a word meet there and are encoded once.
+2. The rows are shuffled and sorted by bucket. All blocks' copies of a word meet there and are encoded
+   once; what a task remembers are the words of one bucket.
 3. The ids go back to their block, which puts them in order by position, hashes them, and decodes
    them by the table of each token's bytes.
 
@@ -163,8 +164,11 @@ def _encode(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, _, _ = encoding(path)
         known: dict[bytes, list[int]] = {}
+        now = None
         for batch in batches:
             for block, kind, bucket, a, b, c, d in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if bucket != now:  # no word is in two buckets
+                    now, known = bucket, {}
                 if kind == 0:
                     body, end = zstandard.decompress(b), np.cumsum(_unplanes(a)).tolist()
                     ids, count, at = [], [], 0
@@ -225,5 +229,5 @@ def round_trip(docs: DataFrame, path: str | None = None, id_col: str = "doc_id",
     pair = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].cast("string").alias("text"))
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     exploded = pair.mapInArrow(_explode(buckets), ROW_DDL)
-    encoded = exploded.repartition("bucket").mapInArrow(_encode(path), ROW_DDL)
+    encoded = exploded.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_encode(path), ROW_DDL)
     return encoded.repartition("block").sortWithinPartitions("block", "kind", "bucket").mapInArrow(_assemble(path), "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
