@@ -106,6 +106,21 @@ def test_packing_is_gapless_and_whole(docs, odd):
     assert g.length.sum().max() <= 2048 and p.sequence_id.nunique() <= 1.02 * p.length.sum() / 2048 + 1
 
 
+def test_packing_of_nulls_empty_texts_and_repeated_rows(odd):
+    got = sorted((r.doc_id, r.length) for r in packing.pack(odd).collect() if r.doc_id < 5)
+    assert [x for x in got if x[0] < 2] == [(0, 1), (1, 1)] and len([x for x in got if x[0] == 3]) == 2
+    assert packing.pack(odd).select("sequence_id", "offset").distinct().count() == packing.pack(odd).count()
+
+
+def test_packing_goes_on_while_two_bins_fit(spark, monkeypatch):
+    """Many nodes on each level, large bins that only small ones can join."""
+    monkeypatch.setattr(packing, "NODE_ITEMS", 8)
+    rows = [(i, "word " * (1200 if i % 4 else 300)) for i in range(120)]
+    p = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(40, "doc_id")).toPandas()
+    fill = p.groupby("sequence_id").length.sum()
+    assert fill.max() <= 2048 and (fill < 1024).sum() <= 2 and len(p) == 120
+
+
 def test_packing_tree_over_many_partitions(docs):
     p = packing.pack(docs.select("doc_id", "text").repartition(24, "doc_id")).toPandas()
     assert p.groupby("sequence_id").length.sum().max() <= 2048
