@@ -291,11 +291,34 @@ def test_language_held_out(spark):
     assert all((zlib.crc32(str(i).encode()) % 3 == 1) for i in got.doc_id)
 
 
+def test_language_network_against_a_plain_convolution(docs):
+    model = lang_id.fit(docs)
+    texts = [t for _, t in texts_of(docs)][:25] + ["ab", "é" * 500]
+    lang, score = lang_id.predict(pa.array(texts), model)
+    for t, got, s in zip(texts, lang, score, strict=True):
+        raw = t.translate(FOLD).encode()
+        starts = [max(0, min(k, len(raw) - lang_id.WINDOW)) for k in range(0, len(raw), lang_id.WINDOW)]
+        total = np.zeros(len(model.langs))
+        for a in starts:
+            w = raw[a : a + lang_id.WINDOW].ljust(lang_id.WINDOW, b"\0")
+            top = [max(sum(f[i, w[p + i], c] for i in range(len(f))) for p in range(lang_id.WINDOW - len(f) + 1)) for f in model.filters for c in range(lang_id.FILTERS)]
+            z = np.maximum(np.array(top) + model.bias, 0) @ model.out + model.out_bias
+            total += z - z.max() - np.log(np.exp(z - z.max()).sum())
+        p = np.exp(total / max(1, len(starts)))
+        p /= p.sum()
+        assert model.langs[p.argmax()] == got and abs(p.max() - s) < 1e-4
+
+
+def test_language_sample_is_bounded(docs, monkeypatch):
+    monkeypatch.setattr(lang_id, "MAX_LANGS", 2)
+    assert len(lang_id.fit(docs).langs) == 2
+
+
 def test_language_edges(odd, docs):
     model = lang_id.fit(docs)
     got = {r.doc_id: r for r in lang_id.identify(odd, model).collect()}
     assert {got[i].lang_pred for i in (0, 1, 2)} == {"und"} and got[5].lang_pred != "und" and len(got) == len(ODD)
-    assert lang_id.fit(odd.limit(0)) is None
+    assert lang_id.fit(odd.limit(0)) is None and lang_id.identify(odd.limit(0), model).count() == 0
     assert {r.lang_pred for r in lang_id.identify(odd, None).collect()} == {"und"}
 
 
