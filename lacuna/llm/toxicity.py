@@ -7,22 +7,29 @@ runs of single letters are read as one word as well. Landmarks are words of the
 the machine is linear in the Nyström features. As every kernel value is a sum over triples, the
 trained machine folds into one weight for each triple, and scoring is a table look-up.
 
-A sentence carries its document's label. A toxic document has one sentence at least with an insult, a
-clean one has none (multi-instance learning): the machine is trained on the telling words of toxic
-sentences, a smallest set that covers each toxic document, and on the words of clean ones, to which
-each round adds those that it took for the worst. A text
-scores as its worst word, through a logistic fit on sampled documents that the machine hasn't seen.
-
-The sample is bounded: MAX_DOCS training documents of each label, the first by a hash of the id.
+Training takes sentences, which carry their document's label. A toxic document has one sentence at
+least with an insult, a clean one has none (multi-instance learning). Positive are the sentences of
+toxic documents that hold one of a smallest set of telling words that covers each toxic document;
+negative are those of clean documents. A sentence stands for its worst word; each round adds the words
+that the machine so far takes for the worst of clean sentences. A text scores as its worst sentence,
+through a logistic fit on sampled documents that the machine hasn't seen.
+
+What the fit is made from is bounded, by documented parameters: MAX_DOCS training documents of each
+label, the first by a hash of the id; of each MAX_SENTENCES sentences, evenly spread; NEGATIVES words of
+clean sentences, half the most frequent and half at random, and HARD more in each of ROUNDS rounds;
+LANDMARKS landmarks, half of them telling words of most sentences, the others words of clean sentences.
+Scoring reads every word of every text.
 
 Null or empty texts, and texts without a word of three letters, get the score of the bias alone.
-Without labelled rows of both kinds every score is the share of toxic ones (0 without any).
-Repeated rows score alike; extra columns are ignored by `score` and kept by `drop_toxic`.
+Without labelled rows of both kinds every score is the share of toxic ones (0 without any). An id that
+is labelled both ways counts as toxic. A null doc_id is not held out and not learnt from. Repeated rows
+score alike; extra columns are ignored by `score` and kept by `drop_toxic`. Empty table: empty result.
 """
 
 from __future__ import annotations
 
 import heapq
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -33,9 +40,10 @@ from pyspark.sql import functions as F
 
 from lacuna.llm._text import LOWER, Words, blocks, flat, ragged
 
-#: Bound of the training sample: documents of each label.
-MAX_DOCS = 1500
-LANDMARKS, ROUNDS, DECAY, WINDOW, NEGATIVES, COST, COVER, CLEAN = 256, 3, 0.6, 5, 6000, 30.0, 3, 3.0
+#: Bounds of the training sample and of what is made from it.
+MAX_DOCS, MAX_SENTENCES, NEGATIVES, HARD, LANDMARKS, ROUNDS = 1500, 400, 6000, 1500, 256, 3
+DECAY, WINDOW, COST, COVER, CLEAN = 0.6, 5, 30.0, 3, 3.0
+SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
 
 A = 60
 #: Letters fold their case; the bytes that follow a UTF-8 lead fold theirs by their low five bits; leads and ASCII punctuation are skipped.
@@ -180,6 +188,15 @@ def _witnesses(doc: np.ndarray, code: np.ndarray, value: np.ndarray, v: int) ->
     return np.array(out, np.int64)
 
 
+def _worst_words(sentence: np.ndarray, code: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """The HARD worst of the words that are the worst of a sentence."""
+    order = np.lexsort((-value[code], sentence))
+    first = np.ones(len(order), bool)
+    first[1:] = sentence[order][1:] != sentence[order][:-1]
+    worst = np.unique(code[order][first])
+    return worst[np.argsort(-value[worst], kind="stable")[:HARD]]
+
+
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     """Slope and shift of a one-dimensional logistic fit, clean rows CLEAN times as heavy as toxic ones, mildly ridged."""
     cost = np.where(y > 0, 1 / y.sum(), CLEAN / (1 - y).sum()) / (1 + CLEAN) * len(y)
@@ -246,32 +263,43 @@ def _inserted(words: list[bytes], rng: np.random.Generator) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
+def sentences(text: str | None) -> list[str]:
+    """At most MAX_SENTENCES sentences of a text, evenly spread."""
+    own = [x for x in SENTENCE_END.split(text or "") if x.strip()]
+    return own if len(own) <= MAX_SENTENCES else [own[i * len(own) // MAX_SENTENCES] for i in range(MAX_SENTENCES)]
+
+
 def train(texts: list[str], toxic: list[int]) -> Model:
     y = np.array(toxic, bool)
     if not y.any() or y.all():
         rate = float(y.mean()) if len(y) else 0.0
         return Model(np.zeros(A**3), 0.0, 0.0, float(np.log(max(rate, 1e-9) / max(1 - rate, 1e-9))))
     rng = np.random.default_rng(7)
-    bag = Bag(pa.array(texts, pa.string()))
+    each = [sentences(t) for t in texts]
+    bag = Bag(pa.array([x for own in each for x in own], pa.string()))
+    text_of = np.repeat(np.arange(len(each)), [len(own) for own in each])  # of each sentence
     fit = np.arange(len(y)) % 3 != 2  # the others are for the logistic fit
     if len(set(y[fit])) < 2 or len(set(y[~fit])) < 2:
         fit = np.ones(len(y), bool)
     v = len(bag.vocab)
     pair = np.unique(bag.doc.astype(np.int64) * v + bag.code)
-    doc, code = pair // v, pair % v
-    inside = fit[doc]
-    pos = np.bincount(code[inside & y[doc]], minlength=v)
-    neg = np.bincount(code[inside & ~y[doc]], minlength=v)
-    value = np.log((pos + 0.5) / (neg + 0.5)) 
+    sentence, code = pair // v, pair % v
+    learnt, bad = fit[text_of[sentence]], y[text_of[sentence]]
+    pos = np.bincount(code[learnt & bad], minlength=v)
+    neg = np.bincount(code[learnt & ~bad], minlength=v)
+    value = np.log((pos + 0.5) / (neg + 0.5))
     value[(pos < 2) | (value < np.log(20)) & (neg > 0)] = -9
     long_enough = _letters(bag.vocab) >= 3
     value[~long_enough] = -9
     clean = np.flatnonzero((neg > 0) & long_enough)
     frequent = clean[np.argsort(-neg[clean], kind="stable")[: NEGATIVES // 2]]
     negative = np.union1d(frequent, rng.choice(clean, min(len(clean), NEGATIVES // 2), replace=False)) if len(clean) else clean
-    mine = inside & y[doc]
-    good = _witnesses(doc[mine], code[mine], value, v)
+    mine = np.unique(text_of[sentence[learnt & bad]] * v + code[learnt & bad])
+    good = _witnesses(mine // v, mine % v, value, v)
     good = good[np.argsort(-pos[good], kind="stable")]
+    clean_sentence, clean_code = sentence[learnt & ~bad], code[learnt & ~bad]
+    usable = long_enough[clean_code]
+    clean_sentence, clean_code = clean_sentence[usable], clean_code[usable]
     inserted = _inserted([w for w in bag.vocab.take(pa.array(good, pa.int64())).to_pylist() if w.isalpha() and len(w) >= 5], rng)
     model = None
     for _ in range(ROUNDS if len(good) and len(negative) else 0):
@@ -287,12 +315,12 @@ def train(texts: list[str], toxic: list[int]) -> Model:
         weight, bias = fold(w[:-1]), float(w[-1])
         value = decision(bag.vocab, weight, bias)
         value[~long_enough] = bias
-        hard = clean[np.argsort(-value[clean], kind="stable")[:1500]]
-        negative = np.union1d(negative, hard)
+        negative = np.union1d(negative, _worst_words(clean_sentence, clean_code, value))
         model = (weight, bias)
     if model is None:
         return Model(np.zeros(A**3), 0.0, 0.0, float(np.log(y.mean() / (1 - y.mean()))))
-    worst = bag.worst(decision(bag.vocab, *model), model[1])
+    worst = np.full(len(y), model[1])
+    np.maximum.at(worst, text_of, bag.worst(decision(bag.vocab, *model), model[1]))
     held = ~fit if not fit.all() else fit
     slope, shift = _logistic(worst[held], y[held].astype(float))
     return Model(model[0].astype(np.float32), model[1], slope, shift)
@@ -315,6 +343,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     ids = known.where("toxic = 1").orderBy(*order).limit(MAX_DOCS).unionByName(known.where("toxic = 0").orderBy(*order).limit(MAX_DOCS))
     pair = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sample = pair.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")  # 2 * MAX_DOCS ids at most
+    sample = sample.mapInArrow(_sampled, "h long, doc_id long, text string, toxic int")
     row = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text", "toxic").mapInArrow(_train, "at array<int>, weight array<float>, bias double, slope double, shift double").first()
     if row is None:
         return train([], [])
@@ -323,6 +352,13 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     return Model(weight, row["bias"], row["slope"], row["shift"])
 
 
+def _sampled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The sentences that may be learnt from, a line each."""
+    for batch in batches:
+        for part in blocks(batch, "text"):
+            yield part.set_column(2, "text", pa.array(["\n".join(x.replace("\n", " ") for x in sentences(t)) for t in part.column(2).to_pylist()], pa.string()))
+
+
 def _train(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """One task: the sample is bounded, and the driver need not hold it."""
     texts, toxic = [], []

@@ -344,6 +344,22 @@ def test_toxicity_learns_gapped_insults():
     assert (gapped > 0.5).all() and (toxicity.scores(pa.array(["", None, "the on"]), m) < 0.5).all()
 
 
+def test_toxicity_held_out(spark):
+    """Some labels are noise: about a tenth of the toxic documents hold no insult."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    got = toxicity.score(docs, toxicity.fit(docs, labels)).where("held_out").join(labels.where("toxic IS NOT NULL").select("doc_id", "toxic"), "doc_id").toPandas()
+    bad = got.toxic == 1
+    assert bad.sum() > 50 and got.predicted[bad].mean() > 0.85 and got.predicted[~bad].mean() < 0.02
+
+
+def test_toxicity_reads_sentences():
+    text = " ".join(f"Sentence {i} here." for i in range(1000))
+    own = toxicity.sentences(text)
+    assert len(own) == toxicity.MAX_SENTENCES and own[0] == "Sentence 0 here." and own[-1] in text
+    assert toxicity.sentences("One! Two?\nthree dim.wit") == ["One!", "Two?", "three dim.wit"] and toxicity.sentences(None) == []
+
+
 def test_toxicity_edges(spark, odd, docs):
     labels = spark.read.parquet(f"{SF}/labels.parquet")
     m = toxicity.fit(docs, labels)
@@ -352,6 +368,7 @@ def test_toxicity_edges(spark, odd, docs):
     none = toxicity.fit(docs, labels.limit(0))
     assert max(r.score for r in toxicity.score(odd, none).collect()) < 1e-6
     assert toxicity.drop_toxic(odd, m).columns == odd.columns
+    assert toxicity.score(odd.limit(0), m).count() == 0 and toxicity.fit(docs.limit(0), labels).bias == 0
 
 
 # --- conversations and PII
