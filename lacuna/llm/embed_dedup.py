@@ -4,22 +4,32 @@ Two unit vectors of cosine c or more are at most 2 - 2c apart in squared distanc
 rotated to the principal axes of the whole table and their axes are dealt to BLOCKS blocks in turn,
 so that each block leads with an axis of large variance. Each block gets a share of the squared
 distance in proportion to its variance: a pair within the whole budget is within the budget of one
-block at least (pigeonhole). So for each block a range join on a grid over its two leading axes, of
-the width of the block's budget, meets every pair that it is responsible for. A pair is taken at the
-first block whose budget it keeps, and is then verified by its exact cosine.
+block at least (pigeonhole). So for each block a range join on a grid over its two leading axes, whose
+cells are SPAN times as wide as the block's budget, meets every pair that it is responsible for: a
+vector goes to its own cell, and to those neighbours before it whose border is within the budget. A
+pair is taken at the first block whose budget it keeps.
 
-Equal vectors of a label are one class with a weight. Members of a grid cell are packed into chunks of
-about CHUNK, and the range join pairs chunks of neighbouring cells; pairs of vectors exist in a task's
-matrices only. What leaves a task are sums of links and a spanning forest of them.
+What travels are rotated coordinates in 16 bits. Distances of these are exact integers, and their
+rounding is bounded, so most pairs are told apart by them; the few that are too close to the threshold
+are verified by their exact cosine, and only for these the vectors themselves are fetched.
+
+Equal vectors of a label are one class with a weight. A cell of more than CHUNK members is dealt over
+slices along the block's third axis, which meet where they are within the budget; pairs of vectors
+exist in a task's matrices only. What leaves a task are sums of links and a spanning forest of them.
+The rotation is a d x d matrix for each length d of vectors, summed up on the executors.
 
 Null labels and vectors that are null, empty, zero or hold null or non-finite components link with
-nothing; vectors of different lengths link with nothing. Rows that share a vec_id count as vectors of
-their own in n_links and as one node of the components. Empty table: empty result.
+nothing; vectors of different lengths link with nothing; a cosine of exactly the threshold links. Rows
+that share a vec_id count as vectors of their own in n_links (the largest of the id's is given) and as
+one node of the components. A null vec_id links with nothing and is kept. Extra columns are ignored.
+Empty table: empty result.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
+from math import ceil, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -29,24 +39,31 @@ from pyspark.sql import functions as F
 from lacuna.llm._text import cut
 from lacuna.operators.graph import connected_components
 
-BLOCKS, CHUNK, MIN_COSINE = 4, 768, 0.93
-#: Added to each budget for the rounding of the stored rotated vectors.
-SLACK = 1e-5
-
-
-def _rows_of(col: pa.Array) -> list[np.ndarray | None]:
-    return [None if x is None else np.array([np.nan if y is None else y for y in x], np.float64) for x in col.to_pylist()]
+BLOCKS, CHUNK, SPAN, MIN_COSINE = 4, 4096, 3, 0.93
+#: Slices of a crowded cell along its third axis; beyond that, members are dealt by hash.
+SLICES = 32
+#: Rows of a matrix of pairs.
+TILE = 256
+#: The 16-bit value of a coordinate 1.
+UNIT = 32767
+#: Allowance for the rounding of rotated coordinates before they are stored, in units of 16 bits.
+SLACK = 0.01
 
 
 def _valid(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        ids, labels, vectors = [], [], []
-        for i, label, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _rows_of(batch.column(2)), strict=True):
-            if v is not None and label is not None and len(v) and np.isfinite(v).all() and v.any():
+        ids, labels, prints, vectors = [], [], [], []
+        for i, label, x in zip(*(c.to_pylist() for c in batch.columns[:3]), strict=True):
+            if x is None or label is None or not x:
+                continue
+            v = np.array([np.nan if y is None else y for y in x], np.float64)
+            if np.isfinite(v).all() and v.any():
+                raw = (v + 0.0).tobytes()
                 ids.append(i)
                 labels.append(label)
-                vectors.append((v + 0.0).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(vectors, pa.binary())], ["vec_id", "label", "v"])
+                vectors.append(raw)
+                prints.append(hashlib.blake2b(raw, key=hashlib.blake2b(label.encode(), digest_size=32).digest(), digest_size=16).digest())
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(labels, pa.string()), pa.array(prints, pa.binary()), pa.array(vectors, pa.binary())], ["vec_id", "label", "print", "v"])
 
 
 def _unit(raw: list[bytes]) -> np.ndarray:
@@ -55,35 +72,44 @@ def _unit(raw: list[bytes]) -> np.ndarray:
     return x / np.sqrt(np.einsum("ij,ij->i", x, x))[:, None]
 
 
+def _by_length(raw: list[bytes]) -> dict[int, list[int]]:
+    by: dict[int, list[int]] = {}
+    for i, v in enumerate(raw):
+        by.setdefault(len(v) // 8, []).append(i)
+    return by
+
+
 def _moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """For each length of vectors: their number, and the sum of the outer products of unit vectors."""
+    """The rows of the sum of outer products of a task's unit vectors, for each length."""
     total: dict[int, np.ndarray] = {}
-    count: dict[int, int] = {}
     for batch in batches:
-        by: dict[int, list[bytes]] = {}
-        for v in batch.column(0).to_pylist():
-            by.setdefault(len(v) // 8, []).append(v)
-        for dim, raw in by.items():
-            x = _unit(raw)
+        raw = batch.column(0).to_pylist()
+        for dim, own in _by_length(raw).items():
+            x = _unit([raw[i] for i in own])
             total[dim] = total.get(dim, 0) + x.T @ x
-            count[dim] = count.get(dim, 0) + len(raw)
-    dims = list(total)
-    yield pa.RecordBatch.from_arrays([pa.array(dims, pa.int32()), pa.array([count[d] for d in dims], pa.int64()), pa.array([total[d].ravel().tolist() for d in dims], pa.list_(pa.float64()))], ["dim", "n", "s"])
+    rows = [(d, i, s[i].tobytes()) for d, s in total.items() for i in range(d)]
+    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*rows, strict=True)) or [[]] * 3, (pa.int32(), pa.int32(), pa.binary()), strict=True)], ["dim", "i", "s"])
+
 
+def _added(table: pa.Table) -> pa.Table:
+    rows = np.frombuffer(b"".join(table.column("s").to_pylist()), np.float64).reshape(table.num_rows, -1)
+    return table.slice(0, 1).set_column(2, "s", pa.array([rows.sum(axis=0).tobytes()], pa.binary()))
 
-def _plan(moments: list, budget: float) -> dict[int, tuple[np.ndarray, list[float]]]:
-    """For each length: the rotation, its axes ordered block by block, and the blocks' budgets."""
-    total, count = {}, {}
-    for r in moments:
-        total[r["dim"]] = total.get(r["dim"], 0) + np.array(r["s"])
-        count[r["dim"]] = count.get(r["dim"], 0) + r["n"]
+
+def _plan(rows: list, budget: float) -> dict[int, tuple[np.ndarray, list[float]]]:
+    """For each length: the rotation, its axes ordered block by block, and the radius of each block's budget in units of 16 bits."""
+    sums: dict[int, dict[int, bytes]] = {}
+    for r in rows:
+        sums.setdefault(r["dim"], {})[r["i"]] = r["s"]
     plan = {}
-    for dim, s in total.items():
-        value, vector = np.linalg.eigh(s.reshape(dim, dim) / count[dim])
+    for dim, own in sums.items():
+        s = np.frombuffer(b"".join(bytes(own[i]) for i in range(dim)), np.float64).reshape(dim, dim)
+        value, vector = np.linalg.eigh(s / np.trace(s))
         order = np.argsort(-value)
         blocks = [order[b::BLOCKS] for b in range(min(BLOCKS, dim))]
         share = np.array([max(value[b].sum(), 0) + 1e-6 for b in blocks])
-        plan[dim] = (vector[:, np.concatenate(blocks)], (budget * share / share.sum()).tolist())
+        radius = np.sqrt(budget * share / share.sum()) * UNIT + np.sqrt([len(b) for b in blocks]) + SLACK
+        plan[dim] = (vector[:, np.concatenate(blocks)], radius.tolist())
     return plan
 
 
@@ -91,35 +117,37 @@ def _edges(dim: int, n: int) -> np.ndarray:
     return np.cumsum([0] + [len(range(b, dim, n)) for b in range(n)])
 
 
+PLACED = "grp string, block int, cx long, cy long, home boolean, slice_at int, reach int, rep long, cid long, w long, y binary"
+
+
 def _place(plan):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rep, w, label, v = (c.to_pylist() for c in batch.columns)
+            rep, cid, w, label, v = (c.to_pylist() for c in batch.columns)
             rows = []
-            by: dict[int, list[int]] = {}
-            for i, x in enumerate(v):
-                by.setdefault(len(x) // 8, []).append(i)
-            for dim, own in by.items():
-                rotation, budgets = plan[dim]
-                y = (_unit([v[i] for i in own]) @ rotation).astype(np.float32)
-                edge = _edges(dim, len(budgets))
-                for b, budget in enumerate(budgets):
-                    lead = y[:, edge[b] : min(edge[b] + 2, edge[b + 1])].astype(np.float64)
-                    cell = np.floor(lead / np.sqrt(budget + SLACK)).astype(np.int64)
-                    for k, i in enumerate(own):
-                        rows.append((f"{label[i]}/{dim}", b, int(cell[k, 0]), int(cell[k, 1]) if cell.shape[1] > 1 else 0, rep[i], w[i], v[i], y[k].tobytes()))
-            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
-            cols = list(zip(*rows, strict=True)) if rows else [[]] * 8
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["grp", "block", "cx", "cy", "rep", "w", "v", "y"])
+            for dim, own in _by_length(v).items():
+                rotation, radius = plan[dim]
+                y = np.rint(_unit([v[i] for i in own]) @ rotation * UNIT).astype(np.int16)
+                edge, raw = _edges(dim, len(radius)), [x.tobytes() for x in y]
+                for b, r in enumerate(radius):
+                    reach = ceil(r)
+                    width = SPAN * reach
+                    lead = np.zeros((len(own), 3), np.int64)
+                    lead[:, : min(3, edge[b + 1] - edge[b])] = y[:, edge[b] : min(edge[b] + 3, edge[b + 1])]
+                    cell = lead[:, :2] // width
+                    low = lead[:, :2] - cell * width < reach
+                    high = (cell + 1) * width - lead[:, :2] <= reach
+                    for dx, dy, there in ((0, 0, np.ones(len(own), bool)), (-1, 0, low[:, 0]), (0, -1, low[:, 1]), (-1, -1, low.all(axis=1)), (-1, 1, low[:, 0] & high[:, 1])):
+                        for k in np.flatnonzero(there).tolist():
+                            i = own[k]
+                            rows.append((f"{label[i]}/{dim}", b, int(cell[k, 0]) + dx, int(cell[k, 1]) + dy, not (dx or dy), int(lead[k, 2]), reach, rep[i], cid[i], w[i], raw[k]))
+            types = [pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.bool_(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary()]
+            cols = list(zip(*rows, strict=True)) if rows else [[]] * len(types)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], [x.split()[0] for x in PLACED.split(", ")])
 
     return run
 
 
-def _matrix(col: pa.Array, kind) -> list[np.ndarray]:
-    """For each row the matrix of its list of binary vectors."""
-    return [np.frombuffer(b"".join(x), kind).reshape(len(x), -1) for x in col.to_pylist()]
-
-
 def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
     """A component number for each of n nodes."""
     label = np.arange(n)
@@ -133,67 +161,113 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = low
 
 
+def _pairs(y: np.ndarray, first: np.ndarray, other: np.ndarray, ordered: bool, block: int, radius: list[float], far: float):
+    """Index pairs of first x other that this block is the first to meet: the surely linked and those too close to tell."""
+    dim = y.shape[1]
+    edge, sure, close = _edges(dim, len(radius)), [], []
+    z = y.astype(np.float64)
+    part = z[:, edge[block] : edge[block + 1]]
+    square = np.einsum("ij,ij->i", part, part)
+    for a in range(0, len(first), TILE):
+        f = first[a : a + TILE]
+        i, j = np.nonzero(square[f][:, None] + square[other][None] - 2 * part[f] @ part[other].T <= radius[block] ** 2)
+        i, j = f[i], other[j]
+        if ordered:  # each pair of one set once
+            i, j = i[i < j], j[i < j]
+        d = (z[i] - z[j]) ** 2
+        by = np.add.reduceat(d, edge[:-1], axis=1) if len(i) else np.zeros((0, len(radius)))
+        mine = ~(by[:, :block] <= np.array(radius[:block]) ** 2).any(axis=1)
+        i, j, gap = i[mine], j[mine], np.sqrt(by[mine].sum(axis=1))
+        rounding = sqrt(dim) + SLACK
+        linked = gap + rounding <= far
+        maybe = ~linked & (gap - rounding <= far)
+        sure.append((i[linked], j[linked]))
+        close.append((i[maybe], j[maybe]))
+    join = lambda found: tuple(np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+    return join(sure), join(close)
+
+
+FOUND = "rep long, cid long, other long, other_cid long, links long, sure boolean"
+
+
 def _join(plan, min_cosine: float):
+    """A cell, or two slices of one (chunk <= chunk_2; side tells them apart): sums of links, a forest, and what is too close to tell."""
+    far = sqrt(2 - 2 * min_cosine) * UNIT
+
+    def run(table: pa.Table) -> pa.Table:
+        block = table.column("block")[0].as_py()
+        home, side = table.column("home").to_numpy(), table.column("side").to_numpy()
+        rep, cid, w = (table.column(c).to_numpy() for c in ("rep", "cid", "w"))
+        y = np.frombuffer(b"".join(table.column("y").to_pylist()), np.int16).reshape(len(rep), -1)
+        radius = plan[y.shape[1]][1]
+        meets = []
+        if table.column("same")[0].as_py():
+            meets = [(np.flatnonzero(home), np.flatnonzero(home), True), (np.flatnonzero(home), np.flatnonzero(~home), False)]
+        else:
+            meets = [(np.flatnonzero(home & (side == 0)), np.flatnonzero(side == 1), False), (np.flatnonzero(~home & (side == 0)), np.flatnonzero(home & (side == 1)), False)]
+        found = [_pairs(y, f, o, ordered, block, radius, far) for f, o, ordered in meets if len(f) and len(o)]
+        i, j, p, q = (np.concatenate([x[k][e] for x in found]) if found else np.zeros(0, np.int64) for k, e in ((0, 0), (0, 1), (1, 0), (1, 1)))
+        links = np.bincount(i, w[j], len(rep)) + np.bincount(j, w[i], len(rep))
+        root, hit = _forest(i, j, len(rep)), np.flatnonzero(links)
+        cols = [np.concatenate([x[hit], x[p]]) for x in (rep, cid)] + [np.concatenate([x[root[hit]], x[q]]) for x in (rep, cid)]
+        cols += [np.concatenate([links[hit].astype(np.int64), np.zeros(len(p), np.int64)]), np.arange(len(hit) + len(p)) < len(hit)]
+        return pa.table([pa.array(c) for c in cols], names=[x.split()[0] for x in FOUND.split(", ")])
+
+    return run
+
+
+def _exact(min_cosine: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = batch.slice(r, 1)
-                block, own = row.column(0)[0].as_py(), row.column(1)[0].as_py()
-                left_id, left_w, right_id, right_w = (np.array(row.column(k)[0].as_py(), np.int64) for k in (2, 3, 6, 7))
-                (lv,), (ly,), (rv,), (ry,) = (_matrix(row.column(k), t) for k, t in ((4, np.float64), (5, np.float32), (8, np.float64), (9, np.float32)))
-                budgets = plan[lv.shape[1]][1]
-                edge = _edges(lv.shape[1], len(budgets))
-                a, b = ly[:, edge[block] : edge[block + 1]].astype(np.float64), ry[:, edge[block] : edge[block + 1]].astype(np.float64)
-                near = (a * a).sum(1)[:, None] + (b * b).sum(1)[None] - 2 * a @ b.T <= budgets[block] + 2 * SLACK
-                i, j = np.nonzero(near)
-                if own:  # a chunk with itself: each pair once
-                    i, j = i[i < j], j[i < j]
-                keep = np.ones(len(i), bool)
-                for k in range(block + 1):  # the first block whose budget the pair keeps, each pair judged by itself
-                    d = ly[i, edge[k] : edge[k + 1]].astype(np.float64) - ry[j, edge[k] : edge[k + 1]]
-                    within = np.einsum("ij,ij->i", d, d) <= budgets[k] + SLACK
-                    keep &= within if k == block else ~within
-                i, j = i[keep], j[keep]
-                x, z = lv[i], rv[j]
-                scale_x, scale_z = np.abs(x).max(axis=1, keepdims=True), np.abs(z).max(axis=1, keepdims=True)
-                x, z = x / scale_x, z / scale_z
-                cosine = np.einsum("ij,ij->i", x, z) / np.sqrt(np.einsum("ij,ij->i", x, x) * np.einsum("ij,ij->i", z, z))
-                i, j = i[cosine >= min_cosine], j[cosine >= min_cosine]
-                if not len(i):
-                    continue
-                ids = np.concatenate([left_id, right_id])
-                node_j = j if own else j + len(left_id)
-                n = len(left_id) if own else len(ids)
-                links = np.bincount(i, right_w[j], n) + np.bincount(node_j, left_w[i], n)
-                root = _forest(i, node_j, n)
-                hit = np.flatnonzero(links)
-                yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(ids[root[hit]]), pa.array(links[hit].astype(np.int64))], ["rep", "root", "links"])
+            keep = []
+            for a, b in zip(batch.column(6).to_pylist(), batch.column(7).to_pylist(), strict=True):
+                x, z = (np.frombuffer(v, np.float64) for v in (a, b))
+                x, z = x / np.abs(x).max(), z / np.abs(z).max()
+                keep.append(bool(x @ z / np.sqrt((x @ x) * (z @ z)) >= min_cosine))
+            yield pa.RecordBatch.from_arrays(batch.columns[:6], ["rep", "cid", "other", "other_cid", "w", "other_w"]).filter(pa.array(keep, pa.bool_()))
 
     return run
 
 
+def _met(placed: DataFrame) -> DataFrame:
+    """The rows that meet in a task: a whole cell, or two slices of a crowded one."""
+    at = ["grp", "block", "cx", "cy"]
+    share = F.array(*[F.lit(i / SLICES) for i in range(1, SLICES)])
+    cells = placed.groupBy(*at).agg(F.count("*").alias("m"), F.count_if("home").alias("homes"), F.percentile_approx("slice_at", share).alias("marks")).where("homes > 0 AND m > 1")
+    own = placed.join(cells, at)
+    slices = f"ceil(m / {CHUNK})"
+    # some of the marks, as many as there are slices; what SLICES can't hold is dealt by a hash beside them
+    slice_of = F.expr(f"size(filter(marks, (x, i) -> x < slice_at AND (i + 1) * least({slices}, {SLICES}) div {SLICES} > i * least({slices}, {SLICES}) div {SLICES}))")
+    own = own.withColumn("chunk", F.when(F.col("m") > CHUNK, slice_of * F.expr(f"ceil({slices} / {SLICES})") + F.expr(f"pmod(xxhash64(rep, cid), ceil({slices} / {SLICES}))")).otherwise(0).cast("long"))
+    whole = own.where(f"m <= {CHUNK}").select(*at, F.lit(0).cast("long").alias("a"), F.lit(0).cast("long").alias("b"), F.lit(True).alias("same"), F.lit(0).alias("side"), "home", "rep", "cid", "w", "y")
+    crowded = own.where(f"m > {CHUNK}")
+    chunks = crowded.groupBy(*at, "chunk").agg(F.min("slice_at").alias("low"), F.max("slice_at").alias("high"), F.max("reach").alias("reach"))
+    left, right = (chunks.select(*at, F.col("chunk").alias(c), F.col("low").alias(f"low_{c}"), F.col("high").alias(f"high_{c}"), *(["reach"] if c == "a" else [])) for c in "ab")
+    pairs = left.join(right, at).where("a <= b AND low_b - high_a <= reach AND low_a - high_b <= reach").select(*at, "a", "b")
+    sides = pairs.select(*at, "a", "b", F.expr("a = b").alias("same"), F.lit(0).alias("side"), F.col("a").alias("chunk")).unionByName(pairs.where("a < b").select(*at, "a", "b", F.lit(False).alias("same"), F.lit(1).alias("side"), F.col("b").alias("chunk")))
+    return whole.unionByName(crowded.join(sides, [*at, "chunk"]).select(whole.columns))
+
+
 def components(vectors: DataFrame, min_cosine: float = MIN_COSINE, id_col: str = "vec_id", vector_col: str = "embedding", label_col: str = "label") -> DataFrame:
     """vec_id, n_links, component_id and kept of every row."""
     own = vectors.select(vectors[id_col].cast("long").alias("vec_id"), vectors[label_col].cast("string").alias("label"), vectors[vector_col].cast("array<double>").alias("embedding"))
-    valid = cut(own.where("vec_id IS NOT NULL").mapInArrow(_valid, "vec_id long, label string, v binary"))
-    classes = cut(valid.groupBy("label", "v").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w")))
-    plan = _plan(valid.select("v").mapInArrow(_moments, "dim int, n long, s array<double>").collect(), 2 - 2 * min_cosine)  # a matrix for each task and length
-    placed = cut(classes.select("rep", "w", "label", "v").mapInArrow(_place(plan), "grp string, block int, cx long, cy long, rep long, w long, v binary, y binary")) if plan else None
-    if placed is None:
-        return own.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    at = ["grp", "block", "cx", "cy"]
-    cells = placed.groupBy(*at).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))
-    chunked = placed.join(cells, at).withColumn("chunk", F.expr("pmod(xxhash64(rep, v), chunks)"))
-    chunks = cut(chunked.groupBy(*at, "chunk").agg(F.collect_list(F.struct("rep", "w", "v", "y")).alias("m")))  # about CHUNK members each
-    # each pair of neighbouring cells once: from a cell to itself and to four of its eight neighbours
-    ahead = F.explode(F.array(*[F.struct(F.lit(x).alias("dx"), F.lit(y).alias("dy")) for x, y in ((0, 0), (0, 1), (1, -1), (1, 0), (1, 1))]))
-    left = chunks.select(*at, F.col("chunk").alias("left_chunk"), F.col("m").alias("left"), ahead.alias("to")).select("grp", "block", (F.col("cx") + F.col("to.dx")).alias("cx"), (F.col("cy") + F.col("to.dy")).alias("cy"), "left_chunk", "left", F.expr("to.dx = 0 AND to.dy = 0").alias("same_cell"))
-    pairs = left.join(chunks.withColumnRenamed("m", "right"), at).where("NOT same_cell OR left_chunk <= chunk")
-    part = lambda side: [F.col(f"{side}.{k}").alias(f"{side}_{k}") for k in ("rep", "w", "v", "y")]
-    found = cut(pairs.select("block", F.expr("same_cell AND left_chunk = chunk").alias("own"), *part("left"), *part("right")).mapInArrow(_join(plan, min_cosine), "rep long, root long, links long"))
-    links = found.groupBy("rep").agg(F.sum("links").alias("links"))
-    named = connected_components(found.select(F.col("root").alias("a"), F.col("rep").alias("b")).unionByName(valid.join(classes, ["label", "v"]).where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
-    per_row = valid.join(classes, ["label", "v"]).join(links, "rep", "left").groupBy("vec_id").agg((F.max("w") - 1 + F.coalesce(F.max("links"), F.lit(0))).alias("n_links"))
+    valid = cut(own.where("vec_id IS NOT NULL").mapInArrow(_valid, "vec_id long, label string, print binary, v binary"))
+    classes = cut(valid.groupBy("print").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("label").alias("label"), F.first("v").alias("v")).withColumn("cid", F.xxhash64("print")))
+    moments = valid.select("v").mapInArrow(_moments, "dim int, i int, s binary").groupBy("dim", "i").applyInArrow(_added, "dim int, i int, s binary")
+    plan = _plan(moments.collect(), 2 - 2 * min_cosine)  # a matrix for each length of vectors
+    placed = cut(classes.select("rep", "cid", "w", "label", "v").mapInArrow(_place(plan), PLACED))
+    found = cut(_met(placed).groupBy("grp", "block", "cx", "cy", "a", "b").applyInArrow(_join(plan, min_cosine), FOUND))
+
+    end = lambda p, c: classes.select(F.col("rep").alias(p), F.col("cid").alias(c), F.col("w").alias(f"{p}_w"), F.col("v").alias(f"{p}_v"))
+    close = found.where("NOT sure").join(end("rep", "cid"), ["rep", "cid"]).join(end("other", "other_cid"), ["other", "other_cid"])
+    close = close.select("rep", "cid", "other", "other_cid", "rep_w", "other_w", "rep_v", "other_v").mapInArrow(_exact(min_cosine), "rep long, cid long, other long, other_cid long, w long, other_w long")
+    ends = close.select("rep", "cid", "other", "other_cid", F.col("other_w").alias("links")).unionByName(close.select(F.col("other").alias("rep"), F.col("other_cid").alias("cid"), F.col("rep").alias("other"), F.col("cid").alias("other_cid"), F.col("w").alias("links")))
+    found = cut(found.where("sure").drop("sure").unionByName(ends))
+
+    links = found.groupBy("rep", "cid").agg(F.sum("links").alias("links"))
+    rows = valid.select("vec_id", "print").join(classes.select("print", "rep", "cid", "w"), "print")
+    named = connected_components(found.select(F.col("other").alias("a"), F.col("rep").alias("b")).unionByName(rows.where("vec_id <> rep").select(F.col("rep").alias("a"), F.col("vec_id").alias("b"))))
+    per_row = rows.join(links, ["rep", "cid"], "left").groupBy("vec_id").agg(F.max(F.col("w") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
     out = own.select("vec_id").join(per_row, "vec_id", "left").join(named.withColumnRenamed("id", "vec_id"), "vec_id", "left")
     out = out.select("vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component", "vec_id").alias("component_id"))
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

@@ -232,7 +232,10 @@ def test_minhash_keeps_one_row(spark):
     assert sorted((r.doc_id or 0, r.text or "") for r in kept.collect()) == [(0, ""), (0, c), (1, a), (3, b), (5, "")]
 
 
-def test_embeddings_against_all_pairs(spark):
+@pytest.mark.parametrize("bounds", [{}, {"CHUNK": 20}, {"CHUNK": 6, "SLICES": 4, "SPAN": 1}])
+def test_embeddings_against_all_pairs(spark, bounds, monkeypatch):
+    for name, value in bounds.items():  # crowded cells
+        monkeypatch.setattr(embed_dedup, name, value)
     rng = np.random.default_rng(4)
     centre = rng.normal(size=(6, 32))
     x = [centre[i % 6] + rng.normal(scale=0.22, size=32) for i in range(260)]
@@ -254,6 +257,26 @@ def test_embeddings_against_all_pairs(spark):
     assert embed_dedup.components(df.limit(0)).count() == 0 and embed_dedup.components(df.where("vec_id > 899")).count() == 7
 
 
+def test_embeddings_at_the_threshold(spark):
+    """Cosines within rounding of the threshold, repeated ids and clashing columns."""
+    rng = np.random.default_rng(9)
+    rows, want = [], {}
+    for k in range(60):
+        a = rng.normal(size=24)
+        b = rng.normal(size=24)
+        a, b = a / np.sqrt(a @ a), b - (a @ b) / (a @ a) * a
+        c = 0.93 + (k - 30) * 1e-9
+        v = c * a + np.sqrt(1 - c * c) * b / np.sqrt(b @ b)
+        rows += [(2 * k, a.tolist(), k, 5, "x"), (2 * k + 1, (v * 3).tolist(), k, 5, "x")]
+        want[2 * k + 1] = int((a @ (v * 3)) / np.sqrt((a @ a) * (v * 3 @ (v * 3))) >= 0.93)
+    rows += [(500, [1.0] * 24, 99, 0, "y"), (500, [1.0] * 24, 99, 0, "z"), (500, [-1.0] + [1.0] * 23, 98, 0, "z"), (501, [-1.0] + [1.0] * 23, 98, 0, ""), (None, [1.0] * 24, 99, 0, "")]
+    got = {}
+    for r in embed_dedup.components(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, rep int, y string")).collect():
+        got.setdefault(r.vec_id, []).append((r.n_links, r.component_id, r.kept))
+    assert all(got[i] == [(n, i - n, not n)] for i, n in want.items() if abs((i // 2) - 30) > 1) and 10 < sum(want.values()) < 50
+    assert got[500] == [(1, 500, True)] * 3 and got[501] == [(1, 500, False)] and got[None] == [(0, None, True)]
+
+
 # --- licences
 
 
