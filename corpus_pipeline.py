@@ -1,6 +1,13 @@
 """From documents to packed training sequences: five stages, each on what its predecessor kept.
 
-run() writes each stage's rows to the session's shared checkpoint folder and reads them again.
+run() writes each stage's rows to the session's shared checkpoint folder and reads them again; what the
+stages before the last wrote is removed once the next one is written.
+
+Null and empty texts and texts of a few words are rejected by the quality rules; texts of any length are
+read whole. Of repeated rows of one doc_id one stays, of equal or similar texts that of the least doc_id.
+A row without doc_id that passes the rules is kept and packed under a null id. Columns besides doc_id
+and text, whatever their names, are carried unread up to the last stage. Empty documents: no rows; empty
+labels: nothing is toxic.
 """
 
 from __future__ import annotations
@@ -46,10 +53,16 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    checkpoint_dir(spark)
-    folder = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/pipeline-{uuid.uuid4().hex}"
+    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (_, stage) in enumerate(STAGES):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
         docs = spark.read.parquet(f"{folder}/{k}")
+        if k:
+            _remove(spark, f"{folder}/{k - 1}")
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
