@@ -3,6 +3,7 @@
 import base64
 import hashlib
 import itertools
+import os
 import random
 import re
 import string
@@ -540,6 +541,21 @@ def test_pipeline_against_its_stages_by_brute_force(spark, docs):
     assert sorted((r.doc_id, r.piece, r.ids_crc32) for r in got.collect()) == want
 
 
+def test_pipeline_of_odd_and_empty_tables(spark, odd, docs, tmp_path):
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    clean = docs.where("length(text) BETWEEN 400 AND 3000").limit(12).select("doc_id", "text").withColumn("sequence_id", F.lit("mine")).withColumn("kept", F.lit(False)).cache()
+    some = clean.unionByName(clean).unionByName(odd.select((F.col("doc_id") + 100_000).alias("doc_id"), "text"), allowMissingColumns=True).unionByName(clean.limit(1).withColumn("doc_id", F.lit(None).cast("long")))
+    for name, table, known in (("odd", some, labels.limit(0)), ("none", some.limit(0), labels)):
+        table.write.parquet(f"{tmp_path}/{name}/documents.parquet")
+        known.write.parquet(f"{tmp_path}/{name}/labels.parquet")
+        got = corpus_pipeline.run(spark, f"{tmp_path}/{name}").toPandas()
+        assert (len(got) == 0) == (name == "none")
+        ids = got[got.piece == 0].doc_id
+        assert not ids.dropna().duplicated().any() and not set(ids.dropna()) & {100_000, 100_001, 100_002}
+    folder = spark.sparkContext._jsc.sc().getCheckpointDir().get().removeprefix("file:")
+    assert all(len(os.listdir(f"{folder}/{x}")) == 1 for x in os.listdir(folder) if x.startswith("pipeline-"))
+
+
 def test_ranks_file_is_read_as_published():
     with open(bpe.default_path(), "rb") as f:
         token, rank = next(f).split()
