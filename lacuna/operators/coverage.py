@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import combination_key, percent, safe_depth
@@ -49,7 +49,7 @@ def flag_mask() -> Column:
 
 def covered_tests(tests: DataFrame, points: DataFrame, keys: list[str], max_radius: float) -> DataFrame:
     """Tests (keys, x, y, required_radius) with is_match: is a point within the radius (D1, D2)?"""
-    return djoin.distance_join(tests, points.select("x", "y"), "required_radius", max_radius, "exists", keys)
+    return djoin.distance_join(tests, points.select("x", "y"), "required_radius", max_radius, "exists")
 
 
 def per_zone(tests: DataFrame, points: DataFrame, keys: list[str], max_radius: float, zone: str = "zone") -> DataFrame:
@@ -69,13 +69,14 @@ def cube(tests: DataFrame, points: DataFrame, combos: DataFrame, keys: list[str]
     own = points.withColumn("depth", safe_depth("depth")).withColumn("mask", flag_mask()).select("x", "y", "depth", "mask")
     best = djoin.distance_join(tests, own, "required_radius", max_radius).groupBy(*keys, zone, "r_mask").agg(F.max("r_depth").alias("depth"))
     needed = best.withColumn("required", F.explode(F.expr("filter(sequence(0, 7), m -> (m & r_mask) = m)"))).groupBy(*keys, zone, "required").agg(F.max("depth").alias("depth"))
-    hist = needed.groupBy(zone, "required", "depth").agg(F.count("*").alias("n"))
-    # a depth counts for every step up to it: steps are few, depths of a zone meet them in one equi-join on the flags
-    steps = combos.select("combo_key", "min_depth", F.col("mask").alias("required"))
-    counts = hist.join(steps, "required").where(F.col("depth") >= F.col("min_depth")).groupBy(zone, "combo_key").agg(F.sum("n").alias("covered"))
+    # each test counts at the last step that its depth reaches, and from there for every step before
+    steps = combos.agg(F.array_sort(F.collect_set("min_depth")).alias("steps"))  # one row
+    reached = F.expr("size(filter(steps, s -> s <= depth))")
+    at = needed.groupBy(zone, "required", "depth").agg(F.count("*").alias("n")).crossJoin(steps).groupBy(zone, "required", reached.alias("step")).agg(F.sum("n").alias("n"))
     totals = tests.groupBy(zone).agg(F.count("*").alias("tests"))
-    grid = totals.crossJoin(combos.select("combo_key"))  # zones times combinations: the result's own size
-    out = grid.join(counts, [zone, "combo_key"], "left").withColumn("covered", F.coalesce("covered", F.lit(0)).cast("long"))
+    grid = totals.crossJoin(combos.crossJoin(steps).select("combo_key", F.col("mask").alias("required"), F.expr("array_position(steps, min_depth)").cast("int").alias("step")))  # zones times combinations: the result's own size
+    down = Window.partitionBy(zone, "required").orderBy(F.desc("step")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    out = grid.join(at, [zone, "required", "step"], "left").withColumn("covered", F.coalesce(F.sum("n").over(down), F.lit(0)).cast("long")).select(zone, "combo_key", "tests", "covered")
     return out.withColumn("covered_pct", F.round(percent("covered", "tests"), 4))
 
 
@@ -83,7 +84,7 @@ def cell_coverage(cells: DataFrame, points: DataFrame, h: float | str, zone: str
     """Cells (zone, ix, iy, radius) with is_match: is a point within the zone's radius of the centre? h: metres, or a column."""
     w = F.col(h) if isinstance(h, str) else F.lit(float(h))
     tests = cells.withColumns({"x": (F.col("ix") + 0.5) * w, "y": (F.col("iy") + 0.5) * w})
-    return djoin.distance_join(tests, points.select("x", "y"), radius, max_radius, "exists", [zone, "ix", "iy"]).drop("x", "y")
+    return djoin.distance_join(tests, points.select("x", "y"), radius, max_radius, "exists").drop("x", "y")
 
 
 def gap_statistics(gaps: DataFrame, points: DataFrame, h: float | str, zone: str, least_m2: float = 100.0, start: float = 200.0) -> DataFrame:
@@ -92,8 +93,6 @@ def gap_statistics(gaps: DataFrame, points: DataFrame, h: float | str, zone: str
     gaps: zone (integer), ix, iy; h: metres, or a column of gaps that is the same within a zone. Sorted by area, numbered from 1. The representative is the gap's cell
     nearest to the centroid; rep_distance_m is the distance from there to the nearest point.
     """
-    from pyspark.sql import Window
-
     w, keys = (F.col(h), [zone, "piece", h]) if isinstance(h, str) else (F.lit(float(h)), [zone, "piece"])
     own = region.pieces(gaps, zone)
     size = own.groupBy(*keys).agg((F.count("*") * w * w).alias("area_m2"), ((F.avg("ix") + 0.5) * w).alias("centroid_x"), ((F.avg("iy") + 0.5) * w).alias("centroid_y")).where(F.col("area_m2") >= least_m2)
@@ -124,7 +123,7 @@ def zone_stats(covered: DataFrame, h: float, zone: str) -> DataFrame:
 def verify(gap_cells: DataFrame, sites: DataFrame, h: float, keys: list[str], radius: str, max_radius: float) -> DataFrame:
     """Does the proposal close the gaps: at least 99 % of their area, or less than 100 square metres left (D11)?"""
     tests = gap_cells.withColumns({"x": (F.col("ix") + 0.5) * h, "y": (F.col("iy") + 0.5) * h})
-    done = djoin.distance_join(tests, sites.select("x", "y"), radius, max_radius, "exists", keys)
+    done = djoin.distance_join(tests, sites.select("x", "y"), radius, max_radius, "exists")
     out = done.agg((F.count("*") * h * h).alias("gap_m2"), (F.count_if("is_match") * h * h).alias("closed_m2"))
     return out.withColumn("remaining_m2", F.col("gap_m2") - F.col("closed_m2")).withColumn("is_complete", (F.col("remaining_m2") < 100) | (F.col("closed_m2") >= 0.99 * F.col("gap_m2")))
 

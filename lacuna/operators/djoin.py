@@ -15,72 +15,92 @@ def distance(ax, ay, bx, by) -> Column:
     return F.sqrt(dx * dx + dy * dy)
 
 
-def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Column, max_radius: float | None = None, how: str = "inner", keys: list[str] | None = None, prefix: str = "r_", strict: bool = False, explode: str = "right") -> DataFrame:
+def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Column, max_radius: float | None = None, how: str = "inner", prefix: str = "r_", strict: bool = False, explode: str = "right") -> DataFrame:
     """Rows of left and right (columns prefixed) whose x, y are at most radius apart, with their distance.
 
     radius: a number, or an expression over both sides' columns (then max_radius, its bound, is needed).
-    how: inner, left (unmatched rows of left stay, with nulls), semi, anti, exists (left with is_match);
-    the last three need the keys that tell left's rows apart. Null coordinates match nothing.
+    how: inner, left (unmatched rows of left stay, with nulls), semi, anti (rows of left that match, or
+    don't), exists (left with is_match). Null coordinates match nothing.
 
-    Buckets are as wide as the radius; the side named by explode is repeated over nine neighbouring
-    buckets, so the cost is that side times nine plus the true candidates, and a crowded bucket is a
-    skewed partition that adaptive execution splits.
+    Buckets are as wide as the radius and are the keys of one equi-join whose residual condition is the
+    distance, so semi, anti and exists stop at a row's first match. The side named by explode, for all
+    but inner the right one, is repeated over nine neighbouring buckets; a crowded bucket is a skewed
+    partition that adaptive execution splits.
     """
     wide = float(radius) if isinstance(radius, (int, float)) else max_radius
     if not wide or wide <= 0:
         raise ValueError("a positive radius, or max_radius for an expression, is needed")
+    if how not in ("inner", "left", "semi", "anti", "exists"):
+        raise ValueError(f"unknown join {how!r}")
+    many_left = explode == "left" and how == "inner"
     limit = F.lit(float(radius)) if isinstance(radius, (int, float)) else (F.col(radius) if isinstance(radius, str) else radius)
-    renamed = right.select(*[F.col(c).alias(prefix + c) for c in right.columns])
-    bucket = lambda c: F.floor(F.col(c) / wide)
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
 
-    def keyed(df: DataFrame, x: str, y: str, many: bool) -> DataFrame:
-        df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumns({"_bx": bucket(x), "_by": bucket(y)})
+    def keyed(df: DataFrame, p: str, bx: str, by: str, many: bool) -> DataFrame:
+        df = df.withColumns({bx: F.floor(F.col(p + "x") / wide), by: F.floor(F.col(p + "y") / wide)})
         if not many:
             return df
-        return df.withColumn("_o", around).withColumns({"_bx": F.col("_bx") + F.col("_o.dx"), "_by": F.col("_by") + F.col("_o.dy")}).drop("_o")
-
-    joined = keyed(left, "x", "y", explode == "left").join(keyed(renamed, prefix + "x", prefix + "y", explode != "left"), ["_bx", "_by"]).drop("_bx", "_by")
-    joined = joined.withColumn("distance", distance("x", "y", prefix + "x", prefix + "y"))
-    joined = joined.where(F.col("distance") < limit if strict else F.col("distance") <= limit)
-    if how == "inner":
-        return joined
-    if not keys:
-        raise ValueError(f"{how} needs keys")
-    if how == "left":
-        matched = joined.select(*keys, *renamed.columns, "distance")
-        return left.join(matched, keys, "left")
-    hit = joined.select(*keys).distinct()
+        return df.withColumn("_o", around).withColumns({bx: F.col(bx) + F.col("_o.dx"), by: F.col(by) + F.col("_o.dy")}).drop("_o")
+
+    renamed = right.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.col(c).alias(prefix + c) for c in right.columns])
+    one, other = keyed(left, "", "_bx", "_by", many_left), keyed(renamed, prefix, "_cx", "_cy", not many_left)
+    apart = distance("x", "y", prefix + "x", prefix + "y")
+    meet = (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & (apart < limit if strict else apart <= limit)
     if how in ("semi", "anti"):
-        return left.join(hit, keys, f"left_{how}")
+        return one.join(other, meet, f"left_{how}").drop("_bx", "_by")
     if how == "exists":
-        return left.join(hit.withColumn("_hit", F.lit(True)), keys, "left").withColumn("is_match", F.col("_hit").isNotNull()).drop("_hit")
-    raise ValueError(f"unknown join {how!r}")
+        bound = radius if isinstance(radius, str) else repr(float(radius))
+        near = f"sqrt((l.x - r.{prefix}x) * (l.x - r.{prefix}x) + (l.y - r.{prefix}y) * (l.y - r.{prefix}y)) {'<' if strict else '<='} {bound}"
+        found = left.sparkSession.sql(f"SELECT l.*, EXISTS (SELECT 1 FROM {{r}} r WHERE l._bx = r._cx AND l._by = r._cy AND {near}) AS is_match FROM {{l}} l", l=one, r=other)
+        return found.drop("_bx", "_by")
+    return one.join(other, meet, how).withColumn("distance", apart).drop("_bx", "_by", "_cx", "_cy")
 
 
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], right_id: str, start: float, within: float | None = None) -> DataFrame:
     """keys, nearest_id and distance of the nearest right row (C8, C9, C18); the least id wins a tie.
 
-    Rings of doubling radius: what is found within a radius is final, only the rest goes on. The number
-    of rounds is the logarithm of the largest distance. Without right rows, or beyond `within`: nulls.
+    The right side is a grid of cells of width start. On each level a row of left meets the occupied
+    cells, not the points, of nine blocks of cells, twice as wide on each level. Where a cell ends within
+    the block's width, the nearest point is in a cell that begins before that end, and the row is done;
+    the rest go on, over as many levels as the logarithm of the extent. At the end each row meets the
+    points of those cells only. Without right rows, or beyond `within`: nulls.
     """
-    box = left.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    other = right.agg(F.min("x"), F.max("x"), F.min("y"), F.max("y")).first()
-    if box[0] is None or other[0] is None:
-        return left.select(*keys, F.lit(None).cast("long").alias("nearest_id"), F.lit(None).cast("double").alias("distance"))
-    far = within or 2 * max(abs(max(box[1], other[1]) - min(box[0], other[0])), abs(max(box[3], other[3]) - min(box[2], other[2])), start)
-    rest, found, r = left, None, min(start, far)
+    fine = lambda c: F.floor(F.col(c) / start)
+    points = right.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(right_id).alias("_id"), F.col("x").alias("px"), F.col("y").alias("py"), fine("x").alias("cx"), fine("y").alias("cy"))
+    cells = cut(points.select("cx", "cy").distinct())
+    rest = left.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y")
+    low, high = cells.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first(), rest.agg(F.min(fine("x")), F.min(fine("y")), F.max(fine("x")), F.max(fine("y"))).first()
+    none = left.select(*keys)
+    if low[0] is None or high[0] is None:
+        return none.withColumns({"nearest_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
+    extent = max(max(low[2], high[2]) - min(low[0], high[0]), max(low[3], high[3]) - min(low[1], high[1])) + 1
+    side = lambda c, k: F.greatest(F.col(k) * start - F.col(c), F.col(c) - (F.col(k) + 1) * start, F.lit(0.0))
+    over = lambda c, k: F.greatest(F.abs(F.col(c) - F.col(k) * start), F.abs(F.col(c) - (F.col(k) + 1) * start))
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
+    level, candidates = 0, None
     while True:
-        near = distance_join(rest, right.select(F.col(right_id).alias("id"), "x", "y"), r).groupBy(*keys).agg(F.min(F.struct("distance", F.col("r_id").alias("id"))).alias("m"))
-        near = cut(near.select(*keys, F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance")))
-        found = near if found is None else found.unionByName(near)
-        if r >= far:
+        span = 1 << level
+        blocks = cells.withColumns({"bx": F.floor(F.col("cx") / span), "by": F.floor(F.col("cy") / span)}).withColumn("o", around).select("cx", "cy", (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by"))
+        met = rest.withColumns({"bx": F.floor(fine("x") / span), "by": F.floor(fine("y") / span)}).join(blocks, ["bx", "by"])
+        met = met.select(*keys, "x", "y", "cx", "cy", F.hypot(side("x", "cx"), side("y", "cy")).alias("begin"), F.hypot(over("x", "cx"), over("y", "cy")).alias("end"))
+        last = span > extent or within is not None and span * start >= within
+        bound = met.groupBy(*keys).agg(F.min("end").alias("bound"))
+        done = bound if last else bound.where(F.col("bound") <= span * start)
+        done = cut(done)
+        # a little more than the bound, as both are rounded
+        mine = met.join(done, keys).where(F.col("begin") <= F.col("bound") * (1 + 1e-9)).select(*keys, "x", "y", "cx", "cy")
+        mine = cut(mine)
+        candidates = mine if candidates is None else candidates.unionByName(mine)
+        if last:
             break
-        rest = cut(rest.join(near.select(*keys), keys, "left_anti"))
+        rest = cut(rest.join(done, keys, "left_anti"))
         if rest.isEmpty():
             break
-        r = min(2 * r, far)
-    return left.select(*keys).join(found, keys, "left")
+        level += 1
+    apart = distance("x", "y", "px", "py")
+    best = candidates.join(points, ["cx", "cy"]).groupBy(*keys).agg(F.min(F.struct(apart.alias("distance"), F.col("_id").alias("id"))).alias("m"))
+    best = best.select(*keys, F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance"))
+    return none.join(best if within is None else best.where(F.col("distance") <= within), keys, "left")
 
 
 def conflict_pairs(points: DataFrame, exclusion: float, id_col: str = "id", group: list[str] | None = None, most: int | None = None) -> DataFrame:
@@ -96,12 +116,12 @@ def conflict_pairs(points: DataFrame, exclusion: float, id_col: str = "id", grou
 
 def pre_covered(tests: DataFrame, locked: DataFrame, keys: list[str], max_radius: float) -> DataFrame:
     """Test points with is_match: is a locked point within the test point's own required radius (C4, C5)?"""
-    return distance_join(tests, locked, "required_radius", max_radius, "exists", keys)
+    return distance_join(tests, locked, "required_radius", max_radius, "exists")
 
 
 def unsatisfied(tests: DataFrame, locked: DataFrame, keys: list[str], max_radius: float) -> DataFrame:
     """Test points that no locked point covers."""
-    return distance_join(tests, locked, "required_radius", max_radius, "anti", keys)
+    return distance_join(tests, locked, "required_radius", max_radius, "anti")
 
 
 def drop_coincident(removed: DataFrame, added: DataFrame, tolerance: float = 1.0) -> tuple[DataFrame, DataFrame]:

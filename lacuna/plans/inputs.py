@@ -74,6 +74,20 @@ def cells_sql(h: float) -> str:
     return f"cells AS (SELECT *, {span('y0', 'y1')} AS iy FROM (SELECT *, {span('x0', 'x1')} AS ix FROM zones))"
 
 
+def own_cells(spark: SparkSession, d: str) -> DataFrame:
+    """Lattice cells of each zone at its own resolution h, the largest power of two of at most spacing / 10: zone, spacing, h, ix, iy."""
+    from lacuna.operators.region import box_cells
+
+    return box_cells(zones(spark, d).withColumn("h", F.pow(F.lit(2.0), F.floor(F.log2(F.col("spacing") / 10)))), "h", ["zone", "spacing", "h"])
+
+
+def own_cells_sql() -> str:
+    """Over the zones CTE."""
+    span = lambda a, b: f"unnest(range(CAST(ceil({a} / h - CAST(0.5 AS DOUBLE)) AS BIGINT), CAST(ceil({b} / h - CAST(0.5 AS DOUBLE)) AS BIGINT)))"
+    return f"""grid AS (SELECT *, pow(CAST(2 AS DOUBLE), floor(log2(spacing / 10))) AS h FROM zones),
+cells AS (SELECT *, {span('y0', 'y1')} AS iy FROM (SELECT *, {span('x0', 'x1')} AS ix FROM grid))"""
+
+
 def edits(spark: SparkSession, d: str) -> DataFrame:
     """Events as edits: seq, ts, id, action, x, y."""
     return table(spark, d, "events").where("event_type IN ('signup', 'click', 'error')").selectExpr(

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lacuna.config import CellConfig, LatticeConfig, Settings, SolverConfig, with_zone_settings
+from lacuna.config import CellConfig, LatticeConfig, Settings, with_zone_settings
 from lacuna.functions import scalar
 from lacuna.operators import consolidate, coverage, dedupe, djoin, lattice, region, solve
 from lacuna.operators.graph import connected_components
@@ -39,36 +39,40 @@ def query(sql: str | None = None):
 TEST_KEYS = ["zone", "row", "k"]
 P, S, E = src.POINTS, src.SITES, src.EDITS
 Z, ZG = src.zones_sql(), src.zones_sql(100.0)
-T2, T5 = src.tests_sql(0.2), src.tests_sql(0.5)
 C, CG = src.cells_sql(H), src.cells_sql(H)
 TEST_FACTOR = LatticeConfig().test_factor
+T = src.tests_sql(TEST_FACTOR)
+#: Depth step of the filter cube, in the unit of the points' depth.
+STEP = 50
 PCT = "CASE WHEN {w} > 0 THEN CAST(100 AS DOUBLE) * {p} / {w} ELSE CAST(0 AS DOUBLE) END"
 
 
 # --- coverage ---------------------------------------------------------------------------------
 
 
-@query(f"""WITH {P}, {Z}, {T2},
+@query(f"""WITH {P}, {Z}, {T},
 c AS (SELECT tp.zone, EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius) AS hit FROM tp)
 SELECT zone, count(*) AS tests, count(*) FILTER (WHERE hit) AS covered, round({PCT.format(p="count(*) FILTER (WHERE hit)", w="count(*)")}, 4) AS covered_pct FROM c GROUP BY zone""")
 def coverage_per_zone(spark, sf):
-    return coverage.per_zone(src.tests(spark, sf, 0.2), src.points(spark, sf), TEST_KEYS, MAX_R)
+    return coverage.per_zone(src.tests(spark, sf, TEST_FACTOR), src.points(spark, sf), TEST_KEYS, MAX_R)
 
 
-STEP = 2500
+CUBE = """WITH {p}, {z}, {t},
+top AS (SELECT CAST((floor(coalesce(max(depth), 0) / {step}) + 1) * {step} AS BIGINT) AS last FROM pts),
+combos AS (SELECT CAST(m AS INT) AS min_depth, b AS mask FROM (SELECT unnest(range(0, last + 1, {step})) AS m FROM top), (SELECT unnest(range(0, 8)) AS b)),
+n AS (SELECT zone, count(*) AS tests FROM tp GROUP BY zone),
+best AS (SELECT tp.zone, tp."row", tp.k, CAST(has_spt AS INT) + 2 * CAST(has_txt AS INT) + 4 * CAST(has_txe AS INT) AS m, max(depth) AS depth FROM tp JOIN pts ON pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {near} <= tp.required_radius GROUP BY ALL),
+deep AS (SELECT zone, "row", k, mask, max(depth) AS depth FROM best, (SELECT unnest(range(0, 8)) AS mask) WHERE (m & mask) = mask GROUP BY ALL),
+hist AS (SELECT zone, mask, depth, count(*) AS n FROM deep GROUP BY ALL),
+c AS (SELECT hist.zone, combos.min_depth, combos.mask, sum(n) AS covered FROM hist JOIN combos ON hist.mask = combos.mask AND depth >= min_depth GROUP BY ALL)
+SELECT n.zone, 'd' || combos.min_depth || '_spt' || (combos.mask & 1) || '_txt' || ((combos.mask >> 1) & 1) || '_txe' || ((combos.mask >> 2) & 1) AS combo_key, tests, CAST(coalesce(covered, 0) AS BIGINT) AS covered, round({pct}, 4) AS covered_pct
+FROM n CROSS JOIN combos LEFT JOIN c ON c.zone = n.zone AND c.min_depth = combos.min_depth AND c.mask = combos.mask"""
 
 
-@query(f"""WITH {P}, {Z}, {T5},
-top AS (SELECT CAST((floor(coalesce(max(depth), 0) / {STEP}) + 1) * {STEP} AS BIGINT) AS last FROM pts),
-combos AS (SELECT CAST(m AS INT) AS min_depth, b AS mask FROM (SELECT unnest(range(0, last + 1, {STEP})) AS m FROM top), (SELECT unnest(range(0, 8)) AS b)),
-n AS (SELECT zone, count(*) AS tests FROM tp GROUP BY zone),
-best AS (SELECT tp.zone, tp."row", tp.k, CAST(has_spt AS INT) + 2 * CAST(has_txt AS INT) + 4 * CAST(has_txe AS INT) AS m, max(depth) AS depth FROM tp JOIN pts ON pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius GROUP BY ALL),
-c AS (SELECT best.zone, min_depth, mask, count(DISTINCT ("row", k)) AS covered FROM best JOIN combos ON best.depth >= min_depth AND (best.m & mask) = mask GROUP BY ALL)
-SELECT n.zone, 'd' || min_depth || '_spt' || (mask & 1) || '_txt' || ((mask >> 1) & 1) || '_txe' || ((mask >> 2) & 1) AS combo_key, tests, coalesce(covered, 0) AS covered,
-  round({PCT.format(p="coalesce(covered, 0)", w="tests")}, 4) AS covered_pct FROM n, combos LEFT JOIN c USING (zone, min_depth, mask)""".replace("FROM n, combos LEFT JOIN c USING (zone, min_depth, mask)", "FROM n CROSS JOIN combos LEFT JOIN c ON c.zone = n.zone AND c.min_depth = combos.min_depth AND c.mask = combos.mask").replace("'d' || min_depth", "'d' || combos.min_depth").replace("(mask & 1)", "(combos.mask & 1)").replace("((mask >>", "((combos.mask >>"))
+@query(CUBE.format(p=P, z=Z, t=T, step=STEP, near=d("tp", "pts"), pct=PCT.format(p="coalesce(covered, 0)", w="tests")))
 def filter_cube(spark, sf):
     p = src.points(spark, sf)
-    return coverage.cube(src.tests(spark, sf, 0.5), p, coverage.combinations(p, STEP), TEST_KEYS, MAX_R)
+    return coverage.cube(src.tests(spark, sf, TEST_FACTOR), p, coverage.combinations(p, STEP), TEST_KEYS, MAX_R)
 
 
 @query(f"""WITH {P} SELECT id, x, y, CASE WHEN depth IS NULL OR isnan(depth) THEN 0 ELSE depth END AS depth FROM pts WHERE depth >= 1000 AND has_spt AND has_txe""")
@@ -92,86 +96,63 @@ CX = f"(cells.ix + CAST(0.5 AS DOUBLE)) * CAST({H} AS DOUBLE)"
 CY = f"(cells.iy + CAST(0.5 AS DOUBLE)) * CAST({H} AS DOUBLE)"
 
 
-def covered_sql(h: float) -> str:
-    return f"""{P}, {Z}, {src.cells_sql(h)}, cc AS (SELECT zone, spacing, ix, iy, (ix + CAST(0.5 AS DOUBLE)) * CAST({h} AS DOUBLE) AS x, (iy + CAST(0.5 AS DOUBLE)) * CAST({h} AS DOUBLE) AS y FROM cells),
-cov AS (SELECT zone, spacing, ix, iy, EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN cc.x - spacing AND cc.x + spacing AND {d("cc", "pts")} <= spacing) AS hit FROM cc)"""
+def covered_sql(h: str, cells: str) -> str:
+    """Over cells whose lattice is h (a number or a column): hit tells whether a point is within the zone's spacing."""
+    return f"""{P}, {Z}, {cells}, cc AS (SELECT *, (ix + CAST(0.5 AS DOUBLE)) * {h} AS x, (iy + CAST(0.5 AS DOUBLE)) * {h} AS y FROM cells),
+cov AS (SELECT * EXCLUDE (x, y), EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN cc.x - spacing AND cc.x + spacing AND {d("cc", "pts")} <= spacing) AS hit FROM cc)"""
 
 
-COVERED = covered_sql(H)
+HD = f"CAST({H} AS DOUBLE)"
+COVERED = covered_sql(HD, src.cells_sql(H))
 A = f"CAST({H * H} AS DOUBLE)"
-#: Gaps are walked on a coarser lattice, as the SQL side meets every pair of a piece's cells.
-HG = 128.0
-AG = f"CAST({HG * HG} AS DOUBLE)"
 
 
-@query(f"""WITH {COVERED} SELECT zone, count(*) * {A} AS total_m2, count(*) FILTER (WHERE hit) * {A} AS covered_m2, round({PCT.format(p="count(*) FILTER (WHERE hit)", w="count(*)")}, 1) AS covered_pct FROM cov GROUP BY ROLLUP (zone)""".replace("SELECT zone, count", "SELECT coalesce(zone, -1) AS zone, count"))
+@query(f"""WITH {COVERED} SELECT coalesce(zone, -1) AS zone, count(*) * {A} AS total_m2, count(*) FILTER (WHERE hit) * {A} AS covered_m2, round({PCT.format(p="count(*) FILTER (WHERE hit)", w="count(*)")}, 1) AS covered_pct FROM cov GROUP BY ROLLUP (zone)""")
 def zone_area_stats(spark, sf):
     return coverage.zone_stats(_covered_cells(spark, sf), H, "zone").withColumn("zone", F.coalesce("zone", F.lit(-1)))
 
 
-PIECES = f"""{covered_sql(HG)}, g AS (SELECT zone, ix, iy FROM cov WHERE NOT hit),
-reach(zone, ix, iy, jx, jy) AS (SELECT zone, ix, iy, ix, iy FROM g UNION SELECT r.zone, r.ix, r.iy, g.ix, g.iy FROM reach r CROSS JOIN (VALUES (1, 0), (-1, 0), (0, 1), (0, -1)) AS o(dx, dy) JOIN g ON g.zone = r.zone AND g.ix = r.jx + o.dx AND g.iy = r.jy + o.dy),
-piece AS (SELECT zone, ix, iy, min(((zone * 2097152 + jx + 1048576) * 2097152) + jy + 1048576) AS piece FROM reach GROUP BY zone, ix, iy)"""
+# Gaps are seen at each zone's own resolution h, the largest power of two of at most spacing / 10
+# (SURVEY 1.4). The SQL joins runs of cells of a row to runs of the next row, and follows those.
+OWN_COVERED = covered_sql("h", src.own_cells_sql())
+PIECES = f"""{OWN_COVERED}, g AS (SELECT zone, h, ix, iy FROM cov WHERE NOT hit),
+run AS (SELECT zone, h, iy, min(ix) AS a, max(ix) AS b, (zone * 2097152 + min(ix) + 1048576) * 2097152 + iy + 1048576 AS id FROM (SELECT *, ix - row_number() OVER (PARTITION BY zone, iy ORDER BY ix) AS r FROM g) GROUP BY zone, h, iy, r),
+up AS (SELECT u.id AS a, v.id AS b FROM run u JOIN run v ON u.zone = v.zone AND v.iy = u.iy + 1 AND u.a <= v.b AND v.a <= u.b),
+touch AS (SELECT a, b FROM up UNION ALL SELECT b, a FROM up),
+reach(id, seen) AS (SELECT id, id FROM run UNION SELECT reach.id, touch.b FROM reach JOIN touch ON touch.a = reach.seen),
+named AS (SELECT id, min(seen) AS piece FROM reach GROUP BY id),
+piece AS (SELECT g.zone, g.h, g.ix, g.iy, named.piece FROM g JOIN run ON run.zone = g.zone AND run.iy = g.iy AND g.ix BETWEEN run.a AND run.b JOIN named ON named.id = run.id)"""
+
+
+def _covered_own(spark, sf):
+    return coverage.cell_coverage(src.own_cells(spark, sf), src.points(spark, sf), "h", "zone", "spacing", MAX_R)
 
 
 def _gaps(spark, sf):
-    return _covered_cells(spark, sf, HG).where("NOT is_match").select("zone", "ix", "iy")
+    return _covered_own(spark, sf).where("NOT is_match").select("zone", "ix", "iy", "h")
 
 
-@query(f"""WITH RECURSIVE {PIECES} SELECT zone, piece, count(*) * {AG} AS area_m2, round((avg(ix) + CAST(0.5 AS DOUBLE)) * {HG}, 4) AS centroid_x, round((avg(iy) + CAST(0.5 AS DOUBLE)) * {HG}, 4) AS centroid_y FROM piece GROUP BY zone, piece""")
+@query(f"""WITH RECURSIVE {PIECES} SELECT zone, piece, h, count(*) * h * h AS area_m2, round((avg(ix) + CAST(0.5 AS DOUBLE)) * h, 4) AS centroid_x, round((avg(iy) + CAST(0.5 AS DOUBLE)) * h, 4) AS centroid_y FROM piece GROUP BY zone, piece, h""")
 def gap_pieces(spark, sf):
-    g = region.pieces(_gaps(spark, sf), "zone").groupBy("zone", "piece")
-    return g.agg((F.count("*") * HG * HG).alias("area_m2"), F.round((F.avg("ix") + 0.5) * HG, 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * HG, 4).alias("centroid_y"))
+    g = region.pieces(_gaps(spark, sf), "zone").groupBy("zone", "piece", "h")
+    return g.agg((F.count("*") * F.col("h") * F.col("h")).alias("area_m2"), F.round((F.avg("ix") + 0.5) * F.col("h"), 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * F.col("h"), 4).alias("centroid_y"))
 
 
-GAPS = f"""{PIECES}, size AS (SELECT zone, piece, count(*) * {AG} AS area_m2, (avg(ix) + CAST(0.5 AS DOUBLE)) * {HG} AS cx, (avg(iy) + CAST(0.5 AS DOUBLE)) * {HG} AS cy FROM piece GROUP BY zone, piece HAVING count(*) * {AG} >= 100),
-rep AS (SELECT zone, piece, area_m2, cx, cy, arg_min((ix + CAST(0.5 AS DOUBLE)) * {HG}, (d2, iy, ix)) AS x, arg_min((iy + CAST(0.5 AS DOUBLE)) * {HG}, (d2, iy, ix)) AS y FROM (SELECT s.*, p.ix, p.iy, ((p.ix + CAST(0.5 AS DOUBLE)) * {HG} - cx) * ((p.ix + CAST(0.5 AS DOUBLE)) * {HG} - cx) + ((p.iy + CAST(0.5 AS DOUBLE)) * {HG} - cy) * ((p.iy + CAST(0.5 AS DOUBLE)) * {HG} - cy) AS d2 FROM size s JOIN piece p USING (zone, piece)) GROUP BY ALL),
+GAPS = f"""{PIECES}, size AS (SELECT zone, piece, h, count(*) * h * h AS area_m2, (avg(ix) + CAST(0.5 AS DOUBLE)) * h AS cx, (avg(iy) + CAST(0.5 AS DOUBLE)) * h AS cy FROM piece GROUP BY zone, piece, h HAVING count(*) * h * h >= 100),
+spot AS (SELECT s.*, p.ix, p.iy, (p.ix + CAST(0.5 AS DOUBLE)) * s.h AS px, (p.iy + CAST(0.5 AS DOUBLE)) * s.h AS py FROM size s JOIN piece p ON p.zone = s.zone AND p.piece = s.piece),
+rep AS (SELECT zone, piece, area_m2, cx, cy, arg_min(px, (d2, iy, ix)) AS x, arg_min(py, (d2, iy, ix)) AS y FROM (SELECT *, (px - cx) * (px - cx) + (py - cy) * (py - cy) AS d2 FROM spot) GROUP BY ALL),
 gs AS (SELECT zone, piece, area_m2, cx, cy, x, y, (SELECT min({d("rep", "pts")}) FROM pts) AS dist FROM rep)"""
 
 
 @query(f"""WITH RECURSIVE {GAPS} SELECT row_number() OVER (ORDER BY area_m2 DESC, piece) AS id, zone, piece, area_m2, area_m2 / 10000 AS area_ha, round(cx, 4) AS centroid_x, round(cy, 4) AS centroid_y, round(x, 4) AS suggested_x, round(y, 4) AS suggested_y, round(dist, 4) AS rep_distance_m FROM gs""")
 def gap_statistics(spark, sf):
-    g = coverage.gap_statistics(_gaps(spark, sf), src.points(spark, sf).select("id", "x", "y"), HG, "zone")
+    g = coverage.gap_statistics(_gaps(spark, sf), src.points(spark, sf).select("id", "x", "y"), "h", "zone")
     return g.withColumns({c: F.round(c, 4) for c in ("centroid_x", "centroid_y", "suggested_x", "suggested_y", "rep_distance_m")})
 
 
-@query(f"""WITH RECURSIVE {GAPS}, a AS (SELECT count(*) FILTER (WHERE hit) * {AG} AS covered_m2, count(*) * {AG} AS total_m2 FROM cov)
+@query(f"""WITH RECURSIVE {GAPS}, a AS (SELECT sum(h * h) FILTER (WHERE hit) AS covered_m2, sum(h * h) AS total_m2 FROM cov)
 SELECT covered_m2, total_m2 - covered_m2 AS uncovered_m2, total_m2, covered_m2 / 10000 AS covered_ha, round(100 * covered_m2 / total_m2, 4) AS covered_pct, (SELECT count(*) FROM gs) AS gap_count, coalesce((SELECT max(area_m2) FROM gs), 0) AS largest_gap_m2, round(coalesce((SELECT max(dist) FROM gs), 0), 4) AS max_distance_m FROM a""")
 def coverage_summary(spark, sf):
-    c = _covered_cells(spark, sf, HG)
-    per = c.groupBy("zone").agg((F.count("*") * HG * HG).alias("total_m2"), (F.count_if("is_match") * HG * HG).alias("covered_m2"))
-    g = coverage.gap_statistics(c.where("NOT is_match").select("zone", "ix", "iy"), src.points(spark, sf).select("id", "x", "y"), HG, "zone")
-    return coverage.summary(per, g).withColumn("max_distance_m", F.round("max_distance_m", 4))
-
-
-# The SQL above fixes its lattice at HG, wider than some zones' spacing; these see every gap, each zone
-# at its own resolution. Their million cells are too many for the recursive SQL.
-
-
-def _covered_own(spark, sf):
-    """Cells of each zone at its own resolution h, the largest power of two of at most spacing / 10."""
-    z = src.zones(spark, sf).withColumn("h", F.pow(F.lit(2.0), F.floor(F.log2(F.col("spacing") / 10))))
-    return coverage.cell_coverage(region.box_cells(z, "h", ["zone", "spacing", "h"]), src.points(spark, sf), "h", "zone", "spacing", MAX_R)
-
-
-def _gaps_own(spark, sf):
-    return _covered_own(spark, sf).where("NOT is_match").select("zone", "ix", "iy", "h")
-
-
-@query()
-def gap_pieces_own_h(spark, sf):
-    g = region.pieces(_gaps_own(spark, sf), "zone").groupBy("zone", "piece", "h")
-    return g.agg((F.count("*") * F.col("h") * F.col("h")).alias("area_m2"), F.round((F.avg("ix") + 0.5) * F.col("h"), 4).alias("centroid_x"), F.round((F.avg("iy") + 0.5) * F.col("h"), 4).alias("centroid_y"))
-
-
-@query()
-def gap_statistics_own_h(spark, sf):
-    g = coverage.gap_statistics(_gaps_own(spark, sf), src.points(spark, sf).select("id", "x", "y"), "h", "zone")
-    return g.withColumns({c: F.round(c, 4) for c in ("centroid_x", "centroid_y", "suggested_x", "suggested_y", "rep_distance_m")})
-
-
-@query()
-def coverage_summary_own_h(spark, sf):
     m2 = F.col("h") * F.col("h")
     c = _covered_own(spark, sf)
     per = c.groupBy("zone", "h").agg((F.count("*") * m2).alias("total_m2"), (F.count_if("is_match") * m2).alias("covered_m2"))
@@ -184,24 +165,25 @@ def coverage_summary_own_h(spark, sf):
 
 @query(f"""WITH {P}, {S} SELECT pts.id, count(sites.id) AS near, min({d("pts", "sites")}) AS least FROM pts LEFT JOIN sites ON {d("pts", "sites")} <= 1000 GROUP BY pts.id""")
 def distance_join_left(spark, sf):
-    j = djoin.distance_join(src.points(spark, sf).select("id", "x", "y"), src.sites(spark, sf), 1000.0, how="left", keys=["id"])
+    j = djoin.distance_join(src.points(spark, sf).select("id", "x", "y"), src.sites(spark, sf), 1000.0, how="left")
     return j.groupBy("id").agg(F.count("r_id").alias("near"), F.min("distance").alias("least"))
 
 
-@query(f"""WITH {Z}, {T5}, {S} SELECT tp.zone, count(*) AS tests, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sites WHERE {d("tp", "sites")} <= tp.required_radius)) AS served FROM tp GROUP BY zone""".replace("count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sites WHERE " + d("tp", "sites") + " <= tp.required_radius)) AS served FROM tp GROUP BY zone", "count(*) FILTER (WHERE hit) AS served FROM (SELECT zone, EXISTS (SELECT 1 FROM sites WHERE " + d("tp", "sites") + " <= tp.required_radius) AS hit FROM tp) tp GROUP BY zone"))
+@query(f"""WITH {Z}, {T}, {S}, c AS (SELECT zone, EXISTS (SELECT 1 FROM sites WHERE {d("tp", "sites")} <= tp.required_radius) AS hit FROM tp)
+SELECT zone, count(*) AS tests, count(*) FILTER (WHERE hit) AS served FROM c GROUP BY zone""")
 def pre_coverage(spark, sf):
-    c = djoin.pre_covered(src.tests(spark, sf, 0.5), src.sites(spark, sf), TEST_KEYS, MAX_R)
+    c = djoin.pre_covered(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R)
     return c.groupBy("zone").agg(F.count("*").alias("tests"), F.count_if("is_match").alias("served"))
 
 
-@query(f"""WITH {Z}, {T5}, {S} SELECT zone, count(*) AS unserved FROM tp WHERE NOT EXISTS (SELECT 1 FROM sites WHERE {d("tp", "sites")} <= tp.required_radius) GROUP BY zone""")
+@query(f"""WITH {Z}, {T}, {S} SELECT zone, count(*) AS unserved FROM tp WHERE NOT EXISTS (SELECT 1 FROM sites WHERE {d("tp", "sites")} <= tp.required_radius) GROUP BY zone""")
 def unsatisfied_tests(spark, sf):
-    return djoin.unsatisfied(src.tests(spark, sf, 0.5), src.sites(spark, sf), TEST_KEYS, MAX_R).groupBy("zone").agg(F.count("*").alias("unserved"))
+    return djoin.unsatisfied(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R).groupBy("zone").agg(F.count("*").alias("unserved"))
 
 
-@query(f"""WITH {S} SELECT s.id AS a, t.id AS b, round({d("s", "t")}, 4) AS distance FROM sites s JOIN sites t ON s.id < t.id AND {d("s", "t")} <= 600 ORDER BY 1, 2 LIMIT 2000""")
+@query(f"""WITH {S} SELECT s.id AS a, t.id AS b, round({d("s", "t")}, 4) AS distance FROM sites s JOIN sites t ON s.id < t.id AND {d("s", "t")} <= 1500""")
 def conflict_pairs(spark, sf):
-    return djoin.conflict_pairs(src.sites(spark, sf), 600.0).withColumn("distance", F.round("distance", 4))
+    return djoin.conflict_pairs(src.sites(spark, sf), 1500.0).withColumn("distance", F.round("distance", 4))
 
 
 @query(f"""WITH {P}, {S} SELECT pts.id, arg_min(sites.id, ({d("pts", "sites")}, sites.id)) AS nearest_id, round(min({d("pts", "sites")}), 4) AS distance FROM pts, sites GROUP BY pts.id""")
@@ -230,7 +212,7 @@ def visible_points(spark, sf):
 
 
 @query(f"""WITH {P}, {Z}, {C}, cc AS (SELECT zone, spacing, {CX} AS x, {CY} AS y FROM cells)
-SELECT pts.id, cc.zone AS zone_id, count(*) * {A} AS area_m2 FROM pts JOIN cc ON pts.x BETWEEN cc.x - spacing AND cc.x + spacing AND {d("cc", "pts")} <= spacing WHERE pts.id % 10 = 1 GROUP BY pts.id, cc.zone""".replace(" WHERE pts.id % 10 = 1", ""))
+SELECT pts.id, cc.zone AS zone_id, count(*) * {A} AS area_m2 FROM pts JOIN cc ON pts.x BETWEEN cc.x - spacing AND cc.x + spacing AND {d("cc", "pts")} <= spacing GROUP BY pts.id, cc.zone""")
 def point_coverage(spark, sf):
     cells = src.cells(spark, sf, H).select(F.col("zone").alias("zone_id"), "ix", "iy", F.col("spacing").alias("max_spacing_m"))
     return what_if.point_coverage(src.points(spark, sf), cells, H, MAX_R)
@@ -280,14 +262,14 @@ def buffered_zones(spark, sf):
     return b.groupBy("zone").agg((F.count("*") * H * H).alias("area_m2"), F.min("ix").alias("ix0"), F.max("ix").alias("ix1"), F.min("iy").alias("iy0"), F.max("iy").alias("iy1"))
 
 
-CLOUD = f"""{Z}, {T5}, {S}, u AS (SELECT DISTINCT zone, CAST(floor(x / {H}) AS BIGINT) AS ix, CAST(floor(y / {H}) AS BIGINT) AS iy, required_radius AS r FROM tp),
+CLOUD = f"""{Z}, {T}, {S}, u AS (SELECT DISTINCT zone, CAST(floor(x / {H}) AS BIGINT) AS ix, CAST(floor(y / {H}) AS BIGINT) AS iy, required_radius AS r FROM tp),
 o AS (SELECT x AS dx, y AS dy FROM (SELECT unnest(range(-5, 6)) AS x), (SELECT unnest(range(-5, 6)) AS y)),
 cloud AS (SELECT DISTINCT zone, ix + dx AS ix, iy + dy AS iy FROM u JOIN o ON (dx * dx + dy * dy) * {A} <= r * r),
 pair AS (SELECT a.zone AS zone_a, b.zone AS zone_b, a.zone * 1000 + b.zone AS pair, a.ix, a.iy FROM cloud a JOIN cloud b ON a.ix = b.ix AND a.iy = b.iy AND a.zone < b.zone)"""
 
 
-def _pairs(spark, sf, factor=0.5):
-    c = consolidate.clouds(src.tests(spark, sf, factor), H, MAX_R)
+def _pairs(spark, sf):
+    c = consolidate.clouds(src.tests(spark, sf, TEST_FACTOR), H, MAX_R)
     a, b = c.select(F.col("zone").alias("zone_a"), "ix", "iy"), c.select(F.col("zone").alias("zone_b"), "ix", "iy")
     return a.join(b, ["ix", "iy"]).where("zone_a < zone_b").select("zone_a", "zone_b", (F.col("zone_a") * 1000 + F.col("zone_b")).alias("pair"), "ix", "iy")
 
@@ -304,11 +286,11 @@ def pair_clusters(spark, sf):
     return consolidate.group_pairs(_pairs(spark, sf).select("pair", "ix", "iy"))
 
 
-@query(f"""WITH {CLOUD}, p AS (SELECT DISTINCT pair, ix, iy FROM pair WHERE pair = 1),
+@query(f"""WITH {CLOUD}, p AS (SELECT DISTINCT pair, ix, iy FROM pair),
 o8 AS (SELECT x AS dx, y AS dy FROM (SELECT unnest(range(-12, 13)) AS x), (SELECT unnest(range(-12, 13)) AS y)),
 t1 AS (SELECT DISTINCT pair, ix + dx AS ix, iy + dy AS iy FROM p JOIN o8 ON (dx * dx + dy * dy) * {A} <= 90000), t2 AS (SELECT DISTINCT pair, ix + dx AS ix, iy + dy AS iy FROM p JOIN o8 ON (dx * dx + dy * dy) * {A} <= 562500),
 s AS (SELECT id, CAST(floor(x / {H}) AS BIGINT) AS ix, CAST(floor(y / {H}) AS BIGINT) AS iy, id % 4 = 0 AS line FROM sites)
-SELECT id, pair, CASE WHEN line THEN 'locked' ELSE 'candidate' END AS role FROM s JOIN t1 USING (ix, iy) UNION ALL SELECT s.id, t2.pair, 'locked' FROM s JOIN t2 USING (ix, iy) WHERE (t2.pair, s.ix, s.iy) NOT IN (SELECT pair, ix, iy FROM t1)""".replace("WHERE pair = 1)", "WHERE true)"))
+SELECT id, pair, CASE WHEN line THEN 'locked' ELSE 'candidate' END AS role FROM s JOIN t1 USING (ix, iy) UNION ALL SELECT s.id, t2.pair, 'locked' FROM s JOIN t2 USING (ix, iy) WHERE (t2.pair, s.ix, s.iy) NOT IN (SELECT pair, ix, iy FROM t1)""")
 def tier_roles(spark, sf):
     p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
     t1, t2 = consolidate.tiers(p, 300.0, H, ["pair"]), consolidate.tiers(p, 750.0, H, ["pair"])
@@ -323,7 +305,7 @@ def border_cells(spark, sf):
 
 @query(f"""WITH {S}, o AS (SELECT x AS dx, y AS dy FROM (SELECT unnest(range(-40, 41)) AS x), (SELECT unnest(range(-40, 41)) AS y)),
 c AS (SELECT id, x, y, CAST(floor(x / 32) AS BIGINT) + dx AS ix, CAST(floor(y / 32) AS BIGINT) + dy AS iy FROM sites, o)
-SELECT id, count(*) AS cells, CAST(2 * 700.5 * 700.5 - 2 * 200.5 * 200.5 AS DOUBLE) AS area_m2 FROM (SELECT *, abs((ix + 0.5) * 32 - x) + abs((iy + 0.5) * 32 - y) AS m FROM c) WHERE m < 700.5 AND NOT m < 200.5 GROUP BY id""".replace("(ix + 0.5)", "(ix + CAST(0.5 AS DOUBLE))").replace("(iy + 0.5)", "(iy + CAST(0.5 AS DOUBLE))"))
+SELECT id, count(*) AS cells, CAST(2 * 700.5 * 700.5 - 2 * 200.5 * 200.5 AS DOUBLE) AS area_m2 FROM (SELECT *, abs((ix + CAST(0.5 AS DOUBLE)) * 32 - x) + abs((iy + CAST(0.5 AS DOUBLE)) * 32 - y) AS m FROM c) WHERE m < 700.5 AND NOT m < 200.5 GROUP BY id""")
 def polygon_cells(spark, sf):
     diamond = lambda r: f"array(struct(x - {r} AS x, y AS y), struct(x AS x, y - {r} AS y), struct(x + {r} AS x, y AS y), struct(x AS x, y + {r} AS y))"
     s = src.sites(spark, sf).selectExpr("id", f"array({diamond('700.5D')}, {diamond('200.5D')}) AS ring")
@@ -339,9 +321,9 @@ def grid_tiles(spark, sf):
 # --- generators -------------------------------------------------------------------------------
 
 
-@query(f"""WITH {Z}, {T5} SELECT zone, "row", k, round(x, 4) AS x, round(y, 4) AS y FROM tp""")
+@query(f"""WITH {Z}, {T} SELECT zone, "row", k, round(x, 4) AS x, round(y, 4) AS y FROM tp""")
 def hexagonal_lattice(spark, sf):
-    return src.tests(spark, sf, 0.5).select("zone", "row", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+    return src.tests(spark, sf, TEST_FACTOR).select("zone", "row", "k", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
 
 
 @query(f"""WITH {Z} SELECT zone, count(*) AS points FROM (SELECT zone, x0 - spacing + k * spacing AS x, y0 - spacing + r * spacing AS y, x0 - spacing AS a, x1 + spacing AS b, y0 - spacing AS c, y1 + spacing AS e FROM (SELECT *, unnest(range(0, 100)) AS k FROM (SELECT *, unnest(range(0, 100)) AS r FROM zones))) WHERE x > a AND x < b AND y > c AND y < e GROUP BY zone""")
@@ -443,7 +425,7 @@ def edit_windows(spark, sf):
 # --- placement --------------------------------------------------------------------------------
 
 
-def _open_tests(spark, sf, factor=0.5):
+def _open_tests(spark, sf, factor=TEST_FACTOR):
     t = djoin.unsatisfied(src.tests(spark, sf, factor), src.points(spark, sf).select("x", "y"), TEST_KEYS, MAX_R)
     return t.select(F.col("zone").alias("problem"), (F.col("row") * 100_000 + F.col("k")).cast("long").alias("test"), "x", "y", "required_radius")
 
@@ -454,21 +436,18 @@ def _candidates(spark, sf, factor=0.5):
     return c.select(F.col("zone").alias("problem"), (F.col("row") * 100_000 + F.col("k")).cast("long").alias("cand"), "x", "y", (F.col("spacing") * 0.9).alias("exclusion"))
 
 
-PLACE = SolverConfig(local_search_rounds=5)
-
-
 @query()
 def placement(spark, sf):
     """Sites that close every zone's gaps, by set cover with spacing conflicts."""
-    return solve.place_sites(_open_tests(spark, sf, TEST_FACTOR), _candidates(spark, sf), MAX_R)
+    return solve.place_sites(_open_tests(spark, sf), _candidates(spark, sf), MAX_R)
 
 
-@query(f"""WITH {P}, {Z}, {T5}, o AS (SELECT zone FROM tp WHERE NOT EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius))
+@query(f"""WITH {P}, {Z}, {T}, o AS (SELECT zone FROM tp WHERE NOT EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius))
 SELECT zone AS problem, count(*) AS tests, CAST(0 AS BIGINT) AS missed FROM o GROUP BY zone""")
 def placement_gaps(spark, sf):
     """After placement no open test of a zone is left (every test has a candidate in reach)."""
     t = _open_tests(spark, sf)
-    return _missed(t, solve.place_sites(t, _candidates(spark, sf), MAX_R, PLACE))
+    return _missed(t, solve.place_sites(t, _candidates(spark, sf), MAX_R))
 
 
 def _missed(t, placed):
@@ -477,42 +456,15 @@ def _missed(t, placed):
     return t.join(hit, ["problem", "test"], "left").groupBy("problem").agg(F.count("*").alias("tests"), F.count_if(F.col("hit").isNull()).alias("missed"))
 
 
-# The SQL of the four below fixes a test factor of 0.5; these use the shipped one, as placement does.
-
-
-@query(ORACLES["filter_cube"].replace(T5, T2))
-def filter_cube_all_tests(spark, sf):
-    p = src.points(spark, sf)
-    return coverage.cube(src.tests(spark, sf, TEST_FACTOR), p, coverage.combinations(p, STEP), TEST_KEYS, MAX_R)
-
-
-@query(ORACLES["pre_coverage"].replace(T5, T2))
-def pre_coverage_all_tests(spark, sf):
-    c = djoin.pre_covered(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R)
-    return c.groupBy("zone").agg(F.count("*").alias("tests"), F.count_if("is_match").alias("served"))
-
-
-@query(ORACLES["unsatisfied_tests"].replace(T5, T2))
-def unsatisfied_tests_all_tests(spark, sf):
-    return djoin.unsatisfied(src.tests(spark, sf, TEST_FACTOR), src.sites(spark, sf), TEST_KEYS, MAX_R).groupBy("zone").agg(F.count("*").alias("unserved"))
-
-
-@query()
-def placement_gaps_all_tests(spark, sf):
-    t = _open_tests(spark, sf, TEST_FACTOR)
-    return _missed(t, solve.place_sites(t, _candidates(spark, sf), MAX_R))
-
-
 @query()
 def consolidation(spark, sf):
     """Second pass over the overlaps of the clouds of all zones."""
     settings = Settings()
-    factor = settings.lattice.test_factor
-    p = _pairs(spark, sf, factor).select("pair", "ix", "iy").distinct()
+    p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
     clusters = consolidate.group_pairs(p)
     one = p.join(clusters, "pair").select(F.col("cluster").alias("problem"), "ix", "iy").distinct()
     s = src.sites(spark, sf).select(F.col("id").alias("seq"), "x", "y", F.expr("id % 4 = 0").alias("is_centreline"))
-    t = src.tests(spark, sf, factor).select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
+    t = src.tests(spark, sf, settings.lattice.test_factor).select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
     tier1 = region.intersection(one, src.cells(spark, sf, H).select("ix", "iy").distinct())
     out = consolidate.consolidate(s, t, tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H, settings)
     return out["removed"].select(F.lit("removed").alias("kind"), "problem", "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "problem", "x", "y"))
@@ -520,7 +472,7 @@ def consolidation(spark, sf):
 
 @query()
 def greedy_disk_cover(spark, sf):
-    gaps = _gaps_own(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})
+    gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})
     c = _candidates(spark, sf, 1.0).join(src.zones(spark, sf).select(F.col("zone").alias("problem"), "spacing"), "problem").withColumnRenamed("problem", "owner")
     near = djoin.distance_join(gaps, c.select("owner", "cand", "x", "y", "spacing"), F.col("r_spacing"), MAX_R).where("zone = r_owner")
     return solve.greedy_cover(near.select(F.col("zone").alias("problem"), F.col("r_cand").alias("cand"), region.cell_id().alias("cell"), (F.col("h") * F.col("h")).alias("cell_m2")), "cell_m2", 200.0)
@@ -542,8 +494,8 @@ def tolerance_dedupe(spark, sf):
     return dedupe.tolerance_dedupe(src.points(spark, sf).select(F.col("id").alias("seq"), "x", "y"), 60.0)
 
 
-@query(f"""WITH RECURSIVE {S}, e AS (SELECT s.id AS a, t.id AS b FROM sites s JOIN sites t ON s.id <> t.id AND {d("s", "t")} < 500), r(id, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id""")
+@query(f"""WITH RECURSIVE {S}, e AS (SELECT s.id AS a, t.id AS b FROM sites s JOIN sites t ON s.id <> t.id AND {d("s", "t")} < 1000), r(id, seen) AS (SELECT DISTINCT a, a FROM e UNION SELECT r.id, e.b FROM r JOIN e ON e.a = r.seen) SELECT id, min(seen) AS component FROM r GROUP BY id""")
 def site_components(spark, sf):
     s = src.sites(spark, sf)
-    e = djoin.distance_join(s, s, 500.0, strict=True).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
+    e = djoin.distance_join(s, s, 1000.0, strict=True).where("id < r_id").select(F.col("id").alias("a"), F.col("r_id").alias("b"))
     return connected_components(e)

@@ -32,8 +32,8 @@ def test_distance_joins(cloud):
     near = {(i, j) for i, x, y in a for j, u, v in b if (x - u) ** 2 + (y - v) ** 2 <= 49}
     assert set(rows(djoin.distance_join(left, right, 7.0), "id", "r_id")) == near
     hit = {i for i, _ in near}
-    assert {r[0] for r in rows(djoin.distance_join(left, right, 7.0, how="anti", keys=["id"]), "id")} == {i for i, _, _ in a} - hit
-    assert len(rows(djoin.distance_join(left, right, 7.0, how="left", keys=["id"]), "id")) == len(near) + len(a) - len(hit)
+    assert {r[0] for r in rows(djoin.distance_join(left, right, 7.0, how="anti"), "id")} == {i for i, _, _ in a} - hit
+    assert len(rows(djoin.distance_join(left, right, 7.0, how="left"), "id")) == len(near) + len(a) - len(hit)
     got = dict(rows(djoin.nearest(left, right, ["id"], "id", 1.0), "id", "nearest_id"))
     assert got == {i: min(((x - u) ** 2 + (y - v) ** 2, j) for j, u, v in b)[1] for i, x, y in a}
     with pytest.raises(ValueError):
