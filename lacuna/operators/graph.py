@@ -28,27 +28,39 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-#: Steps of a round of connected_components, between two tests for an end.
-STEPS = 2
+def _forget(df: DataFrame) -> DataFrame:
+    """The same rows without the size that the planner has estimated for them.
+
+    A checkpoint keeps the estimate of its plan, which for a join is a product of sizes: in an iteration
+    it soon has more digits than the planner can multiply.
+    """
+    spark = df.sparkSession
+    return DataFrame(spark._jsparkSession.createDataFrame(df._jdf.javaRDD(), df._jdf.schema()), spark)
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(id, component) of every vertex that an edge names; component is the least id that it reaches.
 
-    Each step takes the least label among neighbours, then that label's own label (pointer jumping),
-    so long chains take a logarithmic number of steps. Both are equi-joins and aggregations with
-    map-side combine; a vertex with very many edges is a skewed join side, which adaptive execution
-    splits. Null ends are no edges; loops and repeated edges do no harm; without edges no rows.
+    Each round every vertex looks at its neighbours' labels' labels. The least of them it takes itself, and
+    hands to the vertex that it is labelled by, so that whole trees hook on to each other; then its own
+    label's label (pointer jumping). Rounds grow with the logarithm of the size, long chains included.
+    All are equi-joins and aggregations with map-side combine; a vertex with very many edges is a skewed
+    join side, which adaptive execution splits. Null ends are no edges; loops and repeated edges do no
+    harm; without edges no rows.
     """
     e = edges.select(F.col(a).cast("long").alias("u"), F.col(b).cast("long").alias("v")).where("u IS NOT NULL AND v IS NOT NULL")
     both = cut(e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
-    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).select(F.col("u").alias("id"), "label", F.col("label").alias("old"))
+    labels = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("label")).withColumnRenamed("u", "id")
+    before = None
     while True:
-        for _ in range(STEPS):
-            near = both.join(labels.select(F.col("id").alias("v"), "label"), "v").groupBy("u").agg(F.min("label").alias("near"))
-            step = labels.join(near.withColumnRenamed("u", "id"), "id").select("id", "old", F.least("label", "near").alias("low"))
-            labels = step.join(labels.select(F.col("id").alias("low"), F.col("label").alias("lower")), "low").select("id", "old", F.least("low", "lower").alias("label"))
-        labels = cut(labels)
-        if labels.where("label <> old").isEmpty():
+        up = labels.join(labels.select(F.col("id").alias("label"), F.col("label").alias("above")), "label")
+        near = both.join(up.select(F.col("id").alias("v"), "above"), "v").groupBy("u").agg(F.min("above").alias("near"))
+        seen = up.join(near.withColumnRenamed("u", "id"), "id")
+        hook = seen.groupBy("label").agg(F.min("near").alias("hook")).withColumnRenamed("label", "id")
+        labels = seen.join(hook, "id", "left").select("id", F.least("label", "above", "near", "hook").alias("label"))
+        labels = _forget(cut(labels))
+        # labels only ever fall, so their sum tells whether any did
+        total = labels.agg(F.sum(F.col("label").cast("decimal(38,0)"))).first()[0]
+        if total == before:
             return labels.select("id", F.col("label").alias("component"))
-        labels = labels.select("id", "label", F.col("label").alias("old"))
+        before = total

@@ -12,7 +12,7 @@ from math import floor, log2
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lacuna.operators.graph import connected_components
+from lacuna.operators.graph import connected_components, cut
 
 SPAN = 21  # bits of a cell number in a packed cell id
 
@@ -116,14 +116,19 @@ def cell_id(group: str | Column | None = None) -> Column:
 
 
 def pieces(region: DataFrame, group: str) -> DataFrame:
-    """Adds piece: the least packed cell id of the cell's 4-connected piece, within the integer group."""
-    own = region.withColumn("_id", cell_id(group))
-    right = own.select(F.col("_id").alias("a"), (F.col("_id") + (1 << SPAN)).alias("b"))
-    up = own.select(F.col("_id").alias("a"), (F.col("_id") + 1).alias("b"))
-    ids = own.select(F.col("_id").alias("b"))
-    edges = right.unionByName(up).join(ids, "b", "left_semi")
-    found = connected_components(edges)
-    return own.join(found.withColumnRenamed("id", "_id"), "_id", "left").withColumn("piece", F.coalesce("component", "_id")).drop("_id", "component")
+    """Adds piece: the least packed cell id of the cell's 4-connected piece, within the integer group.
+
+    Cells of a row that follow each other are one run; only runs, which touch runs of the next row, go
+    into the search for components.
+    """
+    along = Window.partitionBy(group, "iy").orderBy("ix")
+    own = region.withColumn("_r", F.col("ix") - F.row_number().over(along))
+    runs = cut(own.groupBy(group, "iy", "_r").agg(F.min("ix").alias("ix"), F.max("ix").alias("b")).withColumn("_id", cell_id(group)))
+    next_row = runs.select(group, (F.col("iy") - 1).alias("iy"), F.col("ix").alias("c"), F.col("b").alias("d"), F.col("_id").alias("to"))
+    edges = runs.join(next_row, [group, "iy"]).where("ix <= d AND c <= b").select(F.col("_id").alias("a"), F.col("to").alias("b"))
+    named = runs.join(connected_components(edges).withColumnRenamed("id", "_id"), "_id", "left")
+    named = named.select(group, "iy", "_r", F.coalesce("component", "_id").alias("piece"))
+    return own.join(named, [group, "iy", "_r"]).drop("_r").select(*region.columns, "piece")
 
 
 def overlaps(region: DataFrame, key: str, h: float, least_m2: float = 0.0) -> DataFrame:
@@ -176,7 +181,6 @@ def centres_of(cells: DataFrame, key: str, counts: DataFrame, rounds: int = 8) -
     size = cells.groupBy(key).agg(F.count("*").alias("n")).join(counts, key)
     start = cells.withColumn("i", F.row_number().over(order) - 1).join(size, key).withColumn("cell", F.floor((F.col("i") * F.col("k")) / F.col("n")))
     centres = start.groupBy(key, "cell").agg((F.avg("ix") + 0.5).alias("x"), (F.avg("iy") + 0.5).alias("y"))
-    from lacuna.operators.graph import cut
 
     centres = cut(centres)
     for _ in range(rounds):
