@@ -79,7 +79,7 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     config = SolverConfig(**{**settings.solver.__dict__, "local_search_rounds": min(50, settings.solver.local_search_rounds)})
     factor = config.exclusion_factor or 0.0
     solved = cut(solve.place_sites(open_, both.withColumn("exclusion", F.lit(factor * r_max)), r_max, config))
-    good = solved.where("status IN ('optimal', 'feasible', 'nothing_to_cover')").select("problem").distinct()
+    good = solved.where("status IN ('optimal', 'feasible', 'conflicts_capped', 'nothing_to_cover')").select("problem").distinct()
     selected = solved.where("cand IS NOT NULL").join(good, "problem", "left_semi").select("problem", "cand", "x", "y")
     removed = own.join(good, "problem", "left_semi").join(both.select("problem", "cand", "seq").where("seq IS NOT NULL"), ["problem", "seq"]).join(selected.select("problem", "cand"), ["problem", "cand"], "left_anti")
     # clusters without an open test have nothing to solve: all their candidates are spare

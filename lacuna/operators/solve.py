@@ -20,10 +20,12 @@ from lacuna.operators.djoin import distance_join
 RESULT = "problem long, cand long, x double, y double, status string, conflict_factor double, tests long, coverable long, covered long, lower_bound long"
 #: Factors on the exclusion distance that are tried in turn; None: without conflicts.
 LADDER = [1.0, 0.8, 0.6, None]
+#: Candidates in a row that a search may choose; beyond, it gives up the proof.
+DEEPEST = 500
 
 
-def conflicts(x: np.ndarray, y: np.ndarray, distance: float, most: int) -> list[np.ndarray]:
-    """For each candidate those at most distance away. Beyond `most` pairs the first by (a, b) count."""
+def conflicts(x: np.ndarray, y: np.ndarray, distance: float, most: int | None = None) -> tuple[list[np.ndarray], bool]:
+    """For each candidate those at most distance away, and whether that is all: given `most`, the first pairs by (a, b) count."""
     n = len(x)
     near: list[list[int]] = [[] for _ in range(n)]
     cell: dict[tuple[int, int], list[int]] = {}
@@ -33,11 +35,13 @@ def conflicts(x: np.ndarray, y: np.ndarray, distance: float, most: int) -> list[
     for i in range(n):
         u, v = int(x[i] // distance), int(y[i] // distance)
         for j in sorted(j for du in (-1, 0, 1) for dv in (-1, 0, 1) for j in cell.get((u + du, v + dv), ()) if j > i):
-            if (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= distance * distance and pairs < most:
+            if (x[i] - x[j]) ** 2 + (y[i] - y[j]) ** 2 <= distance * distance:
+                pairs += 1
+                if most is not None and pairs > most:
+                    continue
                 near[i].append(j)
                 near[j].append(i)
-                pairs += 1
-    return [np.array(k, np.int64) for k in near]
+    return [np.array(k, np.int64) for k in near], most is None or pairs <= most
 
 
 def maximal_cliques(near: list[np.ndarray], most: int) -> list[list[int]]:
@@ -128,6 +132,10 @@ class Problem:
     def _swap(self, out: list[int], count: np.ndarray) -> tuple[int, int, int] | None:
         own = {c: self.covers[c][count[self.covers[c]] == 1] for c in out}
         chosen = set(out)
+        serving: dict[int, list[int]] = {}
+        for c in out:
+            for t in self.covers[c].tolist():
+                serving.setdefault(t, []).append(c)
         for a in out:
             if not len(own[a]):
                 continue
@@ -135,24 +143,29 @@ class Problem:
             rivals = set(self.by_test[own[a][0]])
             for t in own[a][1:].tolist():
                 rivals &= set(self.by_test[t])
+            mine = set(self.covers[a].tolist())
             for new in sorted(rivals - chosen):
                 held = set(self.covers[new].tolist())
                 clash = set() if self.near is None else set(self.near[new].tolist()) & chosen
-                for b in sorted(clash - {a}) or out:
-                    if b == a or clash - {a, b}:
+                # what gives way beside a shares tests with the new one, as something hangs on it alone
+                for b in sorted(clash - {a}) or sorted({c for t in held for c in serving.get(t, ())} - {a}):
+                    if clash - {a, b}:
                         continue
-                    both = [t for t in self.covers[b].tolist() if count[t] - 1 - (t in set(self.covers[a].tolist())) <= 0]
-                    if all(t in held for t in both):
+                    if all(t in held for t in self.covers[b].tolist() if count[t] - 1 - (t in mine) <= 0):
                         return a, b, new
         return None
 
-    def exact(self, best: list[int]) -> list[int]:
-        """Branch and bound for small problems: on the open test of fewest candidates."""
-        result = list(best)
+    def exact(self, best: list[int] | None, steps: int) -> tuple[list[int] | None, bool]:
+        """Branch and bound on the open test of fewest candidates: the best cover, and whether the search ended.
+
+        steps: how many times a test may be looked at, whatever the size of the problem. best: a cover to beat.
+        """
+        result, left = best, steps
 
-        def go(chosen: list[int], open_: frozenset[int], banned: frozenset[int]):
-            nonlocal result
-            if len(chosen) >= len(result):
+        def go(chosen: list[int], open_: frozenset[int], banned: frozenset[int]) -> None:
+            nonlocal result, left
+            left -= len(open_) if len(chosen) < DEEPEST else left + 1
+            if left < 0 or result is not None and len(chosen) + bool(open_) >= len(result):
                 return
             if not open_:
                 result = list(chosen)
@@ -164,7 +177,7 @@ class Problem:
                     go([*chosen, c], open_ - frozenset(self.covers[c].tolist()), more)
 
         go([], frozenset(t for t in range(self.tests) if self.by_test[t]), frozenset())
-        return sorted(result)
+        return (sorted(result) if result is not None else None), left >= 0
 
     def lower_bound(self) -> int:
         """Tests, the one of fewest candidates first, no two of which share a candidate."""
@@ -184,23 +197,22 @@ def solve(covers: list[np.ndarray], tests: int, x: np.ndarray, y: np.ndarray, ex
     """
     steps = [None] if config.conflict_mode == "none" or not config.exclusion_factor or exclusion <= 0 else LADDER
     for factor in steps:
-        near = None if factor is None else conflicts(x, y, factor * exclusion, config.max_conflict_pairs)
+        near, whole = (None, True) if factor is None else conflicts(x, y, factor * exclusion, config.max_conflict_pairs)
         p = Problem(covers, tests, near)
         need = p.coverable if config.target_pct >= 99.9 else min(p.coverable, int(tests * config.target_pct / 100))
         if need == 0:
             return [], "nothing_to_cover", factor, 0
-        chosen = p.greedy(need)
-        if chosen is None and len(covers) > config.exact_candidates:
-            chosen = _repair(p, need)
-        if len(covers) <= config.exact_candidates and need == p.coverable:
-            found = p.exact(chosen or list(range(len(covers) + 1)))
-            chosen = found if len(found) <= len(covers) else None
-            if chosen is not None:
-                return chosen, "optimal", factor, len(chosen)
-        if chosen is not None:
+        chosen = p.greedy(need) or _repair(p, need)
+        if chosen is not None and config.mode == "cover":
             chosen = p.improve(p.prune(chosen, need), need, config.local_search_rounds)
-            bound = p.lower_bound() if need == p.coverable else 0
-            return sorted(chosen), "optimal" if len(chosen) == bound else "feasible", factor, bound
+        proven = False
+        if config.mode == "cover" and need == p.coverable:
+            found, proven = p.exact(chosen, config.exact_steps)
+            chosen = found if found is not None else chosen
+        if chosen is not None:
+            bound = len(chosen) if proven else p.lower_bound() if need == p.coverable else 0
+            status = "optimal" if len(chosen) == bound else "feasible"
+            return sorted(chosen), status if whole else "conflicts_capped", factor, bound if whole else 0
     return [], "infeasible", None, 0
 
 

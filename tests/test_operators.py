@@ -148,12 +148,12 @@ def test_set_cover_is_optimal_on_small_problems(seed):
     x, y = rng.random(9) * 10, rng.random(9) * 10
     t = rng.random((14, 2)) * 10
     covers = [np.flatnonzero((t[:, 0] - x[c]) ** 2 + (t[:, 1] - y[c]) ** 2 <= 9) for c in range(9)]
-    near = [set(k.tolist()) for k in solve.conflicts(x, y, 1.5, 1000)]
+    near = [set(k.tolist()) for k in solve.conflicts(x, y, 1.5)[0]]
     best = brute(covers, 14, near)
     chosen, status, factor, bound = solve.solve(covers, 14, x, y, 1.5, SolverConfig(exclusion_factor=1.0))
     if best is not None:
         assert len(chosen) == best and factor == 1.0 and bound <= best
-    large, _, _, bound = solve.solve(covers, 14, x, y, 0.0, SolverConfig(exact_candidates=0))
+    large, _, _, bound = solve.solve(covers, 14, x, y, 0.0, SolverConfig(exact_steps=0))
     free = brute(covers, 14, [set()] * 9)
     assert free <= len(large) and bound <= free
     assert set().union(*(set(covers[c]) for c in large), set()) == set().union(*map(set, covers))
