@@ -9,8 +9,6 @@ from lacuna.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Iterative ones take many small jobs; their operators are tested by themselves.
-SLOW = {"gap_statistics", "coverage_summary", "pair_clusters", "placement_gaps"}
 
 
 @pytest.fixture(scope="module")
@@ -29,7 +27,7 @@ def normal(df: pd.DataFrame) -> pd.DataFrame:
     return df.astype(str).sort_values(list(df.columns)).reset_index(drop=True)
 
 
-@pytest.mark.parametrize("name", sorted(set(ORACLES) - SLOW))
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_equals_sql(spark, db, name):
     a, b = normal(QUERIES[name](spark, SF).toPandas()), normal(db.sql(ORACLES[name]).df())
     assert list(a.columns) == list(b.columns)
