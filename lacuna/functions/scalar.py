@@ -45,6 +45,18 @@ def split_pair(key) -> list[Column]:
     return [F.element_at(parts, 1).alias("zone_a"), F.element_at(parts, 2).alias("zone_b")]
 
 
+def known_pair(key, zones) -> Column:
+    """Both zones of a pair key (G3): split at ||, else two of the known zones (an array) around an underscore, else split at every underscore.
+
+    Of several readings that with the shortest first zone counts.
+    """
+    k = col(key)
+    first = F.array_sort(F.filter(col(zones), lambda z: k.startswith(F.concat(z, F.lit("_"))) & F.array_contains(col(zones), F.substr(k, F.length(z) + 2))))
+    shortest = F.element_at(first, 1)
+    legacy = F.when(F.size(first) > 0, F.array(shortest, F.substr(k, F.length(shortest) + 2))).otherwise(F.split(k, "_"))
+    return F.when(k.contains("||"), F.split(k, r"\|\|")).otherwise(legacy)
+
+
 def safe_name(name, longest: int = 40) -> Column:
     """Letters, digits, dot, dash and underscore; others become underscores, runs of them one."""
     return F.substring(F.regexp_replace(F.regexp_replace(col(name), r"[^A-Za-z0-9._-]+", "_"), "^_+|_+$", ""), 1, longest)

@@ -115,13 +115,13 @@ def zone_area_stats(spark, sf):
 # Gaps are seen at each zone's own resolution h, the largest power of two of at most spacing / 10
 # (SURVEY 1.4). The SQL joins runs of cells of a row to runs of the next row, and follows those.
 OWN_COVERED = covered_sql("h", src.own_cells_sql())
-PIECES = f"""{OWN_COVERED}, g AS (SELECT zone, h, ix, iy FROM cov WHERE NOT hit),
-run AS (SELECT zone, h, iy, min(ix) AS a, max(ix) AS b, (zone * 2097152 + min(ix) + 1048576) * 2097152 + iy + 1048576 AS id FROM (SELECT *, ix - row_number() OVER (PARTITION BY zone, iy ORDER BY ix) AS r FROM g) GROUP BY zone, h, iy, r),
+RUNS = """run AS (SELECT zone, h, iy, min(ix) AS a, max(ix) AS b, (zone * 2097152 + min(ix) + 1048576) * 2097152 + iy + 1048576 AS id FROM (SELECT *, ix - row_number() OVER (PARTITION BY zone, iy ORDER BY ix) AS r FROM g) GROUP BY zone, h, iy, r),
 up AS (SELECT u.id AS a, v.id AS b FROM run u JOIN run v ON u.zone = v.zone AND v.iy = u.iy + 1 AND u.a <= v.b AND v.a <= u.b),
 touch AS (SELECT a, b FROM up UNION ALL SELECT b, a FROM up),
 reach(id, seen) AS (SELECT id, id FROM run UNION SELECT reach.id, touch.b FROM reach JOIN touch ON touch.a = reach.seen),
 named AS (SELECT id, min(seen) AS piece FROM reach GROUP BY id),
 piece AS (SELECT g.zone, g.h, g.ix, g.iy, named.piece FROM g JOIN run ON run.zone = g.zone AND run.iy = g.iy AND g.ix BETWEEN run.a AND run.b JOIN named ON named.id = run.id)"""
+PIECES = f"{OWN_COVERED}, g AS (SELECT zone, h, ix, iy FROM cov WHERE NOT hit), {RUNS}"
 
 
 def _covered_own(spark, sf):
