@@ -61,7 +61,7 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     """One pass over all clusters at once.
 
     sites: seq, x, y, is_centreline; tests: test, x, y, required_radius; tier1 and tier2: problem, ix, iy.
-    Each cluster covers its tier-1 tests afresh, from lattice candidates and its own sites; sites in
+    problem is an integer; each cluster covers its tier-1 tests afresh, from lattice candidates and its own sites; sites in
     tier 2 stay and count. Returns selected, removed, added and summary. A cluster whose solve fails
     keeps its sites. What one cluster removes, no other adds (F2).
     """
@@ -79,7 +79,7 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     config = SolverConfig(**{**settings.solver.__dict__, "local_search_rounds": min(50, settings.solver.local_search_rounds)})
     factor = config.exclusion_factor or 0.0
     solved = cut(solve.place_sites(open_, both.withColumn("exclusion", F.lit(factor * r_max)), r_max, config))
-    good = solved.where("status IN ('optimal', 'feasible', 'conflicts_capped', 'nothing_to_cover')").select("problem").distinct()
+    good = solved.groupBy("problem").agg(F.bool_and(F.col("status").isin("optimal", "feasible", "conflicts_capped", "nothing_to_cover")).alias("ok")).where("ok").select("problem")
     selected = solved.where("cand IS NOT NULL").join(good, "problem", "left_semi").select("problem", "cand", "x", "y")
     removed = own.join(good, "problem", "left_semi").join(both.select("problem", "cand", "seq").where("seq IS NOT NULL"), ["problem", "seq"]).join(selected.select("problem", "cand"), ["problem", "cand"], "left_anti")
     # clusters without an open test have nothing to solve: all their candidates are spare
@@ -90,7 +90,7 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     removed = removed.join(kept, "seq", "left_anti")
     added = selected.join(both.where("seq IS NULL").select("problem", "cand"), ["problem", "cand"], "left_semi").withColumn("source_pass", F.lit(source_pass))
     added = dedupe.not_readded(added, removed)
-    summary = solved.groupBy("problem").agg(F.count("cand").alias("selected"), F.first("status").alias("status"), F.first("lower_bound").alias("lower_bound"))
+    summary = solve.totals(solved)
     return {"selected": selected, "removed": removed, "added": added, "summary": summary}
 
 

@@ -1,7 +1,8 @@
 """Set cover with spacing conflicts for many independent problems.
 
-Problems (zones, components, clusters, cells) are groups of a grouped map; a large zone is split before
-(operators.region.centres_of), so that a group is of bounded size. No optimality is claimed: a result
+Problems (zones, clusters, cells) fall into parts too far apart to have anything in common, and a part is a
+group of a grouped map. A part that is still too large is the caller's to split
+(operators.consolidate.split_large). No optimality is claimed: a result
 carries its status and a lower bound, a set of tests no two of which share a candidate.
 """
 
@@ -15,9 +16,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.config import SolverConfig
-from lacuna.operators.djoin import distance_join
+from lacuna.operators.djoin import NEIGHBOURS, distance_join
+from lacuna.operators.graph import connected_components, cut
 
-RESULT = "problem long, cand long, x double, y double, status string, conflict_factor double, tests long, coverable long, covered long, lower_bound long"
+RESULT = "problem long, part long, cand long, x double, y double, status string, conflict_factor double, tests long, coverable long, covered long, lower_bound long"
 #: Factors on the exclusion distance that are tried in turn; None: without conflicts.
 LADDER = [1.0, 0.8, 0.6, None]
 #: Candidates in a row that a search may choose; beyond, it gives up the proof.
@@ -250,11 +252,29 @@ def _repair(p: Problem, need: int, tries: int = 20) -> list[int] | None:
     return None
 
 
+def parts(tests: DataFrame, candidates: DataFrame) -> DataFrame:
+    """tests with part: tests of one problem in different parts share no candidate, and no candidate of one is in conflict with one of the other.
+
+    Cells as wide as two radii and the exclusion distance of the problem; tests of cells that don't touch
+    are farther apart than that. Only occupied cells, once each, go into the search for components.
+    """
+    wide = tests.groupBy("problem").agg((2 * F.max("required_radius")).alias("_w"))
+    apart = candidates.groupBy("problem").agg(F.max("exclusion").alias("_x"))
+    width = wide.join(apart, "problem", "left").select("problem", F.greatest(F.col("_w") + F.coalesce("_x", F.lit(0.0)), F.lit(1e-9)).alias("_w"))
+    own = tests.join(width, "problem").withColumns({"_u": F.floor(F.col("x") / F.col("_w")), "_v": F.floor(F.col("y") / F.col("_w"))}).drop("_w")
+    cells = cut(own.select("problem", "_u", "_v").distinct().withColumn("_id", F.xxhash64("problem", "_u", "_v")))
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
+    near = cells.withColumn("o", around).select("problem", (F.col("_u") + F.col("o.dx")).alias("_u"), (F.col("_v") + F.col("o.dy")).alias("_v"), F.col("_id").alias("a"))
+    edges = near.join(cells, ["problem", "_u", "_v"]).where("a <= _id").select("a", F.col("_id").alias("b"))
+    named = cells.join(connected_components(edges).select(F.col("id").alias("_id"), F.col("component").alias("part")), "_id").drop("_id")
+    return own.join(named, ["problem", "_u", "_v"]).drop("_u", "_v")
+
+
 def solve_problems(edges: DataFrame, candidates: DataFrame, config: SolverConfig = SolverConfig()) -> DataFrame:
-    """The chosen candidates of every problem.
+    """The chosen candidates of every part of every problem.
 
-    edges: problem, test, cand (null where no candidate is in reach); candidates: problem, cand, x, y,
-    exclusion (the distance of conflicts). A failed group comes back as one row with its error (M3).
+    edges: problem, part, test, cand (null where no candidate is in reach); candidates: problem, part, cand,
+    x, y, exclusion (the distance of conflicts). A failed part comes back as one row with its error (M3).
     """
 
     def run(key, e: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
@@ -267,30 +287,39 @@ def solve_problems(edges: DataFrame, candidates: DataFrame, config: SolverConfig
         covers = [np.unique(code[ok][order][split[i] : split[i + 1]]) for i in range(len(c))]
         try:
             chosen, status, factor, bound = solve(covers, len(tests), c["x"].to_numpy(), c["y"].to_numpy(), float(c["exclusion"].iloc[0]) if len(c) else 0.0, config)
-        except Exception as error:  # one problem's failure is that problem's result
+        except Exception as error:  # one part's failure is that part's result
             chosen, status, factor, bound = [], f"error: {error}"[:200], None, 0
         covered = len(np.unique(np.concatenate([covers[i] for i in chosen]))) if chosen else 0
         coverable = len(np.unique(code[ok]))
         rows = c.iloc[chosen][["cand", "x", "y"]] if chosen else pd.DataFrame({"cand": [pd.NA], "x": [None], "y": [None]})
-        head = dict(problem=key[0], status=status, conflict_factor=factor, tests=len(tests), coverable=coverable, covered=covered, lower_bound=bound)
+        head = dict(problem=key[0], part=key[1], status=status, conflict_factor=factor, tests=len(tests), coverable=coverable, covered=covered, lower_bound=bound)
         return rows.assign(**head)[[f.split()[0] for f in RESULT.split(", ")]].astype({"cand": "Int64", "x": "float64", "y": "float64"})
 
     # names anew, as both sides may come from one frame
-    e = edges.select(*[F.col(c).alias(c) for c in ("problem", "test", "cand")])
-    c = candidates.select(*[F.col(c).alias(c) for c in ("problem", "cand", "x", "y", "exclusion")])
-    return e.groupBy("problem").cogroup(c.groupBy("problem")).applyInPandas(run, RESULT)
+    e = edges.select(*[F.col(c).alias(c) for c in ("problem", "part", "test", "cand")])
+    c = candidates.select(*[F.col(c).alias(c) for c in ("problem", "part", "cand", "x", "y", "exclusion")])
+    return e.groupBy("problem", "part").cogroup(c.groupBy("problem", "part")).applyInPandas(run, RESULT)
 
 
 def place_sites(tests: DataFrame, candidates: DataFrame, max_radius: float, config: SolverConfig = SolverConfig()) -> DataFrame:
     """Chosen sites of every problem: tests (problem, test, x, y, required_radius), candidates (problem, cand, x, y, exclusion).
 
-    Tests meet the candidates of their own problem only. Equal problems (the same relative layout under
-    several combinations, say) are the caller's to solve once (M5, M6: `once`).
+    Tests meet the candidates of their own problem only; a problem is solved in its parts, each of which
+    has to reach the target. Equal problems (the same relative layout under several combinations, say)
+    are the caller's to solve once (M5, M6: `once`).
     """
-    own = candidates.withColumnRenamed("problem", "cand_problem")
-    edges = distance_join(tests, own, "required_radius", max_radius, explode="left").where("problem = r_cand_problem").select("problem", "test", F.col("r_cand").alias("cand"))
-    every = tests.select("problem", "test").join(edges, ["problem", "test"], "left")
-    return solve_problems(every, candidates, config)
+    own = candidates.select("problem", "cand", "x", "y", "exclusion")
+    placed = cut(parts(tests, own).select("problem", "part", "test", "x", "y", "required_radius"))
+    edges = cut(distance_join(placed, own.withColumnRenamed("problem", "cand_problem"), "required_radius", max_radius, explode="left").where("problem = r_cand_problem").select("problem", "part", "test", F.col("r_cand").alias("cand"), F.col("r_x").alias("x"), F.col("r_y").alias("y"), F.col("r_exclusion").alias("exclusion")))
+    every = placed.select("problem", "part", "test").join(edges.select("problem", "part", "test", "cand"), ["problem", "part", "test"], "left")
+    return solve_problems(every, edges.select("problem", "part", "cand", "x", "y", "exclusion").distinct(), config)
+
+
+def totals(solved: DataFrame) -> DataFrame:
+    """One row per problem of what its parts came to: selected, tests, coverable, covered, lower_bound, the least conflict factor (null if a part went without conflicts), the distinct statuses."""
+    per = solved.groupBy("problem", "part").agg(F.count("cand").alias("selected"), *[F.first(c).alias(c) for c in ("status", "conflict_factor", "tests", "coverable", "covered", "lower_bound")])
+    sums = [F.sum(c).alias(c) for c in ("selected", "tests", "coverable", "covered", "lower_bound")]
+    return per.groupBy("problem").agg(F.count("*").alias("parts"), *sums, F.when(F.bool_and(F.col("conflict_factor").isNotNull()), F.min("conflict_factor")).alias("conflict_factor"), F.array_join(F.array_sort(F.collect_set("status")), ",").alias("status"))
 
 
 def once(problems: DataFrame, digest: list[str], problem: str = "problem") -> DataFrame:

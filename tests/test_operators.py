@@ -243,3 +243,21 @@ def test_edits_as_batch_and_stream(spark, tmp_path):
     q = edits.run_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), lambda b, _: seen.update({r.id: r.action for r in b.collect()}), str(tmp_path / "cp"))
     q.awaitTermination(60)
     assert seen == {1: "move", 2: "delete", 3: "restore", 8: "move", 9: "add"}
+
+
+def test_parts_share_no_candidate_and_no_conflict(spark):
+    import itertools
+    import random
+
+    rng = random.Random(5)
+    tests = [(p, i, rng.uniform(0, 900), rng.uniform(-300, 300), 10.0) for p in (1, 2) for i in range(40)]
+    cands = [(p, i, x + rng.uniform(-9, 9), y, 15.0) for p, i, x, y, _ in tests]
+    t = spark.createDataFrame(tests, "problem long, test long, x double, y double, required_radius double")
+    c = spark.createDataFrame(cands, "problem long, cand long, x double, y double, exclusion double")
+    named = {(r.problem, r.test): r.part for r in solve.parts(t, c).collect()}
+    assert len(named) == 80 and len(set(named.values())) > 10
+    for a, b in itertools.combinations(tests, 2):
+        if a[0] == b[0] and (a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2 <= 35.0**2:
+            assert named[a[0], a[1]] == named[b[0], b[1]]
+    total = {r.problem: r for r in solve.totals(solve.place_sites(t, c, 10.0)).collect()}
+    assert [total[p].tests for p in (1, 2)] == [40, 40] and all(r.covered == r.coverable == 40 and r.parts > 5 and r.lower_bound <= r.selected for r in total.values())
