@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.config import Settings, SolverConfig
+from lacuna.config import CLUSTER_CELLS, CellConfig, Settings, SolverConfig
+from lacuna.functions import scalar
 from lacuna.operators import dedupe, djoin, lattice, region, solve
 from lacuna.operators.graph import connected_components, cut
 
@@ -122,3 +123,42 @@ def pair_colours(pairs: DataFrame) -> DataFrame:
         left = cut(left.join(wins, "pair", "left_anti"))
         colour += 1
     return out if out is not None else pairs.select("pair", F.lit(0).alias("colour")).limit(0)
+
+
+def split_large(tier1: DataFrame, h: float, cells: CellConfig = CLUSTER_CELLS, rounds: int = 8) -> DataFrame:
+    """problem, cluster, ix, iy: clusters above the threshold in Voronoi cells of about the target area, each a problem of its own."""
+    one = cut(tier1.select(F.col("problem").alias("cluster"), "ix", "iy").distinct())
+    area = one.groupBy("cluster").agg((F.count("*") * h * h).alias("area")).where(F.col("area") > cells.threshold)
+    counts = cut(area.select("cluster", scalar.cell_count("area", cells.target, cells.least, cells.most).alias("k")))
+    small = one.join(counts, "cluster", "left_anti").withColumn("cell", F.lit(0).cast("long"))
+    large = one.join(counts, "cluster", "left_semi")
+    apart = region.split_by_centres(large, region.centres_of(large, "cluster", counts, rounds), ["cluster"])
+    both = small.select("cluster", "ix", "iy", "cell").unionByName(apart.select("cluster", "ix", "iy", F.col("cell").cast("long").alias("cell")))
+    return both.select(F.xxhash64("cluster", "cell").alias("problem"), "cluster", "ix", "iy")
+
+
+def seams(cells: DataFrame, reach: float, h: float) -> DataFrame:
+    """pair, a, b, ix, iy: where two problems of one cluster, each grown by reach, meet inside the cluster."""
+    grown = region.dilate(cells.select("cluster", "problem", "ix", "iy"), reach, h, ["cluster", "problem"])
+    inside = cut(grown.join(cells.select("cluster", "ix", "iy"), ["cluster", "ix", "iy"], "left_semi"))
+    a, b = (inside.select("cluster", "ix", "iy", F.col("problem").alias(n)) for n in "ab")
+    return a.join(b, ["cluster", "ix", "iy"]).where("a < b").select(F.xxhash64("a", "b").alias("pair"), "a", "b", "ix", "iy")
+
+
+def third_pass(sites: DataFrame, tests: DataFrame, cells: DataFrame, r_max: float, h: float, settings: Settings = Settings()) -> dict[str, DataFrame]:
+    """Consolidation over the seams of split clusters (L6, L7). sites: seq, x, y, is_centreline; cells: problem, cluster, ix, iy.
+
+    Pairs of one colour have no problem in common and are solved together; each colour sees what the ones
+    before it removed and added. Returns sites, removed and added; what is added and later removed is in neither.
+    """
+    strips = cut(seams(cells, r_max, h))
+    colours = cut(pair_colours(strips.select("pair", "a", "b").distinct()))
+    last = colours.agg(F.max("colour")).first()[0]
+    first = cut(sites.select(F.col("seq").cast("long").alias("seq"), "x", "y", "is_centreline"))
+    now = first
+    for colour in range(0 if last is None else last + 1):
+        own = strips.join(colours.where(F.col("colour") == colour), "pair").select(F.col("pair").alias("problem"), "ix", "iy")
+        out = consolidate(now, tests, own, tiers(own, (settings.tiers.tier2 - settings.tiers.tier1) * r_max, h, ["problem"]), r_max, h, settings, "Third Pass")
+        new = out["added"].select(F.xxhash64("x", "y").alias("seq"), "x", "y", F.lit(False).alias("is_centreline")).dropDuplicates(["seq"])
+        now = cut(now.join(out["removed"].select("seq"), "seq", "left_anti").unionByName(new))
+    return {"sites": now, "removed": first.join(now.select("seq"), "seq", "left_anti"), "added": now.join(first.select("seq"), "seq", "left_anti")}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from lacuna.config import CellConfig, LatticeConfig, Settings, with_zone_settings
 from lacuna.functions import scalar
 from lacuna.operators import consolidate, coverage, dedupe, djoin, lattice, region, solve
-from lacuna.operators.graph import connected_components
+from lacuna.operators.graph import connected_components, cut
 from lacuna.plans import inputs as src
 from lacuna.sources import sinks
 from lacuna.streaming import edits as what_if
@@ -456,20 +456,36 @@ def _missed(t, placed):
     return t.join(hit, ["problem", "test"], "left").groupBy("problem").agg(F.count("*").alias("tests"), F.count_if(F.col("hit").isNull()).alias("missed"))
 
 
+def _clusters(spark, sf):
+    """Tier 1 of each cluster of zone overlaps, large clusters in cells: problem, cluster, ix, iy."""
+    p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
+    one = p.join(consolidate.group_pairs(p), "pair").select(F.col("cluster").alias("problem"), "ix", "iy").distinct()
+    return consolidate.split_large(region.intersection(one, src.cells(spark, sf, H).select("ix", "iy").distinct()), H)
+
+
+def _site_rows(spark, sf):
+    return src.sites(spark, sf).select(F.col("id").alias("seq"), "x", "y", F.expr("id % 4 = 0").alias("is_centreline"))
+
+
+def _test_rows(spark, sf):
+    return src.tests(spark, sf, Settings().lattice.test_factor).select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
+
+
 @query()
 def consolidation(spark, sf):
-    """Second pass over the overlaps of the clouds of all zones."""
-    settings = Settings()
-    p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
-    clusters = consolidate.group_pairs(p)
-    one = p.join(clusters, "pair").select(F.col("cluster").alias("problem"), "ix", "iy").distinct()
-    s = src.sites(spark, sf).select(F.col("id").alias("seq"), "x", "y", F.expr("id % 4 = 0").alias("is_centreline"))
-    t = src.tests(spark, sf, settings.lattice.test_factor).select(F.xxhash64("zone", "row", "k").alias("test"), "x", "y", "required_radius")
-    tier1 = region.intersection(one, src.cells(spark, sf, H).select("ix", "iy").distinct())
-    out = consolidate.consolidate(s, t, tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H, settings)
+    """Second pass over the overlaps of the clouds of all zones, large clusters in cells."""
+    tier1 = cut(_clusters(spark, sf).select("problem", "ix", "iy"))
+    out = consolidate.consolidate(_site_rows(spark, sf), _test_rows(spark, sf), tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H)
     return out["removed"].select(F.lit("removed").alias("kind"), "problem", "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "problem", "x", "y"))
 
 
+@query()
+def third_pass(spark, sf):
+    """The pass over the seams between the cells of split clusters."""
+    out = consolidate.third_pass(_site_rows(spark, sf), _test_rows(spark, sf), cut(_clusters(spark, sf)), MAX_R, H)
+    return out["removed"].select(F.lit("removed").alias("kind"), "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "x", "y"))
+
+
 @query()
 def greedy_disk_cover(spark, sf):
     gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})

@@ -261,3 +261,19 @@ def test_parts_share_no_candidate_and_no_conflict(spark):
             assert named[a[0], a[1]] == named[b[0], b[1]]
     total = {r.problem: r for r in solve.totals(solve.place_sites(t, c, 10.0)).collect()}
     assert [total[p].tests for p in (1, 2)] == [40, 40] and all(r.covered == r.coverable == 40 and r.parts > 5 and r.lower_bound <= r.selected for r in total.values())
+
+
+def test_third_pass_over_seams_keeps_coverage(spark):
+    h, r = 10.0, 30.0
+    tier1 = spark.createDataFrame([(p, x + 500 * p, y) for p in (1, 2) for x in range(40 if p == 1 else 8) for y in range(10)], "problem long, ix long, iy long")
+    cells = consolidate.split_large(tier1, h, CellConfig(target=10_000.0, threshold=20_000.0)).cache()
+    n = {r.cluster: r for r in cells.groupBy("cluster").agg(F.countDistinct("problem").alias("problems"), F.count("*").alias("cells")).collect()}
+    assert n[1].problems == 4 and n[1].cells == 400 and n[2].problems == 1 and n[2].cells == 80
+    tests = spark.createDataFrame([(i * 10 + j, 5005.0 + 10 * i, 5.0 + 10 * j, r) for i in range(40) for j in range(10)], "test long, x double, y double, required_radius double")
+    s = spark.createDataFrame([(i * 4 + j, 5012.0 + 20 * i, 12.0 + 25 * j, False) for i in range(20) for j in range(4)], "seq long, x double, y double, is_centreline boolean")
+    out = consolidate.third_pass(s, tests, cells, r, h, Settings(solver=SolverConfig(conflict_mode="none")))
+    final = [(p.x, p.y) for p in out["sites"].collect()]
+    assert len(final) == 80 - out["removed"].count() + out["added"].count() < 80
+    assert all(any((t.x - x) ** 2 + (t.y - y) ** 2 <= r * r for x, y in final) for t in tests.collect())
+    whole = consolidate.third_pass(s, tests, cells.where("cluster = 2"), r, h)
+    assert whole["removed"].count() == 0 and whole["added"].count() == 0
