@@ -479,13 +479,6 @@ def consolidation(spark, sf):
     return out["removed"].select(F.lit("removed").alias("kind"), "problem", "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "problem", "x", "y"))
 
 
-@query()
-def third_pass(spark, sf):
-    """The pass over the seams between the cells of split clusters."""
-    out = consolidate.third_pass(_site_rows(spark, sf), _test_rows(spark, sf), cut(_clusters(spark, sf)), MAX_R, H)
-    return out["removed"].select(F.lit("removed").alias("kind"), "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "x", "y"))
-
-
 @query()
 def greedy_disk_cover(spark, sf):
     gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})
