@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lacuna.llm import bpe, chat, embed_dedup, lang_id, license_scan, minhash, packing, pii, quality, toxicity
+from lacuna.llm import align, bpe, chat, collocations, embed_dedup, lang_id, license_scan, minhash, packing, pii, quality, suffix_dedup, toxicity
 from lacuna.llm._text import documents
 
 
@@ -50,5 +50,17 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(documents(spark, sf_dir, "doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash, op3_license_scan, op4_chat_formatting, op5_embedding_dedup, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op9_pii_surrogates, op10_byte_bpe)}
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align.align(documents(spark, sf_dir, "doc_id", "text"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir, "text", "lang"))
+
+
+QUERIES = {f.__name__: f for f in (op1_language_id, op2_minhash, op3_license_scan, op4_chat_formatting, op5_embedding_dedup, op6_toxicity, op7_quality_rules, op8_best_fit_packing, op9_pii_surrogates, op10_byte_bpe, op11_suffix_dedup, op12_token_alignment, op13_collocations)}
 ORACLES = {"op2_minhash": minhash.ORACLE, "op4_chat_formatting": chat.ORACLE, "op5_embedding_dedup": embed_dedup.ORACLE, "op7_quality_rules": quality.ORACLE}
