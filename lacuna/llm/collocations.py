@@ -27,7 +27,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.llm._packed import ROW_DDL, answered, by_bucket, groups, pack, rows, scattered, unpack
@@ -110,7 +110,7 @@ def _words(buckets: int):
                     rank = np.empty(len(order), np.int64)
                     rank[order] = np.arange(len(order))
                     total, all_ = np.concatenate(count)[order], np.concatenate(series)
-                    out.append((number, STATE, scattered(number, buckets), pack((rank[all_ >> 1] << 1 | all_ & 1).astype(np.uint32)), None, None, None))
+                    out.append((number, STATE, scattered(number, buckets), pack((by_count(total)[1][rank[all_ >> 1]] << 1 | all_ & 1).astype(np.uint32), 3), pack(total.astype(np.uint32)), None, None))
                     for k, s in by_bucket(bucket[order]):
                         own = [vocab[j] for j in order[s].tolist()]
                         out.append((number, ASK, k, pack(np.array([len(x) for x in own], np.uint32)), pack(np.frombuffer(b"".join(own), np.uint8)), pack(total[s].astype(np.uint32)), None))
@@ -121,6 +121,14 @@ def _words(buckets: int):
     return run
 
 
+def by_count(total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Entries by falling count, and the place of each in that order: small numbers for what is common pack better."""
+    order = np.argsort(-total.astype(np.int64), kind="stable")
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    return order, place
+
+
 def hash_of(word: bytes) -> int:
     import xxhash
 
@@ -135,6 +143,11 @@ def _split(body: bytes, size: np.ndarray) -> list[bytes]:
     return out
 
 
+def own_block(bucket: int) -> int:
+    """A block for a bucket's results, so that they go on evenly; texts' blocks are not negative."""
+    return -1 - bucket
+
+
 def _number_words(least: int, buckets: int):
     def answer(held: list[tuple]) -> list[tuple]:
         size = [unpack(r[3], np.uint32) for r in held]
@@ -142,8 +155,8 @@ def _number_words(least: int, buckets: int):
         code = words.indices.to_numpy(zero_copy_only=False)
         total = np.zeros(len(words.dictionary), np.int64)
         np.add.at(total, code, np.concatenate([unpack(r[5], np.uint32) for r in held]))
-        often = np.flatnonzero(total >= least)
-        # the buckets' numbers interleave, from 1 on
+        often = by_count(total)[0][: np.count_nonzero(total >= least)]
+        # the buckets' numbers interleave, from 1 on, the most frequent first
         number = np.zeros(len(total), np.int64)
         number[often] = np.arange(len(often)) * buckets + held[0][2] + 1
         if len(often) and number[often[-1]] >= 1 << 32:
@@ -151,7 +164,9 @@ def _number_words(least: int, buckets: int):
         edges = np.cumsum([0, *(len(s) for s in size)])
         out = [(r[0], ASK, r[2], pack(number[code[a:b]].astype(np.uint32)), None, None, None) for r, a, b in zip(held, edges[:-1], edges[1:], strict=True)]
         names = words.dictionary.take(pa.array(often)).to_pylist()
-        return out + [(held[0][0], WORD, held[0][2], w, str(i).encode(), str(n).encode(), None) for w, i, n in zip(names, number[often].tolist(), total[often].tolist(), strict=True)]
+        if names:
+            out.append((own_block(held[0][2]), WORD, held[0][2], pack(np.array([len(w) for w in names], np.uint32)), pack(np.frombuffer(b"".join(names), np.uint8)), pack(number[often]), pack(total[often])))
+        return out
 
     return answer
 
@@ -168,6 +183,30 @@ def _key(row: tuple) -> np.ndarray:
     return np.ascontiguousarray(unpack(row[3], np.uint32).reshape(int(unpack(row[4], np.uint8)[0]), -1).T)
 
 
+def _kept(word: np.ndarray, broken: np.ndarray) -> np.ndarray:
+    """The words with a frequent neighbour in their piece, in order, with one 0 between stretches that don't touch."""
+    joined = np.zeros(len(word) + 1, bool)  # to the word before
+    joined[1:-1] = (word[1:] > 0) & (word[:-1] > 0) & ~broken[1:]
+    at = np.flatnonzero(joined[:-1] | joined[1:])
+    first = ~joined[at]
+    out = np.zeros(len(at) + int(first.sum()), np.uint32)
+    out[np.arange(len(at)) + np.cumsum(first)] = word[at]
+    return out
+
+
+def _neighbours(word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of neighbours of kept words, and where their first ones are."""
+    at = np.flatnonzero((word[:-1] > 0) & (word[1:] > 0))
+    return np.column_stack([word[at], word[at + 1]]), at
+
+
+def _to_ranges(key: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by range, and the ranges in that order."""
+    bucket = ranged(key, buckets)
+    order = np.argsort(bucket, kind="stable")
+    return order, bucket[order]
+
+
 def _pairs(buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for number, held in groups(batches, "block"):
@@ -179,15 +218,11 @@ def _pairs(buckets: int):
                 continue
             ids = np.concatenate([unpack(r[3], np.uint32) for r in held if r[1] == ASK])
             series = unpack(state[0][3], np.uint32)
-            word, broken = ids[series >> 1], (series & 1).astype(bool)
-            at = np.flatnonzero((word[:-1] > 0) & (word[1:] > 0) & ~broken[1:])
-            key, count, place = run_lengths(np.column_stack([word[at], word[at + 1]]))
-            bucket = ranged(key, buckets)
-            order = np.argsort(bucket, kind="stable")
-            rank = np.empty(len(order), np.int64)
-            rank[order] = np.arange(len(order))
-            # of the words only those at a possible pair go on: word and number of its pair's entry, in order, and whether the next pair follows
-            yield rows([(number, STATE, scattered(number, buckets), pack(word[at]), pack(word[at + 1]), pack(rank[place].astype(np.uint32)), pack((np.diff(at, append=-1) == 1).astype(np.uint8))), *_asked(number, key[order], count[order], bucket[order])])
+            word = ids[by_count(unpack(state[0][4], np.uint32))[0]][series >> 1]
+            word = _kept(word, (series & 1).astype(bool))
+            key, count, _ = run_lengths(_neighbours(word)[0])
+            order, bucket = _to_ranges(key, buckets)
+            yield rows([(number, STATE, scattered(number, buckets), pack(word, 3), None, None, None), *_asked(number, key[order], count[order], bucket)])
 
     return run
 
@@ -200,7 +235,7 @@ def _count_keys(least: int):
         key, total, place = run_lengths(np.concatenate(keys), np.concatenate([unpack(r[5], np.uint32) for r in held]))
         often = total >= least
         found = key[often]
-        out = [(held[0][0], PHRASE, held[0][2], pack(np.ascontiguousarray(found.T).ravel()), pack(np.array([key.shape[1]], np.uint8)), pack(total[often]), None)] if len(found) else []
+        out = [(own_block(held[0][2]), PHRASE, held[0][2], pack(np.ascontiguousarray(found.T).ravel()), pack(np.array([key.shape[1]], np.uint8)), pack(total[often]), None)] if len(found) else []
         if key.shape[1] == 2:
             edges = np.cumsum([0, *(len(k) for k in keys)])
             flag = often[place].astype(np.uint8)
@@ -219,31 +254,38 @@ def _longer(buckets: int):
             state = [r for r in held if r[1] == STATE]
             if not state:
                 continue
-            often = np.concatenate([np.zeros(0, np.uint8), *(unpack(r[3], np.uint8) for r in held if r[1] == ASK)]).astype(bool)
-            first, second, entry, follows = unpack(state[0][3], np.uint32), unpack(state[0][4], np.uint32), unpack(state[0][5], np.uint32), unpack(state[0][6], np.uint8).astype(bool)
-            fine = often[entry] if len(entry) else np.zeros(0, bool)
-            keys, reach = [], fine.copy()
+            word = unpack(state[0][3], np.uint32)
+            pair, at = _neighbours(word)
+            key, _, place = run_lengths(pair)
+            answer = np.concatenate([np.zeros(0, np.uint8), *(unpack(r[3], np.uint8) for r in held if r[1] == ASK)])
+            often = np.zeros(len(key), bool)
+            often[_to_ranges(key, buckets)[0]] = answer > 0
+            fine = np.zeros(len(word), bool)  # a frequent pair begins here
+            fine[at] = often[place]
+            keys, reach = [], fine
             for n in range(3, MOST + 1):
-                # n words from a pair on: n - 1 frequent pairs, each followed by the next
-                more = np.zeros(len(reach), bool)
-                more[: -(n - 2)] = reach[: -(n - 2)] & fine[n - 2 :] & follows[n - 3 : len(reach) - 1] if len(reach) > n - 2 else False
-                reach = more
-                at = np.flatnonzero(reach)
-                key = np.zeros((len(at), MOST), np.uint32)
-                key[:, 0] = first[at]
-                for j in range(n - 1):
-                    key[:, j + 1] = second[at + j]
-                keys.append(key)
+                # n words begin where n - 1 frequent pairs follow each other
+                reach = reach[:-1] & fine[n - 2 :] if len(reach) else reach
+                begin = np.flatnonzero(reach)
+                more = np.zeros((len(begin), MOST), np.uint32)
+                for j in range(n):
+                    more[:, j] = word[begin + j]
+                keys.append(more)
             key = np.concatenate(keys)
             if len(key):
                 key, count, _ = run_lengths(key)
-                bucket = ranged(key, buckets)
-                order = np.argsort(bucket, kind="stable")
-                yield rows(_asked(number, key[order], count[order], bucket[order]))
+                order, bucket = _to_ranges(key, buckets)
+                yield rows(_asked(number, key[order], count[order], bucket))
 
     return run
 
 
+def score() -> Column:
+    """floor(1000 * a * n / (l * r)) exactly, of counts below 10 ** 16 and totals below 10 ** 17."""
+    whole = lambda c, digits: f"cast({c} as decimal({digits},0))"
+    return F.expr(f"({whole(1000, 4)} * {whole('a', 16)} * {whole('n', 17)}) div ({whole('l', 18)} * {whole('r', 18)})")
+
+
 COUNTED_DDL = "kind int, name binary, ids array<long>, n long"
 
 
@@ -251,9 +293,10 @@ def _listed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Words, phrases and totals as rows of columns."""
     for batch in batches:
         for row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-            kind, _, a, b, c = row[1:6]
+            kind, _, a, b, c, d = row[1:]
             if kind == WORD:
-                some = ([a], [[int(b)]], [int(c)])
+                names = _split(unpack(b, np.uint8).tobytes(), unpack(a, np.uint32))
+                some = (names, [[i] for i in unpack(c, np.int64).tolist()], unpack(d, np.int64).tolist())
             elif kind == TOTAL:
                 some = ([a], [[]], [int(b)])
             elif kind == PHRASE:
@@ -291,8 +334,7 @@ def collocations(docs: DataFrame, least: int = LEAST, best: int = BEST, lang_col
     cuts = cuts.withColumns({"left": F.expr("slice(ids, 1, k)"), "right": F.expr("slice(ids, k + 1, size(ids) - k)")})
     cuts = cuts.join(every.select(F.col("ids").alias("left"), F.col("n").alias("l")), "left").join(every.select(F.col("ids").alias("right"), F.col("n").alias("r")), "right")
     named = cuts.withColumn("id", F.col("ids")[0]).join(word.select("id", "lang"), "id").join(total.withColumnRenamed("total", "n"), "lang")
-    score = F.expr("(cast(a as decimal(19,0)) * cast(n as decimal(18,0)) * 1000) div (cast(l as decimal(19,0)) * cast(r as decimal(18,0)))")
-    weakest = named.withColumn("score", score).groupBy("lang", "ids", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
+    weakest = named.withColumn("score", score()).groupBy("lang", "ids", "a", "n").agg(F.min(F.struct("score", "k", "l", "r")).alias("m"))
     # a phrase goes where a longer one that holds it is as frequent
     inner = phrase.where("size(ids) > 2").select("n", F.explode(F.expr("flatten(transform(sequence(2, size(ids) - 1), w -> transform(sequence(1, size(ids) - w + 1), i -> slice(ids, i, w))))")).alias("ids"))
     held = inner.groupBy("ids").agg(F.max("n").alias("longer"))
