@@ -30,6 +30,7 @@ import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from lacuna.llm._packed import scattered
 from lacuna.llm._text import blocks, flat, id_values, ragged
 
 BLOCK = 10 << 20
@@ -149,7 +150,7 @@ def _explode(buckets: int):
                 bucket = np.fromiter((xxhash.xxh64_intdigest(w) % buckets for w in vocab), np.int64, len(vocab))
                 per_doc = np.diff(np.searchsorted(start, off))
                 ids, null = id_values(part.column(0))
-                rows = [(block, 1, block % buckets, ids.tobytes() + (null.tobytes() if null.any() else b""), _planes(per_doc), _planes(bucket), _planes(np.where(later, code + 1, 0)))]
+                rows = [(block, 1, scattered(block, buckets), ids.tobytes() + (null.tobytes() if null.any() else b""), _planes(per_doc), _planes(bucket), _planes(np.where(later, code + 1, 0)))]
                 by = np.argsort(bucket, kind="stable")
                 for own in np.split(by, np.flatnonzero(np.diff(bucket[by])) + 1) if len(by) else []:
                     mine = [vocab[i] for i in own]

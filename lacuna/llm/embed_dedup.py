@@ -43,7 +43,7 @@ BLOCKS, CHUNK, SPAN, MIN_COSINE = 4, 4096, 3, 0.93
 #: Slices of a crowded cell along its third axis; beyond that, members are dealt by hash.
 SLICES = 32
 #: Rows of a matrix of pairs.
-TILE = 256
+TILE, WIDE = 256, 1024
 #: The 16-bit value of a coordinate 1.
 UNIT = 32767
 #: Allowance for the rounding of rotated coordinates before they are stored, in units of 16 bits.
@@ -161,30 +161,50 @@ def _forest(i: np.ndarray, j: np.ndarray, n: int) -> np.ndarray:
         label = low
 
 
-def _pairs(y: np.ndarray, first: np.ndarray, other: np.ndarray, ordered: bool, block: int, radius: list[float], far: float):
-    """Index pairs of first x other that this block is the first to meet: the surely linked and those too close to tell."""
+def _pairs(y: np.ndarray, w: np.ndarray, first: np.ndarray, other: np.ndarray, ordered: bool, block: int, radius: list[float], far: float):
+    """Of the pairs first x other that this block is the first to meet: each row's sum of links, a forest of the surely linked, and the pairs too close to tell.
+
+    Squared block distances come from matrix products, exact as coordinates are integers, for a tile of
+    TILE x WIDE pairs at a time; of a tile's links only sums and a forest are kept.
+    """
     dim = y.shape[1]
-    edge, sure, close = _edges(dim, len(radius)), [], []
-    z = y.astype(np.float64)
-    part = z[:, edge[block] : edge[block + 1]]
-    square = np.einsum("ij,ij->i", part, part)
+    edge, links = _edges(dim, len(radius)), np.zeros(len(y))
+    trees, close = [], []
+    rounding = sqrt(dim) + SLACK
+    parts = [slice(edge[b], edge[b + 1]) for b in range(len(radius))]
     for a in range(0, len(first), TILE):
         f = first[a : a + TILE]
-        i, j = np.nonzero(square[f][:, None] + square[other][None] - 2 * part[f] @ part[other].T <= radius[block] ** 2)
-        i, j = f[i], other[j]
-        if ordered:  # each pair of one set once
-            i, j = i[i < j], j[i < j]
-        d = (z[i] - z[j]) ** 2
-        by = np.add.reduceat(d, edge[:-1], axis=1) if len(i) else np.zeros((0, len(radius)))
-        mine = ~(by[:, :block] <= np.array(radius[:block]) ** 2).any(axis=1)
-        i, j, gap = i[mine], j[mine], np.sqrt(by[mine].sum(axis=1))
-        rounding = sqrt(dim) + SLACK
-        linked = gap + rounding <= far
-        maybe = ~linked & (gap - rounding <= far)
-        sure.append((i[linked], j[linked]))
-        close.append((i[maybe], j[maybe]))
+        left = y[f].astype(np.float64)
+        for c in range(0, len(other), WIDE):
+            o = other[c : c + WIDE]
+            right = y[o].astype(np.float64)
+            gap = lambda p: np.einsum("ij,ij->i", left[:, p], left[:, p])[:, None] + np.einsum("ij,ij->i", right[:, p], right[:, p]) - 2 * left[:, p] @ right[:, p].T  # noqa: B023, E731
+            total = gap(parts[block])
+            mine = total <= radius[block] ** 2
+            if ordered:  # each pair of one set once
+                mine &= f[:, None] < o
+            if not mine.any():
+                continue
+            for b, p in enumerate(parts):
+                if b != block:
+                    by = gap(p)
+                    if b < block:
+                        mine &= by > radius[b] ** 2
+                    total += by
+            total = np.sqrt(total)
+            sure = mine & (total + rounding <= far)
+            i, j = np.nonzero(mine & ~sure & (total - rounding <= far))
+            close.append((f[i], o[j]))
+            i, j = np.nonzero(sure)
+            if len(i):
+                links[f] += sure @ w[o].astype(np.float64)
+                links[o] += w[f].astype(np.float64) @ sure
+                rows = np.concatenate([f, o])
+                root = _forest(i, j + len(f), len(rows))
+                hit = np.unique(np.concatenate([i, j + len(f)]))
+                trees.append((rows[hit], rows[root[hit]]))
     join = lambda found: tuple(np.concatenate([p[k] for p in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
-    return join(sure), join(close)
+    return links, join(trees), join(close)
 
 
 FOUND = "rep long, cid long, other long, other_cid long, links long, sure boolean"
@@ -205,12 +225,12 @@ def _join(plan, min_cosine: float):
             meets = [(np.flatnonzero(home), np.flatnonzero(home), True), (np.flatnonzero(home), np.flatnonzero(~home), False)]
         else:
             meets = [(np.flatnonzero(home & (side == 0)), np.flatnonzero(side == 1), False), (np.flatnonzero(~home & (side == 0)), np.flatnonzero(home & (side == 1)), False)]
-        found = [_pairs(y, f, o, ordered, block, radius, far) for f, o, ordered in meets if len(f) and len(o)]
-        i, j, p, q = (np.concatenate([x[k][e] for x in found]) if found else np.zeros(0, np.int64) for k, e in ((0, 0), (0, 1), (1, 0), (1, 1)))
-        links = np.bincount(i, w[j], len(rep)) + np.bincount(j, w[i], len(rep))
+        found = [_pairs(y, w, f, o, ordered, block, radius, far) for f, o, ordered in meets if len(f) and len(o)]
+        i, j, p, q = (np.concatenate([x[k][e] for x in found]) if found else np.zeros(0, np.int64) for k, e in ((1, 0), (1, 1), (2, 0), (2, 1)))
+        links = sum((x[0] for x in found), np.zeros(len(rep))).astype(np.int64)
         root, hit = _forest(i, j, len(rep)), np.flatnonzero(links)
         cols = [np.concatenate([x[hit], x[p]]) for x in (rep, cid)] + [np.concatenate([x[root[hit]], x[q]]) for x in (rep, cid)]
-        cols += [np.concatenate([links[hit].astype(np.int64), np.zeros(len(p), np.int64)]), np.arange(len(hit) + len(p)) < len(hit)]
+        cols += [np.concatenate([links[hit], np.zeros(len(p), np.int64)]), np.arange(len(hit) + len(p)) < len(hit)]
         return pa.table([pa.array(c) for c in cols], names=[x.split()[0] for x in FOUND.split(", ")])
 
     return run

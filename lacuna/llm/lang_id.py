@@ -19,12 +19,12 @@ not learnt from. Repeated rows are predicted alike; extra columns are ignored. E
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,7 +34,7 @@ from lacuna.llm._text import LOWER, blocks, flat, ragged
 MAX_LANGS, MAX_DOCS, DOC_WINDOWS, MAX_WINDOWS = 1000, 250, 8, 800
 WINDOW, WIDTHS, FILTERS, EPOCHS, BATCH = 160, (2, 4, 6), 12, 6, 64
 CHUNK = 512
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 @dataclass

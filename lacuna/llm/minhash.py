@@ -350,15 +350,22 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     Rows without an id stay.
     """
     found = components(docs, id_col, text_col)
-    drop = found.where("NOT kept").select(F.col("doc_id").alias("_dropped_id")).distinct()
-    out = docs.join(drop, docs[id_col].cast("long") == drop["_dropped_id"], "left_anti")
+    gone, again, nth = _unused(docs, 3)
+    drop = found.where("NOT kept").select(F.col("doc_id").alias(gone)).distinct()
+    out = docs.join(drop, docs[id_col].cast("long") == drop[gone], "left_anti")
     if not _several(found):
         return out
-    several = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias("_several_id"))
-    again = docs[id_col].cast("long") == several["_several_id"]
-    first = Window.partitionBy("_several_id").orderBy(docs[text_col])
-    picked = out.join(several, again).withColumn("_nth", F.row_number().over(first)).where("_nth = 1").drop("_nth", "_several_id")
-    return out.join(several, again, "left_anti").unionByName(picked)
+    several = found.where("kept AND doc_id IS NOT NULL").groupBy("doc_id").agg(F.count("*").alias("m")).where("m > 1").select(F.col("doc_id").alias(again))
+    same = docs[id_col].cast("long") == several[again]
+    first = Window.partitionBy(again).orderBy(docs[text_col])
+    picked = out.join(several, same).withColumn(nth, F.row_number().over(first)).where(F.col(nth) == 1).drop(nth, again)
+    return out.join(several, same, "left_anti").unionByName(picked)
+
+
+def _unused(df: DataFrame, n: int) -> list[str]:
+    """Names that no column of df has, in any case of letters."""
+    lead = "_" * (1 + max((len(c) for c in df.columns), default=0))
+    return [f"{lead}{i}" for i in range(n)]
 
 
 ORACLE = r"""

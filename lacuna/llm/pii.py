@@ -246,7 +246,7 @@ class Surrogates:
     def _make(self, kind: str, value: str) -> str:
         return {
             "email": self.email, "ip": self.ip, "phone": self.phone, "card": self.card, "iban": self.iban, "secret": self.secret,
-            "ssn": lambda v: self.number("ssn", v), "name": lambda v: " ".join(map(self.part, v.split(" "))),
+            "ssn": lambda v: self.number("ssn", v), "name": lambda v: "".join(t if i % 2 else self.part(t) for i, t in enumerate(_BETWEEN.split(v))),
             "access_key": lambda v: self.token(v, 4), "token": lambda v: self.token(v, _head(v)),
         }[kind](value)
 
@@ -283,7 +283,26 @@ DETECTORS: list[tuple[str, str, re.Pattern, Callable[[str], bool]]] = [
 ]
 _DIGIT = re.compile(r"\d[\d .()-]*\d[\d .()-]*\d")
 _NEEDS_DIGITS = {"iban", "card", "ip", "ssn", "phone"}
-_WORD = re.compile(r"[^\W\d_][\w'’-]*[^\W\d_]")
+_BETWEEN = re.compile(r"([ -])")
+_WORD = re.compile(r"[^\W\d_][\w'’]*[^\W\d_]")
+_POSSESSIVE = re.compile(r"['’][sS](?=[ -]|$)")
+_PAIR = re.compile(rf"(?<!\w)(?=({_CAPITAL}) ({_CAPITAL}))")
+
+
+def _bare(value: str) -> str:
+    """A name up to its possessive ending."""
+    m = _POSSESSIVE.search(value)
+    return value[: m.start()] if m else value
+
+
+def _mailed(text: str, mails: list[str]) -> set[str]:
+    """Parts of the names of two capitalised words that a mail address of the text is made of."""
+    owners = [o for o in ({t for t in re.split(r"[\W\d_]+", m.rpartition("@")[0].lower()) if len(t) > 1} for m in mails) if len(o) > 1]
+    tokens = set().union(*owners)
+    if not tokens:
+        return set()
+    pairs = ({_bare(p) for p in m.groups()} for m in _PAIR.finditer(text) if _bare(m[1]).lower() in tokens)
+    return {p for pair in pairs if len(pair) == 2 and any({x.lower() for x in pair} <= o for o in owners) for p in pair}
 
 
 def detect(text: str) -> list[tuple[int, int, str]]:
@@ -306,13 +325,19 @@ def detect(text: str) -> list[tuple[int, int, str]]:
             if pattern.groups and kind == "secret":
                 value = value.rstrip(".)!?")
                 b = a + len(value)
+            if kind == "name":
+                value = _bare(value)
+                b = a + len(value)
             if value and test(value):
                 take(a, b, kind)
-    parts = {p for a, b, kind in out if kind == "name" for p in text[a:b].split(" ") if len(p) > 2}
+    parts = {p for a, b, kind in out if kind == "name" for p in re.split(r"[ -]", text[a:b]) if len(p) > 1}
+    parts |= _mailed(text, [text[a:b] for a, b, kind in out if kind == "email"])
     if parts:  # every other mention
+        capitals = {p.upper() for p in parts if len(p) > 2}
         for m in _WORD.finditer(text):
-            if m[0] in parts:
-                take(*m.span(), "name")
+            word = _bare(m[0])
+            if word in parts or word in capitals:
+                take(m.start(), m.start() + len(word), "name")
     return sorted(out)
 
 
