@@ -31,13 +31,12 @@ class SolverConfig:
     exclusion_factor: float | None = 0.9
     conflict_mode: str = "pairwise"  # or clique, none
     max_conflict_pairs: int | None = None  # given, a result that met it says so in its status
-    max_cliques: int = 50_000
     local_search_rounds: int = 200
     exact_steps: int = 20_000
+    dual_steps: int = 400
     min_gap_m2: float = 100.0
     min_gain_m2: float = 10_000.0
     min_gain_pct: float = 8.0
-    max_iterations: int = 10_000
 
     def __post_init__(self):
         if self.mode not in ("cover", "greedy"):
@@ -49,11 +48,11 @@ class SolverConfig:
 
     @classmethod
     def fast(cls) -> SolverConfig:
-        return cls(mode="greedy", local_search_rounds=0, exact_steps=0)
+        return cls(mode="greedy", local_search_rounds=0, exact_steps=0, dual_steps=0)
 
     @classmethod
     def precise(cls) -> SolverConfig:
-        return cls(local_search_rounds=2000, exact_steps=2_000_000)
+        return cls(local_search_rounds=2000, exact_steps=2_000_000, dual_steps=2000)
 
     @classmethod
     def from_dict(cls, given: Mapping[str, Any]) -> SolverConfig:

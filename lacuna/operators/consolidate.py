@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lacuna.config import CLUSTER_CELLS, CellConfig, Settings, SolverConfig
+from lacuna.config import CLUSTER_CELLS, CellConfig, Settings
 from lacuna.functions import scalar
 from lacuna.operators import dedupe, djoin, lattice, region, solve
 from lacuna.operators.graph import connected_components, cut
@@ -58,7 +58,7 @@ def ring_tests(tier1: DataFrame, tier2: DataFrame, zones: DataFrame, r_max: floa
     return lattice.cell_lattice(ring, h, F.lit(spacing), keys).withColumns({"required_radius": F.lit(float(r_max)), "zone": F.lit("tier2_ring")})
 
 
-def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: DataFrame, r_max: float, h: float, settings: Settings = Settings(), source_pass: str = "Second Pass") -> dict[str, DataFrame]:
+def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: DataFrame, r_max: float, h: float, settings: Settings = Settings(), source_pass: str = "Second Pass", split: bool = True) -> dict[str, DataFrame]:
     """One pass over all clusters at once.
 
     sites: seq, x, y, is_centreline; tests: test, x, y, required_radius; tier1 and tier2: problem, ix, iy.
@@ -77,9 +77,8 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     both = own.unionByName(grid).withColumn("cand", F.xxhash64("problem", "x", "y")).dropDuplicates(["problem", "cand"])
     near = djoin.distance_join(both.where("seq IS NULL").select("problem", "cand", "x", "y"), own.select(F.col("problem").alias("owner"), "x", "y"), 1.0).where("problem = r_owner").select("problem", "cand").distinct()
     both = cut(both.join(near, ["problem", "cand"], "left_anti"))
-    config = SolverConfig(**{**settings.solver.__dict__, "local_search_rounds": min(50, settings.solver.local_search_rounds)})
-    factor = config.exclusion_factor or 0.0
-    solved = cut(solve.place_sites(open_, both.withColumn("exclusion", F.lit(factor * r_max)), r_max, config))
+    factor = settings.solver.exclusion_factor or 0.0
+    solved = cut(solve.place_sites(open_, both.withColumn("exclusion", F.lit(factor * r_max)), r_max, settings.solver, split=split))
     good = solved.groupBy("problem").agg(F.bool_and(F.col("status").isin("optimal", "feasible", "conflicts_capped", "nothing_to_cover")).alias("ok")).where("ok").select("problem")
     selected = solved.where("cand IS NOT NULL").join(good, "problem", "left_semi").select("problem", "cand", "x", "y")
     removed = own.join(good, "problem", "left_semi").join(both.select("problem", "cand", "seq").where("seq IS NOT NULL"), ["problem", "seq"]).join(selected.select("problem", "cand"), ["problem", "cand"], "left_anti")
@@ -90,9 +89,29 @@ def consolidate(sites: DataFrame, tests: DataFrame, tier1: DataFrame, tier2: Dat
     kept = selected.join(both.where("seq IS NOT NULL").select("problem", "cand", "seq"), ["problem", "cand"]).select("seq").distinct()
     removed = removed.join(kept, "seq", "left_anti")
     added = selected.join(both.where("seq IS NULL").select("problem", "cand"), ["problem", "cand"], "left_semi").withColumn("source_pass", F.lit(source_pass))
-    added = dedupe.not_readded(added, removed)
-    summary = solve.totals(solved)
-    return {"selected": selected, "removed": removed, "added": added, "summary": summary}
+    added = cut(dedupe.not_readded(added, removed))
+    removed = cut(removed.join(_missed(sites, tests, removed, added, r_max), "seq", "left_anti"))
+    return {"selected": selected, "removed": removed, "added": added, "candidates": both.select("problem", "cand", "x", "y"), "summary": solve.totals(solved)}
+
+
+def _missed(sites: DataFrame, tests: DataFrame, removed: DataFrame, added: DataFrame, r_max: float) -> DataFrame:
+    """seq of removed sites that a test needs which nothing else covers: one cluster has counted on what another has removed."""
+    near = cut(djoin.distance_join(tests.select("test", "x", "y", "required_radius"), removed.select("seq", "x", "y"), "required_radius", r_max).select("test", "x", "y", "required_radius", F.col("r_seq").alias("seq")))
+    final = sites.select("seq", "x", "y").join(removed.select("seq"), "seq", "left_anti").select("x", "y").unionByName(added.select("x", "y"))
+    return djoin.distance_join(near, final, "required_radius", r_max, "anti").select("seq").distinct()
+
+
+def passed(sites: DataFrame, out: dict[str, DataFrame]) -> DataFrame:
+    """seq, x, y and is_centreline of all sites after a pass; added ones have a hash of their place as seq."""
+    new = out["added"].select(F.xxhash64("x", "y").alias("seq"), "x", "y", F.lit(False).alias("is_centreline")).dropDuplicates(["seq"])
+    return sites.select(F.col("seq").cast("long").alias("seq"), "x", "y", "is_centreline").join(out["removed"].select("seq"), "seq", "left_anti").unionByName(new)
+
+
+def still_open(tests: DataFrame, tier1: DataFrame, final: DataFrame, candidates: DataFrame, r_max: float, h: float) -> DataFrame:
+    """problem and test of tier-1 tests that no site covers after a pass although a candidate of their problem could; none, if all is well."""
+    mine = region.contains(tests, tier1, h, ["problem"]).select("problem", "test", "x", "y", "required_radius")
+    left = djoin.distance_join(mine, final.select("x", "y"), "required_radius", r_max, "anti")
+    return djoin.distance_join(left, candidates.select(F.col("problem").alias("owner"), "x", "y"), "required_radius", r_max).where("problem = r_owner").select("problem", "test").distinct()
 
 
 def valid_removals(removed: DataFrame, tier1: DataFrame, h: float) -> DataFrame:
@@ -109,20 +128,26 @@ def tallies(original: DataFrame, final: DataFrame, removed: DataFrame, added: Da
 
 
 def pair_colours(pairs: DataFrame) -> DataFrame:
-    """pair and colour: pairs of one colour share no cell cluster and can be solved together.
+    """pair and colour: pairs of one colour share no problem and can be solved together.
 
-    pairs: pair (integer), a, b. Rounds of local minima: an uncoloured pair whose number is least among
-    the uncoloured pairs at both of its ends gets the round's colour.
+    pairs: pair (integer), a, b. In each round an uncoloured pair whose hash is the least at both of its ends
+    takes the least colour that neither end has yet: at most 2 D - 1 colours, where D pairs meet at an end, and a
+    number of rounds that grows with the logarithm of the pairs.
     """
-    left, out, colour = cut(pairs.select("pair", "a", "b")), None, 0
+    left, out = cut(pairs.select("pair", "a", "b", F.struct(F.xxhash64("pair"), F.col("pair")).alias("rank"))), None
     while not left.isEmpty():
-        ends = left.select("pair", F.explode(F.array("a", "b")).alias("end"))
-        least = ends.groupBy("end").agg(F.min("pair").alias("least"))
-        wins = cut(ends.join(least, "end").groupBy("pair").agg(F.bool_and(F.col("pair") == F.col("least")).alias("ok")).where("ok").select("pair", F.lit(colour).alias("colour")))
-        out = wins if out is None else out.unionByName(wins)
-        left = cut(left.join(wins, "pair", "left_anti"))
-        colour += 1
-    return out if out is not None else pairs.select("pair", F.lit(0).alias("colour")).limit(0)
+        ends = left.select("pair", "rank", F.explode(F.array("a", "b")).alias("end"))
+        least = ends.groupBy("end").agg(F.min("rank").alias("least"))
+        wins = ends.join(least, "end").groupBy("pair").agg(F.bool_and(F.col("rank") == F.col("least")).alias("ok"), F.collect_list("end").alias("ends")).where("ok")
+        if out is not None:
+            taken = out.select(F.explode("ends").alias("end"), "colour").groupBy("end").agg(F.collect_set("colour").alias("taken"))
+            wins = wins.select("pair", "ends", F.explode("ends").alias("end")).join(taken, "end", "left").groupBy("pair").agg(F.first("ends").alias("ends"), F.array_distinct(F.flatten(F.collect_list("taken"))).alias("taken"))
+        else:
+            wins = wins.withColumn("taken", F.array().cast("array<int>"))
+        wins = wins.select("pair", "ends", F.array_min(F.array_except(F.sequence(F.lit(0), F.size("taken")), "taken")).alias("colour"))
+        out = cut(wins if out is None else out.unionByName(wins))
+        left = cut(left.join(out, "pair", "left_anti"))
+    return out.select("pair", "colour") if out is not None else pairs.select("pair", F.lit(0).alias("colour")).limit(0)
 
 
 def split_large(tier1: DataFrame, h: float, cells: CellConfig = CLUSTER_CELLS, rounds: int = 8) -> DataFrame:
@@ -157,8 +182,24 @@ def third_pass(sites: DataFrame, tests: DataFrame, cells: DataFrame, r_max: floa
     first = cut(sites.select(F.col("seq").cast("long").alias("seq"), "x", "y", "is_centreline"))
     now = first
     for colour in range(0 if last is None else last + 1):
-        own = strips.join(colours.where(F.col("colour") == colour), "pair").select(F.col("pair").alias("problem"), "ix", "iy")
-        out = consolidate(now, tests, own, tiers(own, (settings.tiers.tier2 - settings.tiers.tier1) * r_max, h, ["problem"]), r_max, h, settings, "Third Pass")
-        new = out["added"].select(F.xxhash64("x", "y").alias("seq"), "x", "y", F.lit(False).alias("is_centreline")).dropDuplicates(["seq"])
-        now = cut(now.join(out["removed"].select("seq"), "seq", "left_anti").unionByName(new))
+        own = cut(strips.join(colours.where(F.col("colour") == colour), "pair").select(F.col("pair").alias("problem"), "ix", "iy"))
+        out = consolidate(now, tests, own, tiers(own, (settings.tiers.tier2 - settings.tiers.tier1) * r_max, h, ["problem"]), r_max, h, settings, "Third Pass", split=False)
+        now = cut(passed(now, out))
     return {"sites": now, "removed": first.join(now.select("seq"), "seq", "left_anti"), "added": now.join(first.select("seq"), "seq", "left_anti")}
+
+
+def run_passes(sites: DataFrame, tests: DataFrame, clusters: DataFrame, r_max: float, h: float, settings: Settings = Settings(), cells: CellConfig = CLUSTER_CELLS) -> dict[str, DataFrame]:
+    """Second pass over clusters (problem, ix, iy), large ones in cells, third pass over the cells' seams, and the sites after both.
+
+    Returns sites (seq, x, y, is_centreline, source_pass: what a site was added by, or null), removed (of the
+    given sites) and tier1 (the cells of the second pass).
+    """
+    split = cut(split_large(clusters, h, cells))
+    tier1 = split.select("problem", "ix", "iy")
+    first = cut(sites.select(F.col("seq").cast("long").alias("seq"), "x", "y", "is_centreline"))
+    second = consolidate(first, tests, tier1, tiers(tier1, (settings.tiers.tier2 - settings.tiers.tier1) * r_max, h, ["problem"]), r_max, h, settings)
+    between = cut(passed(first, second))
+    third = third_pass(between, tests, split, r_max, h, settings)
+    by = third["added"].select("seq", F.lit("Third Pass").alias("source_pass")).unionByName(second["added"].select(F.xxhash64("x", "y").alias("seq"), F.lit("Second Pass").alias("source_pass")).distinct())
+    by = by.groupBy("seq").agg(F.max("source_pass").alias("source_pass"))
+    return {"sites": cut(third["sites"].join(by, "seq", "left")), "removed": first.join(third["sites"].select("seq"), "seq", "left_anti"), "tier1": tier1, "candidates": second["candidates"]}

@@ -18,7 +18,9 @@ def distance(ax, ay, bx, by) -> Column:
 def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Column, max_radius: float | None = None, how: str = "inner", prefix: str = "r_", strict: bool = False, explode: str = "right") -> DataFrame:
     """Rows of left and right (columns prefixed) whose x, y are at most radius apart, with their distance.
 
-    radius: a number, or an expression over both sides' columns (then max_radius, its bound, is needed).
+    radius: a number, or an expression over both sides' columns; then max_radius, its bound, is needed, and
+    the job fails at a radius beyond it (a column of left is checked in every row, any other expression where
+    two rows meet in a bucket).
     how: inner, left (unmatched rows of left stay, with nulls), semi, anti (rows of left that match, or
     don't), exists (left with is_match). Null coordinates match nothing.
 
@@ -35,9 +37,12 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
     many_left = explode == "left" and how == "inner"
     limit = F.lit(float(radius)) if isinstance(radius, (int, float)) else (F.col(radius) if isinstance(radius, str) else radius)
     around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
+    checked = F.when(limit > wide, F.raise_error(F.concat(F.lit("a radius is beyond max_radius: "), limit.cast("string"))).cast("double"))
+    ours = isinstance(radius, str) and radius in left.columns
 
     def keyed(df: DataFrame, p: str, bx: str, by: str, many: bool) -> DataFrame:
-        df = df.withColumns({bx: F.floor(F.col(p + "x") / wide), by: F.floor(F.col(p + "y") / wide)})
+        place = lambda c: F.floor((F.coalesce(checked, F.col(c)) if ours and not p else F.col(p + c)) / wide)
+        df = df.withColumns({bx: place("x"), by: place("y")})
         if not many:
             return df
         return df.withColumn("_o", around).withColumns({bx: F.col(bx) + F.col("_o.dx"), by: F.col(by) + F.col("_o.dy")}).drop("_o")
@@ -45,10 +50,15 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
     renamed = right.where("x IS NOT NULL AND y IS NOT NULL").select(*[F.col(c).alias(prefix + c) for c in right.columns])
     one, other = keyed(left, "", "_bx", "_by", many_left), keyed(renamed, prefix, "_cx", "_cy", not many_left)
     apart = distance("x", "y", prefix + "x", prefix + "y")
+    if not ours and not isinstance(radius, (int, float)):
+        limit = F.coalesce(checked, limit)
     meet = (F.col("_bx") == F.col("_cx")) & (F.col("_by") == F.col("_cy")) & (apart < limit if strict else apart <= limit)
     if how in ("semi", "anti"):
         return one.join(other, meet, f"left_{how}").drop("_bx", "_by")
     if how == "exists":
+        if isinstance(radius, Column):
+            found = [one.join(other, meet, f"left_{k}").withColumn("is_match", F.lit(k == "semi")) for k in ("semi", "anti")]
+            return found[0].unionByName(found[1]).drop("_bx", "_by")
         bound = radius if isinstance(radius, str) else repr(float(radius))
         near = f"sqrt((l.x - r.{prefix}x) * (l.x - r.{prefix}x) + (l.y - r.{prefix}y) * (l.y - r.{prefix}y)) {'<' if strict else '<='} {bound}"
         found = left.sparkSession.sql(f"SELECT l.*, EXISTS (SELECT 1 FROM {{r}} r WHERE l._bx = r._cx AND l._by = r._cy AND {near}) AS is_match FROM {{l}} l", l=one, r=other)

@@ -109,10 +109,12 @@ def dilate(region: DataFrame, radius: float | str, h: float, keys: list[str], ma
 
 
 def cell_id(group: str | Column | None = None) -> Column:
-    """A packed id of a cell, groups below 2^21 apart."""
+    """A packed id of a cell, groups apart; the job fails at groups from 2^21 on and at cells beyond 2^20."""
     half = 1 << (SPAN - 1)
-    g = F.lit(0) if group is None else (F.col(group) if isinstance(group, str) else group)
-    return (((g.cast("long") * (1 << SPAN)) + F.col("ix") + half) * (1 << SPAN)) + F.col("iy") + half
+    g = (F.lit(0) if group is None else (F.col(group) if isinstance(group, str) else group)).cast("long")
+    fine = g.between(0, (1 << SPAN) - 1) & F.col("ix").between(-half, half - 1) & F.col("iy").between(-half, half - 1)
+    packed = (((g * (1 << SPAN)) + F.col("ix") + half) * (1 << SPAN)) + F.col("iy") + half
+    return F.when(fine, packed).otherwise(F.raise_error(F.lit("a group or cell number is too large to pack")).cast("long"))
 
 
 def pieces(region: DataFrame, group: str) -> DataFrame:

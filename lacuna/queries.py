@@ -80,12 +80,12 @@ def filtered_points(spark, sf):
     return coverage.filter_points(src.points(spark, sf), 1000, require_spt=True, require_txe=True).select("id", "x", "y", "depth")
 
 
-@query(f"""WITH {P}, top AS (SELECT CAST((floor(coalesce(max(depth), 0) / 1000) + 1) * 1000 AS BIGINT) AS last FROM pts)
+@query(f"""WITH {P}, top AS (SELECT CAST((floor(coalesce(max(depth), 0) / {STEP}) + 1) * {STEP} AS BIGINT) AS last FROM pts)
 SELECT CAST(m AS INT) AS min_depth, (b & 1) <> 0 AS require_spt, (b & 2) <> 0 AS require_txt, (b & 4) <> 0 AS require_txe, 'd' || m || '_spt' || (b & 1) || '_txt' || ((b >> 1) & 1) || '_txe' || ((b >> 2) & 1) AS combo_key,
   'Depth>=' || m || 'm, SPT:' || CASE WHEN (b & 1) <> 0 THEN 'Yes' ELSE 'No' END || ', TriaxialTotal:' || CASE WHEN (b & 2) <> 0 THEN 'Yes' ELSE 'No' END || ', TriaxialEffective:' || CASE WHEN (b & 4) <> 0 THEN 'Yes' ELSE 'No' END AS label
-FROM (SELECT unnest(range(0, last + 1, 1000)) AS m FROM top), (SELECT unnest(range(0, 8)) AS b)""")
+FROM (SELECT unnest(range(0, last + 1, {STEP})) AS m FROM top), (SELECT unnest(range(0, 8)) AS b)""")
 def filter_combinations(spark, sf):
-    return coverage.combinations(src.points(spark, sf), 1000).select("min_depth", *coverage.REQUIRED, "combo_key", scalar.readable_combination("combo_key").alias("label"))
+    return coverage.combinations(src.points(spark, sf), STEP).select("min_depth", *coverage.REQUIRED, "combo_key", scalar.readable_combination("combo_key").alias("label"))
 
 
 def _covered_cells(spark, sf, h=64.0):
@@ -265,13 +265,13 @@ def buffered_zones(spark, sf):
 CLOUD = f"""{Z}, {T}, {S}, u AS (SELECT DISTINCT zone, CAST(floor(x / {H}) AS BIGINT) AS ix, CAST(floor(y / {H}) AS BIGINT) AS iy, required_radius AS r FROM tp),
 o AS (SELECT x AS dx, y AS dy FROM (SELECT unnest(range(-5, 6)) AS x), (SELECT unnest(range(-5, 6)) AS y)),
 cloud AS (SELECT DISTINCT zone, ix + dx AS ix, iy + dy AS iy FROM u JOIN o ON (dx * dx + dy * dy) * {A} <= r * r),
-pair AS (SELECT a.zone AS zone_a, b.zone AS zone_b, a.zone * 1000 + b.zone AS pair, a.ix, a.iy FROM cloud a JOIN cloud b ON a.ix = b.ix AND a.iy = b.iy AND a.zone < b.zone)"""
+pair AS (SELECT a.zone AS zone_a, b.zone AS zone_b, a.zone * 2147483648 + b.zone AS pair, a.ix, a.iy FROM cloud a JOIN cloud b ON a.ix = b.ix AND a.iy = b.iy AND a.zone < b.zone)"""
 
 
 def _pairs(spark, sf):
     c = consolidate.clouds(src.tests(spark, sf, TEST_FACTOR), H, MAX_R)
     a, b = c.select(F.col("zone").alias("zone_a"), "ix", "iy"), c.select(F.col("zone").alias("zone_b"), "ix", "iy")
-    return a.join(b, ["ix", "iy"]).where("zone_a < zone_b").select("zone_a", "zone_b", (F.col("zone_a") * 1000 + F.col("zone_b")).alias("pair"), "ix", "iy")
+    return a.join(b, ["ix", "iy"]).where("zone_a < zone_b").select("zone_a", "zone_b", (F.col("zone_a") * 2147483648 + F.col("zone_b")).alias("pair"), "ix", "iy")
 
 
 @query(f"""WITH {CLOUD} SELECT zone_a, zone_b, zone_a || '||' || zone_b AS pair_key, count(*) * {A} AS area_m2 FROM pair GROUP BY zone_a, zone_b""")
@@ -479,6 +479,66 @@ def consolidation(spark, sf):
     return out["removed"].select(F.lit("removed").alias("kind"), "problem", "x", "y").unionByName(out["added"].select(F.lit("added").alias("kind"), "problem", "x", "y"))
 
 
+def _passed_sql(kept: str) -> str:
+    """Tests of all zones, how many a site covers before a pass, and what may not be after it."""
+    return f"""WITH {Z}, {T}, {S} SELECT count(*) AS tests, count(*) FILTER (WHERE EXISTS (SELECT 1 FROM sites WHERE sites.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "sites")} <= tp.required_radius)) AS covered_before, {kept} FROM tp"""
+
+
+def _passed(spark, sf, final):
+    t = cut(_test_rows(spark, sf))
+    before = djoin.distance_join(t, src.sites(spark, sf).select("x", "y"), "required_radius", MAX_R, "semi")
+    lost = djoin.distance_join(before, final.select("x", "y"), "required_radius", MAX_R, "anti")
+    one = lambda df, name: df.agg(F.count("*").alias(name))
+    return t, one(t, "tests").crossJoin(one(before, "covered_before")).crossJoin(one(lost, "lost"))  # one row each
+
+
+ZERO = "CAST(0 AS BIGINT) AS {}"
+
+
+@query(_passed_sql(", ".join(map(ZERO.format, ("lost", "still_open")))))
+def consolidation_coverage(spark, sf):
+    """After the second pass no test is open that was covered, and no test of a tier 1 that a candidate could cover."""
+    tier1 = cut(_clusters(spark, sf).select("problem", "ix", "iy"))
+    s = _site_rows(spark, sf)
+    t = _test_rows(spark, sf)
+    out = consolidate.consolidate(s, t, tier1, consolidate.tiers(tier1, 450.0, H, ["problem"]), MAX_R, H)
+    final = cut(consolidate.passed(s, out))
+    t, row = _passed(spark, sf, final)
+    left = consolidate.still_open(t, tier1, final, out["candidates"], MAX_R, H)
+    return row.crossJoin(left.agg(F.count("*").alias("still_open")))
+
+
+def _all_passes(spark, sf):
+    p = _pairs(spark, sf).select("pair", "ix", "iy").distinct()
+    one = p.join(consolidate.group_pairs(p), "pair").select(F.col("cluster").alias("problem"), "ix", "iy").distinct()
+    inside = region.intersection(one, src.cells(spark, sf, H).select("ix", "iy").distinct())
+    return consolidate.run_passes(_site_rows(spark, sf), cut(_test_rows(spark, sf)), inside, MAX_R, H)
+
+
+@query()
+def third_pass(spark, sf):
+    """All sites after the second pass and the third one over the seams of split clusters."""
+    return _all_passes(spark, sf)["sites"].select("x", "y", "is_centreline", F.coalesce("source_pass", F.lit("First Pass")).alias("source_pass"))
+
+
+@query(_passed_sql(ZERO.format("lost")))
+def third_pass_coverage(spark, sf):
+    """What was covered before the passes is covered after them."""
+    return _passed(spark, sf, _all_passes(spark, sf)["sites"])[1]
+
+
+@query(f"""WITH {P}, {Z}, {T}, o AS (SELECT zone FROM tp WHERE NOT EXISTS (SELECT 1 FROM pts WHERE pts.x BETWEEN tp.x - tp.required_radius AND tp.x + tp.required_radius AND {d("tp", "pts")} <= tp.required_radius))
+SELECT zone AS problem, count(*) AS tests, {", ".join(map(ZERO.format, ("missed", "conflicts", "below_bound")))} FROM o GROUP BY zone""")
+def placement_in_tiles(spark, sf):
+    """Placement in tiles of at most 60 000 edges: no open test is left, no two sites are nearer than the stated share of the exclusion distance, and no zone has fewer sites than its bound."""
+    t = cut(_open_tests(spark, sf))
+    placed = cut(solve.place_sites(t, _candidates(spark, sf), MAX_R, max_edges=60_000))
+    total = solve.totals(placed).select("problem", F.greatest(F.col("lower_bound") - F.col("selected"), F.lit(0)).alias("below_bound"))
+    apart = placed.where("cand IS NOT NULL").join(src.zones(spark, sf).select(F.col("zone").alias("problem"), (F.col("spacing") * 0.9).alias("exclusion")), "problem").withColumn("apart", F.coalesce(F.col("conflict_factor"), F.lit(0.0)) * F.col("exclusion"))
+    near = djoin.distance_join(apart.select("problem", "cand", "x", "y", "apart"), apart.select("problem", "cand", "x", "y"), "apart", MAX_R).where("problem = r_problem AND cand < r_cand").groupBy("problem").agg(F.count("*").alias("conflicts"))
+    return _missed(t, placed).join(total, "problem").join(near, "problem", "left").fillna(0, ["conflicts"])
+
+
 @query()
 def greedy_disk_cover(spark, sf):
     gaps = _gaps(spark, sf).withColumns({"x": (F.col("ix") + 0.5) * F.col("h"), "y": (F.col("iy") + 0.5) * F.col("h")})

@@ -76,7 +76,7 @@ def gap_zone_split(spark, sf):
 
 
 CELL_TESTS = f"""{C}, tp AS (SELECT zone, iy AS "row", ix AS k, (ix + CAST(0.5 AS DOUBLE)) * {HD} AS x, (iy + CAST(0.5 AS DOUBLE)) * {HD} AS y, spacing AS required_radius FROM cells)"""
-AREAS = CUBE.format(p=P, z=Z, t=CELL_TESTS, step=STEP * 20, near=d("tp", "pts"), pct="0")
+AREAS = CUBE.format(p=P, z=Z, t=CELL_TESTS, step=STEP, near=d("tp", "pts"), pct="0")
 
 
 @query(f"SELECT combo_key, CAST(sum(covered) AS DOUBLE) * {A} / 10000 AS covered_ha, CAST(sum(tests) - sum(covered) AS DOUBLE) * {A} / 10000 AS uncovered_ha FROM ({AREAS}) GROUP BY combo_key")
@@ -84,7 +84,7 @@ def combination_areas(spark, sf):
     """Covered and open hectares of each filter combination."""
     cells = src.cells(spark, sf, H).select("zone", F.col("iy").alias("row"), F.col("ix").alias("k"), ((F.col("ix") + 0.5) * H).alias("x"), ((F.col("iy") + 0.5) * H).alias("y"), F.col("spacing").alias("required_radius"))
     p = src.points(spark, sf)
-    c = coverage.cube(cells, p, coverage.combinations(p, STEP * 20), TEST_KEYS, MAX_R).groupBy("combo_key").agg(F.sum("covered").alias("n"), F.sum("tests").alias("of"))
+    c = coverage.cube(cells, p, coverage.combinations(p, STEP), TEST_KEYS, MAX_R).groupBy("combo_key").agg(F.sum("covered").alias("n"), F.sum("tests").alias("of"))
     return c.select("combo_key", scalar.hectares(F.col("n").cast("double") * H * H).alias("covered_ha"), scalar.hectares((F.col("of") - F.col("n")).cast("double") * H * H).alias("uncovered_ha"))
 
 

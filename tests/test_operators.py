@@ -167,8 +167,8 @@ def test_conflict_ladder_ends_without_conflicts():
 
 def test_cliques():
     near = [np.array([1, 2]), np.array([0, 2]), np.array([0, 1, 3]), np.array([2])]
-    cliques = solve.maximal_cliques(near, 100)
-    assert cliques == [[0, 1, 2], [2, 3]]
+    cliques, whole = solve.maximal_cliques(near)
+    assert cliques == [[0, 1, 2], [2, 3]] and whole and not solve.maximal_cliques(near, 1)[1]
     assert solve.clique_stats(cliques)["pairwise_equivalent"] == 4
 
 
