@@ -90,10 +90,21 @@ cells AS (SELECT *, {span('y0', 'y1')} AS iy FROM (SELECT *, {span('x0', 'x1')}
 
 def edits(spark: SparkSession, d: str) -> DataFrame:
     """Events as edits: seq, ts, id, action, x, y."""
-    return table(spark, d, "events").where("event_type IN ('signup', 'click', 'error')").selectExpr(
-        "event_id AS seq", "ts", "CAST(user_id AS BIGINT) AS id", "CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'move' ELSE 'delete' END AS action",
+    return table(spark, d, "events").where("event_type IN ('signup', 'click', 'error', 'purchase')").selectExpr(
+        "event_id AS seq", "ts", "CAST(user_id AS BIGINT) AS id", "CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'move' WHEN 'error' THEN 'delete' ELSE 'restore' END AS action",
         "CAST((event_id * 7919) % 10007 AS DOUBLE) AS x", "CAST((event_id * 104729) % 10009 AS DOUBLE) AS y")
 
 
-EDITS = """edits AS (SELECT event_id AS seq, ts, CAST(user_id AS BIGINT) AS id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'move' ELSE 'delete' END AS action,
-  CAST((event_id * 7919) % 10007 AS DOUBLE) AS x, CAST((event_id * 104729) % 10009 AS DOUBLE) AS y FROM events WHERE event_type IN ('signup', 'click', 'error'))"""
+EDITS = """edits AS (SELECT event_id AS seq, ts, CAST(user_id AS BIGINT) AS id, CASE event_type WHEN 'signup' THEN 'add' WHEN 'click' THEN 'move' WHEN 'error' THEN 'delete' ELSE 'restore' END AS action,
+  CAST((event_id * 7919) % 10007 AS DOUBLE) AS x, CAST((event_id * 104729) % 10009 AS DOUBLE) AS y FROM events WHERE event_type IN ('signup', 'click', 'error', 'purchase'))"""
+
+#: The edits of an id one after the other, from its base position: id, n (how many are done), there, x, y, edited; over pts and edits.
+FOLDED = """turn AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY seq) AS n FROM edits),
+home AS (SELECT coalesce(p.id, e.id) AS id, p.id IS NOT NULL AS known, p.x AS hx, p.y AS hy FROM pts p FULL JOIN (SELECT DISTINCT id FROM edits) e ON p.id = e.id),
+fold(id, n, known, hx, hy, there, x, y, edited) AS (SELECT id, CAST(0 AS BIGINT), known, hx, hy, known, hx, hy, FALSE FROM home
+  UNION ALL SELECT f.id, t.n, known, hx, hy, CASE action WHEN 'add' THEN TRUE WHEN 'delete' THEN FALSE WHEN 'restore' THEN known ELSE there END,
+    CASE WHEN action = 'add' OR (action = 'move' AND there) THEN t.x WHEN action = 'restore' THEN hx ELSE f.x END,
+    CASE WHEN action = 'add' OR (action = 'move' AND there) THEN t.y WHEN action = 'restore' THEN hy ELSE f.y END,
+    CASE WHEN action = 'add' THEN TRUE WHEN action = 'move' THEN there WHEN action = 'restore' THEN FALSE ELSE edited END
+  FROM fold f JOIN turn t ON t.id = f.id AND t.n = f.n + 1),
+ended AS (SELECT * FROM fold f WHERE n = (SELECT max(n) FROM fold g WHERE g.id = f.id) AND there)"""

@@ -410,9 +410,7 @@ def pass_statistics(spark, sf):
 # --- edits ------------------------------------------------------------------------------------
 
 
-@query(f"""WITH {P}, {E}, l AS (SELECT id, arg_max(action, seq) AS action, arg_max(x, seq) AS nx, arg_max(y, seq) AS ny FROM edits GROUP BY id)
-SELECT coalesce(p.id, l.id) AS id, CASE WHEN l.id IS NOT NULL THEN nx ELSE p.x END AS x, CASE WHEN l.id IS NOT NULL THEN ny ELSE p.y END AS y, l.id IS NOT NULL AS is_edited
-FROM pts p FULL JOIN l ON p.id = l.id WHERE l.id IS NULL OR action = 'add' OR (action = 'move' AND p.id IS NOT NULL)""")
+@query(f"""WITH RECURSIVE {P}, {E}, {src.FOLDED} SELECT id, x, y, edited AS is_edited FROM ended""")
 def edited_points(spark, sf):
     return what_if.apply_edits(src.points(spark, sf).select("id", "x", "y"), src.edits(spark, sf))
 

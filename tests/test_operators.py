@@ -240,9 +240,9 @@ def test_edits_as_batch_and_stream(spark, tmp_path):
     assert rows(edits.apply_edits(base, e), "id", "x", "is_edited") == want
     e.coalesce(1).write.parquet(str(tmp_path / "in"))
     seen = {}
-    q = edits.run_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), lambda b, _: seen.update({r.id: r.action for r in b.collect()}), str(tmp_path / "cp"))
+    q = edits.run_stream(spark.readStream.schema(e.schema).parquet(str(tmp_path / "in")), base, lambda b, _: seen.update({r.id: (r.was, r.present, r.x) for r in b.collect()}), str(tmp_path / "cp"))
     q.awaitTermination(60)
-    assert seen == {1: "move", 2: "delete", 3: "restore", 8: "move", 9: "add"}
+    assert seen == {1: (True, True, 6.0), 2: (True, False, None), 9: (False, True, 7.0)}
 
 
 def test_parts_share_no_candidate_and_no_conflict(spark):
