@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.djoin import distance_join
-from lacuna.operators.graph import connected_components
+from lacuna.operators.graph import connected_components, cut
 
 
 def first_wins(points: DataFrame, order: str = "seq") -> DataFrame:
@@ -30,22 +30,36 @@ def sequential_keep(x: np.ndarray, y: np.ndarray, tolerance: float) -> np.ndarra
     return out
 
 
+#: Rounds of joins before what is still undecided goes chain by chain.
+ROUNDS = 12
+
+
 def tolerance_dedupe(points: DataFrame, tolerance: float, order: str = "seq") -> DataFrame:
     """Points by order (an integer, unique), each kept unless it is nearer than tolerance to a kept one.
 
-    What is kept depends on the order only within a chain of near points, so the chains (components of
-    the close pairs) are handled each by itself; a point without a close one never leaves the JVM.
+    Rounds over the close pairs: a point without an undecided earlier neighbour is kept, and its later
+    neighbours go. Where points come in any order a few rounds decide all. Of chains numbered along their
+    length, such as lines of samples, what ROUNDS rounds leave is decided chain by chain.
     """
     own = points.select(order, "x", "y")
-    pairs = distance_join(own, own, tolerance, strict=True).where(f"{order} < r_{order}").select(F.col(order).alias("a"), F.col(f"r_{order}").alias("b"))
-    chains = connected_components(pairs).withColumnRenamed("id", order)
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(order)
-        return pdf[~sequential_keep(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tolerance)][[order]]
-
-    dropped = own.join(chains, order).groupBy("component").applyInPandas(run, f"{order} long")
-    return points.join(dropped, order, "left_anti")
+    pairs = cut(distance_join(own, own, tolerance, strict=True).where(f"{order} < r_{order}").select(F.col(order).alias("a"), F.col(f"r_{order}").alias("b")))
+    dropped, turn = pairs.select("b").limit(0), 0
+    while turn < ROUNDS and not pairs.isEmpty():
+        turn += 1
+        kept = pairs.select(F.col("a").alias("k")).distinct().join(pairs.select(F.col("b").alias("k")), "k", "left_anti")
+        gone = cut(pairs.join(kept.withColumnRenamed("k", "a"), "a", "left_semi").select("b").distinct())
+        dropped = cut(dropped.unionByName(gone))
+        # pairs of a dropped point say nothing more, nor do those of a kept one
+        pairs = cut(pairs.join(gone, "b", "left_anti").join(gone.withColumnRenamed("b", "a"), "a", "left_anti").select("a", "b"))
+    if not pairs.isEmpty():
+        chains = connected_components(pairs).withColumnRenamed("id", order)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(order)
+            return pdf[~sequential_keep(pdf["x"].to_numpy(), pdf["y"].to_numpy(), tolerance)][[order]].rename(columns={order: "b"})
+
+        dropped = dropped.unionByName(own.join(chains, order).groupBy("component").applyInPandas(run, "b long"))
+    return points.join(dropped.select(F.col("b").alias(order)), order, "left_anti")
 
 
 def assemble(first: DataFrame, removed: list[DataFrame], added: list[DataFrame]) -> DataFrame:

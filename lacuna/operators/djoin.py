@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.operators.graph import cut
@@ -69,46 +69,36 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], right_id: str, start: float, within: float | None = None) -> DataFrame:
     """keys, nearest_id and distance of the nearest right row (C8, C9, C18); the least id wins a tie.
 
-    The right side is a grid of cells of width start. On each level a row of left meets the occupied
-    cells, not the points, of nine blocks of cells, twice as wide on each level. Where a cell ends within
-    the block's width, the nearest point is in a cell that begins before that end, and the row is done;
-    the rest go on, over as many levels as the logarithm of the extent. At the end each row meets the
-    points of those cells only. Without right rows, or beyond `within`: nulls.
+    The right side is a pyramid of occupied cells, twice as wide on each level, start at the bottom. Every row of
+    left descends from the top, of at most four cells, to the occupied parts of the cells that may hold its nearest
+    point: those that begin no farther away than another one ends. So a row carries a few cells on each
+    of as many levels as the logarithm of the extent, however far it is from all points, and meets points only in
+    the last ones. keys identify a row. Without right rows, or beyond `within`: nulls.
     """
     fine = lambda c: F.floor(F.col(c) / start)
     points = right.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(right_id).alias("_id"), F.col("x").alias("px"), F.col("y").alias("py"), fine("x").alias("cx"), fine("y").alias("cy"))
     cells = cut(points.select("cx", "cy").distinct())
-    rest = left.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y")
-    low, high = cells.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first(), rest.agg(F.min(fine("x")), F.min(fine("y")), F.max(fine("x")), F.max(fine("y"))).first()
+    low = cells.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
     none = left.select(*keys)
-    if low[0] is None or high[0] is None:
+    if low[0] is None:
         return none.withColumns({"nearest_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
-    extent = max(max(low[2], high[2]) - min(low[0], high[0]), max(low[3], high[3]) - min(low[1], high[1])) + 1
-    side = lambda c, k: F.greatest(F.col(k) * start - F.col(c), F.col(c) - (F.col(k) + 1) * start, F.lit(0.0))
-    over = lambda c, k: F.greatest(F.abs(F.col(c) - F.col(k) * start), F.abs(F.col(c) - (F.col(k) + 1) * start))
-    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
-    level, candidates = 0, None
-    while True:
-        span = 1 << level
-        blocks = cells.withColumns({"bx": F.floor(F.col("cx") / span), "by": F.floor(F.col("cy") / span)}).withColumn("o", around).select("cx", "cy", (F.col("bx") + F.col("o.dx")).alias("bx"), (F.col("by") + F.col("o.dy")).alias("by"))
-        met = rest.withColumns({"bx": F.floor(fine("x") / span), "by": F.floor(fine("y") / span)}).join(blocks, ["bx", "by"])
-        met = met.select(*keys, "x", "y", "cx", "cy", F.hypot(side("x", "cx"), side("y", "cy")).alias("begin"), F.hypot(over("x", "cx"), over("y", "cy")).alias("end"))
-        last = span > extent or within is not None and span * start >= within
-        bound = met.groupBy(*keys).agg(F.min("end").alias("bound"))
-        done = bound if last else bound.where(F.col("bound") <= span * start)
-        done = cut(done)
+    top = max(low[2] - low[0], low[3] - low[1]).bit_length()
+    first = [(u, v) for u in range(low[0] >> top, (low[2] >> top) + 1) for v in range(low[1] >> top, (low[3] >> top) + 1)]  # four at most
+    side = lambda c, k, w: F.greatest(F.col(k) * w - F.col(c), F.col(c) - (F.col(k) + 1) * w, F.lit(0.0))
+    over = lambda c, k, w: F.greatest(F.abs(F.col(c) - F.col(k) * w), F.abs(F.col(c) - (F.col(k) + 1) * w))
+    rows = left.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y").withColumn("c", F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in first]))).select(*keys, "x", "y", "c.u", "c.v")
+    mine = Window.partitionBy(*keys)
+    for level in range(top - 1, -1, -1):
+        wide = start * (1 << level)
+        parts = cells.select(F.shiftright("cx", level).alias("cu"), F.shiftright("cy", level).alias("cv")).distinct().withColumns({"u": F.shiftright("cu", 1), "v": F.shiftright("cv", 1)})
+        met = rows.join(parts, ["u", "v"]).withColumns({"begin": F.hypot(side("x", "cu", wide), side("y", "cv", wide)), "end": F.hypot(over("x", "cu", wide), over("y", "cv", wide))})
         # a little more than the bound, as both are rounded
-        mine = met.join(done, keys).where(F.col("begin") <= F.col("bound") * (1 + 1e-9)).select(*keys, "x", "y", "cx", "cy")
-        mine = cut(mine)
-        candidates = mine if candidates is None else candidates.unionByName(mine)
-        if last:
-            break
-        rest = cut(rest.join(done, keys, "left_anti"))
-        if rest.isEmpty():
-            break
-        level += 1
+        near = met.withColumn("bound", F.min("end").over(mine)).where(F.col("begin") <= F.col("bound") * (1 + 1e-9))
+        rows = (near if within is None else near.where(F.col("begin") <= within)).select(*keys, "x", "y", F.col("cu").alias("u"), F.col("cv").alias("v"))
+        if level % 4 == 3:
+            rows = cut(rows)
     apart = distance("x", "y", "px", "py")
-    best = candidates.join(points, ["cx", "cy"]).groupBy(*keys).agg(F.min(F.struct(apart.alias("distance"), F.col("_id").alias("id"))).alias("m"))
+    best = rows.join(points, [F.col("u") == F.col("cx"), F.col("v") == F.col("cy")]).groupBy(*keys).agg(F.min(F.struct(apart.alias("distance"), F.col("_id").alias("id"))).alias("m"))
     best = best.select(*keys, F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance"))
     return none.join(best if within is None else best.where(F.col("distance") <= within), keys, "left")
 

@@ -556,7 +556,10 @@ def zone_split(spark, sf):
     return parts.groupBy("zone", "cell").agg((F.count("*") * h * h).alias("area_m2"))
 
 
-@query()
+@query(f"""WITH RECURSIVE {P}, close AS (SELECT a.id AS a, b.id AS b FROM pts a JOIN pts b ON a.id < b.id AND {d("a", "b")} < 60), near AS (SELECT b AS id, list(a) AS l FROM close GROUP BY b),
+turn AS (SELECT e.id, coalesce(l, []) AS l, row_number() OVER (ORDER BY e.id) AS n FROM (SELECT a AS id FROM close UNION SELECT b FROM close) e LEFT JOIN near ON near.id = e.id),
+walk(n, kept, gone) AS (SELECT CAST(0 AS BIGINT), CAST([] AS BIGINT[]), CAST([] AS BIGINT[]) UNION ALL SELECT turn.n, CASE WHEN list_has_any(kept, l) THEN kept ELSE list_append(kept, CAST(turn.id AS BIGINT)) END, CASE WHEN list_has_any(kept, l) THEN list_append(gone, CAST(turn.id AS BIGINT)) ELSE gone END FROM walk JOIN turn ON turn.n = walk.n + 1)
+SELECT id AS seq, x, y FROM pts WHERE NOT list_contains((SELECT gone FROM walk ORDER BY n DESC LIMIT 1), id)""")
 def tolerance_dedupe(spark, sf):
     return dedupe.tolerance_dedupe(src.points(spark, sf).select(F.col("id").alias("seq"), "x", "y"), 60.0)
 
