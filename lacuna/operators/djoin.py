@@ -78,29 +78,49 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], right_id: str, s
     fine = lambda c: F.floor(F.col(c) / start)
     points = right.where("x IS NOT NULL AND y IS NOT NULL").select(F.col(right_id).alias("_id"), F.col("x").alias("px"), F.col("y").alias("py"), fine("x").alias("cx"), fine("y").alias("cy"))
     cells = cut(points.select("cx", "cy").distinct())
-    low = cells.agg(F.min("cx"), F.min("cy"), F.max("cx"), F.max("cy")).first()
     none = left.select(*keys)
-    if low[0] is None:
+    if cells.isEmpty():
         return none.withColumns({"nearest_id": F.lit(None).cast("long"), "distance": F.lit(None).cast("double")})
-    top = max(low[2] - low[0], low[3] - low[1]).bit_length()
-    first = [(u, v) for u in range(low[0] >> top, (low[2] >> top) + 1) for v in range(low[1] >> top, (low[3] >> top) + 1)]  # four at most
+    rows = descend(left.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y"), cells, keys, start, within=within)
+    apart = distance("x", "y", "px", "py")
+    best = rows.join(points, [F.col("u") == F.col("cx"), F.col("v") == F.col("cy")]).groupBy(*keys).agg(F.min(F.struct(apart.alias("distance"), F.col("_id").alias("id"))).alias("m"))
+    best = best.select(*keys, F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance"))
+    return none.join(best if within is None else best.where(F.col("distance") <= within), keys, "left")
+
+
+def descend(rows: DataFrame, cells: DataFrame, keys: list[str], start: float, group: list[str] | None = None, slack: float = 0.0, within: float | None = None) -> DataFrame:
+    """rows (keys, x, y) with the cells u, v, start wide, that may hold what is nearest to them.
+
+    cells are the occupied ones, distinct and written down: group, cx, cy. Their pyramid is twice as wide on each level, up to the
+    one on which each group has four cells at most. A row keeps the cells that begin no farther away than another one ends
+    (slack: by how much a cell may miss what it is occupied by). keys, which identify a row, hold the group.
+    """
+    group = group or []
+    low, high = ((f("cx").alias("x"), f("cy").alias("y")) for f in (F.min, F.max))
+    ends = cells.groupBy(*group).agg(F.struct(*low).alias("low"), F.struct(*high).alias("high"))
+    longest = ends.agg(F.max(F.greatest(F.col("high.x") - F.col("low.x"), F.col("high.y") - F.col("low.y")))).first()[0]
+    top = 0 if longest is None else longest.bit_length()
     side = lambda c, k, w: F.greatest(F.col(k) * w - F.col(c), F.col(c) - (F.col(k) + 1) * w, F.lit(0.0))
     over = lambda c, k, w: F.greatest(F.abs(F.col(c) - F.col(k) * w), F.abs(F.col(c) - (F.col(k) + 1) * w))
-    rows = left.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y").withColumn("c", F.explode(F.array(*[F.struct(F.lit(u).cast("long").alias("u"), F.lit(v).cast("long").alias("v")) for u, v in first]))).select(*keys, "x", "y", "c.u", "c.v")
     mine = Window.partitionBy(*keys)
+    named = list(dict.fromkeys([*keys, "x", "y"]))
+    wider = lambda by: cells.select(*group, F.shiftright("cx", by).alias("cu"), F.shiftright("cy", by).alias("cv")).distinct()
+    first = wider(top).select(*group, F.col("cu").alias("u"), F.col("cv").alias("v"))
+    if group:
+        rows = rows.select(*named).join(first, group)
+    else:
+        few = [F.struct(F.lit(c.u).cast("long").alias("u"), F.lit(c.v).cast("long").alias("v")) for c in first.collect()]  # four at most
+        rows = rows.select(*named, F.explode(F.array(*few) if few else F.expr("CAST(array() AS array<struct<u: bigint, v: bigint>>)")).alias("c")).select(*named, "c.u", "c.v")
     for level in range(top - 1, -1, -1):
         wide = start * (1 << level)
-        parts = cells.select(F.shiftright("cx", level).alias("cu"), F.shiftright("cy", level).alias("cv")).distinct().withColumns({"u": F.shiftright("cu", 1), "v": F.shiftright("cv", 1)})
-        met = rows.join(parts, ["u", "v"]).withColumns({"begin": F.hypot(side("x", "cu", wide), side("y", "cv", wide)), "end": F.hypot(over("x", "cu", wide), over("y", "cv", wide))})
+        parts = wider(level).withColumns({"u": F.shiftright("cu", 1), "v": F.shiftright("cv", 1)})
+        met = rows.join(parts, [*group, "u", "v"]).withColumns({"begin": F.hypot(side("x", "cu", wide), side("y", "cv", wide)), "end": F.hypot(over("x", "cu", wide), over("y", "cv", wide))})
         # a little more than the bound, as both are rounded
-        near = met.withColumn("bound", F.min("end").over(mine)).where(F.col("begin") <= F.col("bound") * (1 + 1e-9))
-        rows = (near if within is None else near.where(F.col("begin") <= within)).select(*keys, "x", "y", F.col("cu").alias("u"), F.col("cv").alias("v"))
+        near = met.withColumn("bound", F.min("end").over(mine)).where(F.col("begin") <= F.col("bound") * (1 + 1e-9) + slack)
+        rows = (near if within is None else near.where(F.col("begin") <= within)).select(*named, F.col("cu").alias("u"), F.col("cv").alias("v"))
         if level % 4 == 3:
             rows = cut(rows)
-    apart = distance("x", "y", "px", "py")
-    best = rows.join(points, [F.col("u") == F.col("cx"), F.col("v") == F.col("cy")]).groupBy(*keys).agg(F.min(F.struct(apart.alias("distance"), F.col("_id").alias("id"))).alias("m"))
-    best = best.select(*keys, F.col("m.id").alias("nearest_id"), F.col("m.distance").alias("distance"))
-    return none.join(best if within is None else best.where(F.col("distance") <= within), keys, "left")
+    return rows
 
 
 def conflict_pairs(points: DataFrame, exclusion: float, id_col: str = "id", group: list[str] | None = None, most: int | None = None) -> DataFrame:

@@ -1,8 +1,7 @@
 """Points and polygons, exactly.
 
-Polygons are rings array<array<struct<x, y>>> without closing points, even-odd. Points meet the polygons
-whose boxes, grown by the reach, share a bucket with them; inside and distance are higher-order functions
-over the polygon's edges.
+Polygons are rings array<array<struct<x, y>>> without closing points, even-odd. Points meet the edges of their
+own cell (`outlines`); no row holds a ring.
 """
 
 from __future__ import annotations
@@ -11,52 +10,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import col
-from lacuna.operators import djoin, lattice, region
+from lacuna.operators import djoin, lattice, outlines, region
 from lacuna.operators.graph import cut
 
 
-def edges(ring: str = "ring") -> Column:
-    """array<struct<ax, ay, bx, by>> of all edges, closing ones included."""
-    corner = lambda r, i, n: F.element_at(r, i)[n]
-    one = lambda r: F.transform(F.sequence(F.lit(1), F.size(r)), lambda i: F.struct(corner(r, i, "x").alias("ax"), corner(r, i, "y").alias("ay"), corner(r, i % F.size(r) + 1, "x").alias("bx"), corner(r, i % F.size(r) + 1, "y").alias("by")))
-    return F.flatten(F.transform(F.filter(F.col(ring), lambda r: F.size(r) > 0), one))
-
-
-def inside(x: str, y: str, edge: str) -> Column:
-    """Whether the point is inside by the count of edges to its right."""
-    px, py = F.col(x), F.col(y)
-    hit = lambda e: ((e["ay"] > py) != (e["by"] > py)) & (px < (e["bx"] - e["ax"]) * (py - e["ay"]) / (e["by"] - e["ay"]) + e["ax"])
-    return F.size(F.filter(F.col(edge), hit)) % 2 == 1
-
-
-def boundary_distance(x: str, y: str, edge: str) -> Column:
-    px, py = F.col(x), F.col(y)
-
-    def apart(e: Column) -> Column:
-        dx, dy = e["bx"] - e["ax"], e["by"] - e["ay"]
-        square = dx * dx + dy * dy
-        t = F.when(square > 0, F.least(F.greatest(((px - e["ax"]) * dx + (py - e["ay"]) * dy) / square, F.lit(0.0)), F.lit(1.0))).otherwise(F.lit(0.0))
-        u, v = px - e["ax"] - t * dx, py - e["ay"] - t * dy
-        return F.sqrt(u * u + v * v)
-
-    return F.array_min(F.transform(F.col(edge), apart))
-
-
-def near_regions(points: DataFrame, polygons: DataFrame, reach: float, bucket: float, keys: list[str]) -> DataFrame:
+def near_regions(points: DataFrame, polygons: DataFrame, reach: float, bucket: float, keys: list[str], far: bool = True) -> DataFrame:
     """Points with each polygon (its columns keys) that contains them or is at most reach away: inside, boundary_m.
 
-    On the boundary: not inside, at distance 0. A polygon is repeated over the buckets of its own box.
+    On the boundary: not inside, at distance 0. Points without a place meet nothing; equal points are answered once. Without far, boundary_m is
+    null where it is more than reach, else it is found for points deep inside too.
     """
-    corners = F.flatten(F.col("ring"))
-    axis = lambda n: F.transform(corners, lambda p: p[n])
-    ends = [F.array_min(axis("x")).alias("_x0"), F.array_max(axis("x")).alias("_x1"), F.array_min(axis("y")).alias("_y0"), F.array_max(axis("y")).alias("_y1")]
-    box = polygons.where(F.size(corners) > 0).select(*keys, edges().alias("_e"), *ends)
-    slot = lambda c, by: F.floor((F.col(c) + by) / bucket)
-    spread = box.withColumn("_bx", F.explode(F.sequence(slot("_x0", -reach), slot("_x1", reach)))).withColumn("_by", F.explode(F.sequence(slot("_y0", -reach), slot("_y1", reach))))
-    met = points.withColumns({"_bx": slot("x", 0.0), "_by": slot("y", 0.0)}).join(spread, ["_bx", "_by"])
-    met = met.where(F.col("x").between(F.col("_x0") - reach, F.col("_x1") + reach) & F.col("y").between(F.col("_y0") - reach, F.col("_y1") + reach))
-    met = met.withColumns({"inside": inside("x", "y", "_e"), "boundary_m": boundary_distance("x", "y", "_e")}).withColumn("inside", F.col("inside") & (F.col("boundary_m") > 0))
-    return met.where(F.col("inside") | (F.col("boundary_m") <= reach)).select(*points.columns, *keys, "inside", "boundary_m")
+    e = outlines.edges(polygons, keys)
+    met = outlines.held(outlines.spots(points), e, bucket, reach)
+    if far:
+        met = cut(met)
+        deep = outlines.to_boundary(met.where("boundary_m IS NULL"), e, bucket)
+        met = met.where("boundary_m IS NOT NULL").unionByName(deep.withColumn("inside", F.lit(True)))
+    met = met.join(e.select("_polygon", "_key").distinct(), "_polygon").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_key", "inside", "boundary_m")
+    here = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
+    return points.join(met, here).select(*points.columns, *(F.col("_key")[k].alias(k) for k in keys), "inside", "boundary_m")
 
 
 def tier_report(points: DataFrame, polygons: DataFrame, keys: list[str], bucket: float, near_m: float = 10.0) -> DataFrame:
@@ -69,7 +41,7 @@ def tier_report(points: DataFrame, polygons: DataFrame, keys: list[str], bucket:
 def zone_info(points: DataFrame, zones: DataFrame, keys: list[str], bucket: float, excluded: list | None = None) -> DataFrame:
     """keys and zones, a map from each zone that holds the point to its spacing (C16). zones: zone, spacing, ring."""
     seen = zones.where(~F.col("zone").isin(excluded)) if excluded else zones
-    met = near_regions(points, seen, 0.0, bucket, ["zone", "spacing"]).where("inside")
+    met = near_regions(points, seen, 0.0, bucket, ["zone", "spacing"], far=False).where("inside")
     found = met.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("zone", "spacing")))).alias("zones"))
     return points.select(*keys).join(found, keys, "left")
 
@@ -77,24 +49,16 @@ def zone_info(points: DataFrame, zones: DataFrame, keys: list[str], bucket: floa
 def nearest_region(points: DataFrame, polygons: DataFrame, keys: list[str], key: str, start: float) -> DataFrame:
     """keys, region and distance: the first polygon that holds or touches the point, else the nearest; the least key wins ties.
 
-    The reach doubles from start for those that no polygon is near to; what is found within the reach is the nearest.
+    Those that no polygon holds descend a pyramid of the cells with edges, start wide at the bottom.
     """
-    low, high = (polygons.select(F.explode(F.flatten("ring")).alias("p")).agg(*[f(f"p.{c}") for c in "xy"]).first() for f in (F.min, F.max))
-    mine = points.agg(F.min("x"), F.min("y"), F.max("x"), F.max("y")).first()
-    nothing = points.select(*keys).withColumns({"region": F.lit(None).cast(polygons.schema[key].dataType), "distance": F.lit(None).cast("double")})
-    if low[0] is None or mine[0] is None:
-        return nothing
-    extent = max(high[0], mine[2]) - min(low[0], mine[0]) + max(high[1], mine[3]) - min(low[1], mine[1])
-    rest, out, reach = points.where("x IS NOT NULL AND y IS NOT NULL").select(*keys, "x", "y"), None, start
-    while True:
-        met = near_regions(rest, polygons, reach, reach, [key]).withColumn("distance", F.when(F.col("inside"), 0.0).otherwise(F.col("boundary_m")))
-        best = cut(met.groupBy(*keys).agg(F.min(F.struct("distance", F.col(key).alias("region"))).alias("m")).select(*keys, "m.region", "m.distance"))
-        out = best if out is None else out.unionByName(best)
-        rest = cut(rest.join(best, keys, "left_anti"))
-        if reach > extent or rest.isEmpty():
-            break
-        reach *= 2
-    return points.select(*keys).join(out, keys, "left")
+    e = outlines.edges(polygons, [key])
+    at = outlines.spots(points)
+    met = outlines.held(at, e, start).join(e.select("_polygon", "_key").distinct(), "_polygon")
+    held = cut(met.groupBy("x", "y").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(0.0)))
+    out = held.unionByName(outlines.nearest_edge(at.join(held, ["x", "y"], "left_anti"), e, start))
+    out = out.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_key")[key].alias("region"), "distance")
+    here = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
+    return points.join(out, here, "left").select(*keys, "region", "distance")
 
 
 def centreline_points(lines: DataFrame, keys: list[str], spacing: str = "spacing") -> DataFrame:
