@@ -136,8 +136,8 @@ def with_status(df: DataFrame, status: str) -> DataFrame:
 
 
 def palette_index(df: DataFrame, column: str, colours: int) -> DataFrame:
-    """A colour number for each distinct value, cycled (G19). Ranked on the distinct values only."""
-    from pyspark.sql import Window
+    """A colour number for each distinct value, cycled (G19); none for null. Ranked on the distinct values only."""
+    from lacuna.operators import ranking
 
-    ranks = df.select(column).distinct().withColumn("colour", (F.dense_rank().over(Window.orderBy(column)) - 1) % colours)
-    return df.join(ranks, column, "left")
+    ranks = ranking.numbered(df.select(column).where(F.col(column).isNotNull()).distinct(), [column], "_rank")
+    return df.join(ranks.select(column, ((F.col("_rank") - 1) % colours).cast("int").alias("colour")), column, "left")

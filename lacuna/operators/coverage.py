@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import combination_key, percent, safe_depth
-from lacuna.operators import djoin, region
+from lacuna.operators import djoin, ranking, region
 
 FLAGS = ["has_spt", "has_txt", "has_txe"]
 REQUIRED = ["require_spt", "require_txt", "require_txe"]
@@ -101,8 +101,7 @@ def gap_statistics(gaps: DataFrame, points: DataFrame, h: float | str, zone: str
     rep = rep.withColumns({"x": (F.col("m.ix") + 0.5) * w, "y": (F.col("m.iy") + 0.5) * w}).drop("m")
     near = djoin.nearest(rep.select(zone, "piece", "x", "y"), points, [zone, "piece"], points.columns[0], start)
     out = rep.join(near, [zone, "piece"], "left")
-    order = Window.orderBy(F.desc("area_m2"), "piece")  # one row for each gap
-    return out.select(F.row_number().over(order).alias("id"), zone, "piece", "area_m2", (F.col("area_m2") / 10_000).alias("area_ha"), "centroid_x", "centroid_y", F.col("x").alias("suggested_x"), F.col("y").alias("suggested_y"), F.col("distance").alias("rep_distance_m"))
+    return ranking.numbered(out, [F.desc("area_m2"), "piece"], "id").select("id", zone, "piece", "area_m2", (F.col("area_m2") / 10_000).alias("area_ha"), "centroid_x", "centroid_y", F.col("x").alias("suggested_x"), F.col("y").alias("suggested_y"), F.col("distance").alias("rep_distance_m"))
 
 
 def summary(per_zone_area: DataFrame, gaps: DataFrame) -> DataFrame:

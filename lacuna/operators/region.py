@@ -179,9 +179,11 @@ def centres_of(cells: DataFrame, key: str, counts: DataFrame, rounds: int = 8) -
 
     Starts from cells spread evenly along the region's rows, so the result is the same on every run.
     """
-    order = Window.partitionBy(key).orderBy("iy", "ix")
+    rows = cells.groupBy(key, "iy").agg(F.count("*").alias("in_row"))
+    down, along = Window.partitionBy(key).orderBy("iy"), Window.partitionBy(key, "iy").orderBy("ix")
+    rows = rows.select(key, "iy", (F.sum("in_row").over(down) - F.col("in_row")).alias("above"))
     size = cells.groupBy(key).agg(F.count("*").alias("n")).join(counts, key)
-    start = cells.withColumn("i", F.row_number().over(order) - 1).join(size, key).withColumn("cell", F.floor((F.col("i") * F.col("k")) / F.col("n")))
+    start = cells.withColumn("i", F.row_number().over(along) - 1).join(rows, [key, "iy"]).withColumn("i", F.col("i") + F.col("above")).join(size, key).withColumn("cell", F.floor((F.col("i") * F.col("k")) / F.col("n")))
     centres = start.groupBy(key, "cell").agg((F.avg("ix") + 0.5).alias("x"), (F.avg("iy") + 0.5).alias("y"))
 
     centres = cut(centres)

@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lacuna.operators import ranking
+
 # The prefixes of the numbered ids in each file.
 PREFIX = {"proposed": "PROP", "First Pass": "FP", "Second Pass": "SP", "Third Pass": "TP"}
 
 
 def numbered(sites: DataFrame, prefix: str, groups: list[str] | None = None) -> DataFrame:
     """Adds Location_ID, prefix_001 ... in order of x, y within each group of the file."""
-    w = Window.partitionBy(*(groups or [])).orderBy("x", "y") if groups else Window.orderBy("x", "y")
-    return sites.withColumn("Location_ID", F.format_string(prefix + "_%03d", F.row_number().over(w)))
+    return ranking.numbered(sites, ["x", "y"], "_number", groups).withColumn("Location_ID", F.format_string(prefix + "_%03d", "_number")).drop("_number")
 
 
 def proposed_table(sites: DataFrame) -> DataFrame:

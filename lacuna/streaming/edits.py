@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from lacuna.operators import ranking
+
 ACTIONS = ["add", "move", "delete", "restore"]
 
 
@@ -50,10 +52,8 @@ def apply_edits(base: DataFrame, edits: DataFrame) -> DataFrame:
 
 def new_ids(added: DataFrame) -> DataFrame:
     """NEW_001, NEW_002, ... in order of seq for added points without an id."""
-    from pyspark.sql import Window
-
-    n = F.row_number().over(Window.partitionBy(F.col("location_id").isNull()).orderBy("seq"))
-    return added.withColumn("location_id", F.coalesce("location_id", F.format_string("NEW_%03d", n)))
+    fresh = ranking.numbered(added.where("location_id IS NULL"), ["seq"], "_number").withColumn("location_id", F.format_string("NEW_%03d", "_number"))
+    return added.where("location_id IS NOT NULL").unionByName(fresh.drop("_number"))
 
 
 def windowed_edits(edits: DataFrame, width: str = "1 hour", late: str = "10 minutes") -> DataFrame:
