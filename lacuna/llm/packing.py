@@ -9,6 +9,9 @@
    level of several nodes finds nothing to merge: then a node has one bin below half at most, fewer than
    one sequence in NODE_ITEMS.
 3. Each piece finds its sequence and its place there through the levels' small maps.
+4. Sequences that the tree leaves underfull are dissolved: their pieces are dealt to nodes of NODE_ITEMS
+   pieces on average and packed by best fit anew. A node keeps the new bins where they are fewer than its
+   share of the old ones, so no round adds sequences.
 
 Only piece lengths travel, never texts or ids. What one task holds: an input split's lengths, or at
 most NODE_ITEMS items on average.
@@ -39,7 +42,7 @@ from lacuna.llm._text import Words, blocks, cut, flat, id_values, ragged
 
 CAPACITY = 2048
 #: Bins with this share of their capacity are final.
-NEARLY_FULL = 0.99
+NEARLY_FULL = 0.999
 FAN_IN, NODE_ITEMS = 8, 200_000
 #: Bytes of words that both ways of tokenising read alike: printable ASCII and the Latin-1 letters from U+00C0, no special token.
 _PLAIN_BYTE = np.zeros(256, bool)
@@ -48,6 +51,7 @@ _LETTER_BYTE = _PLAIN_BYTE.copy()
 _LETTER_BYTE[33:65] = _LETTER_BYTE[91:97] = _LETTER_BYTE[123:127] = False
 #: Many words share a block, so that each distinct one is encoded seldom.
 TOKEN_BLOCK_BYTES = 12 << 20
+PIECE = ["doc_id", "piece", "start", "length", "ids_crc32"]
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, bin_offset long"
 
 
@@ -265,6 +269,31 @@ def pack(docs: DataFrame, path: str | None = None, capacity: int = CAPACITY, id_
             break
         n = after["n"]
     if done is None:
-        return pieces.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("bin_offset").alias("offset"))
-    out = pieces.join(done.withColumnRenamed("leaf", "bin"), "bin", "left")
-    return out.select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("parent", "bin").alias("sequence_id"), (F.col("bin_offset") + F.coalesce("parent_offset", F.lit(0))).alias("offset"))
+        placed = pieces.withColumnRenamed("bin", "sequence_id").withColumnRenamed("bin_offset", "offset")
+    else:
+        out = pieces.join(done.withColumnRenamed("leaf", "bin"), "bin", "left")
+        placed = out.select(*PIECE, F.coalesce("parent", "bin").alias("sequence_id"), (F.col("bin_offset") + F.coalesce("parent_offset", F.lit(0))).alias("offset"))
+    return _dissolve(placed.select(*PIECE, "sequence_id", "offset"), capacity, least, level + 1)
+
+
+def _dissolve(placed: DataFrame, capacity: int, least: int, level: int) -> DataFrame:
+    """The pieces of underfull sequences packed anew; whole sequences are dealt, so that a node can compare."""
+    under = placed.groupBy("sequence_id").agg(F.sum("length").alias("fill"), F.count("*").alias("n")).where(F.col("fill") < least)
+    n = under.agg(F.sum("n").alias("n")).first()["n"] or 0
+    if n < 2:
+        return placed
+    node = F.pmod(F.xxhash64("sequence_id", F.lit(level)), F.lit(-(-n // NODE_ITEMS)))
+    loose = placed.join(under.select("sequence_id"), "sequence_id", "left_semi").select("sequence_id", "offset", "length", node.alias("node"))
+    again = cut(loose.groupBy("node").applyInPandas(_again(level, capacity), "sequence_id long, offset long, new_id long, new_offset long"))
+    return placed.join(again, ["sequence_id", "offset"], "left").select(*PIECE, F.coalesce("new_id", "sequence_id").alias("sequence_id"), F.coalesce("new_offset", "offset").alias("offset"))
+
+
+def _again(level: int, capacity: int):
+    def run(key, pdf):
+        pdf = pdf.sort_values(["sequence_id", "offset"])
+        bins, offset, fill = best_fit(pdf["length"].to_numpy(), capacity)
+        if len(fill) < pdf["sequence_id"].nunique():
+            return pdf.assign(new_id=bins + (int(key[0]) << 32) + (level << 56), new_offset=offset)[["sequence_id", "offset", "new_id", "new_offset"]]
+        return pdf.assign(new_id=pdf["sequence_id"], new_offset=pdf["offset"])[["sequence_id", "offset", "new_id", "new_offset"]]
+
+    return run
