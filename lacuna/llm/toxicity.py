@@ -7,18 +7,20 @@ runs of single letters are read as one word as well. Landmarks are words of the
 the machine is linear in the Nyström features. As every kernel value is a sum over triples, the
 trained machine folds into one weight for each triple, and scoring is a table look-up.
 
-Training takes sentences, which carry their document's label. A toxic document has one sentence at
-least with an insult, a clean one has none (multi-instance learning). Positive are the sentences of
-toxic documents that hold one of a smallest set of telling words that covers each toxic document;
-negative are those of clean documents. A sentence stands for its worst word; each round adds the words
-that the machine so far takes for the worst of clean sentences. A text scores as its worst sentence,
-through a logistic fit on sampled documents that the machine hasn't seen.
+Training takes sentences, long ones in stretches of SPAN characters; a sentence is a row of the machine,
+with its document's label. A toxic document has one sentence at least with an insult, a clean one has none
+(multi-instance learning): positive rows are the sentences of toxic documents that hold one of a smallest set
+of telling words that covers each toxic document, negative rows are sentences of clean documents. The first
+machine takes a sentence as the sum of its words' features over its length. Each later one takes it as the
+features of its worst word by the machine before, so that the kernel of two sentences is that of their worst
+words, and adds the clean sentences that the machine before took for the worst. A text scores as its worst
+sentence, through a logistic fit on sampled documents that the machine hasn't seen.
 
 What the fit is made from is bounded, by documented parameters: MAX_DOCS training documents of each
-label, the first by a hash of the id; of each MAX_SENTENCES sentences, evenly spread; NEGATIVES words of
-clean sentences, half the most frequent and half at random, and HARD more in each of ROUNDS rounds;
-LANDMARKS landmarks, half of them telling words of most sentences, the others words of clean sentences.
-Scoring reads every word of every text.
+label, the first by a hash of the id; of each MAX_SENTENCES stretches, evenly spread, of MAX_CHARS
+characters at most (a longer one is a single word); NEGATIVES clean sentences at random, and HARD more in
+each of ROUNDS rounds; LANDMARKS landmarks, half of them telling words of most sentences, the others words
+of clean sentences. Scoring reads every word of every text.
 
 Null or empty texts, and texts without a word of three letters, get the score of the bias alone.
 Without labelled rows of both kinds every score is the share of toxic ones (0 without any). An id that
@@ -41,9 +43,11 @@ from pyspark.sql import functions as F
 from lacuna.llm._text import LOWER, Words, blocks, flat, ragged
 
 #: Bounds of the training sample and of what is made from it.
-MAX_DOCS, MAX_SENTENCES, NEGATIVES, HARD, LANDMARKS, ROUNDS = 1500, 400, 6000, 1500, 256, 3
-DECAY, WINDOW, COST, COVER, CLEAN = 0.6, 5, 30.0, 3, 3.0
+MAX_DOCS, MAX_SENTENCES, SPAN, MAX_CHARS, NEGATIVES, HARD, LANDMARKS, ROUNDS = 1500, 400, 300, 600, 6000, 1500, 256, 6
+#: INSERTED: the share of COST of a positive sentence whose worst word got a letter put in.
+DECAY, WINDOW, COST, INSERTED, COVER, CLEAN = 0.6, 5, 30.0, 0.3, 3, 3.0
 SENTENCE_END = re.compile(r"(?<=[.!?])\s+|\n+")
+STRETCH = re.compile(rf"\S.{{0,{SPAN}}}\S*", re.S)
 
 A = 60
 #: Letters fold their case; the bytes that follow a UTF-8 lead fold theirs by their low five bits; leads and ASCII punctuation are skipped.
@@ -75,9 +79,12 @@ def _symbols(vocab: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return out, edges
 
 
+def _square(size: np.ndarray) -> np.ndarray:
+    return np.maximum(sum(np.maximum(size - k, 0) * DECAY ** (2 * (k - 2)) for _, k in OFFSETS), 1e-9)
+
+
 def _scale(size: np.ndarray) -> np.ndarray:
-    square = sum(np.maximum(size - k, 0) * DECAY ** (2 * (k - 2)) for _, k in OFFSETS)
-    return np.sqrt(np.maximum(square, 1e-9))
+    return np.sqrt(_square(size))
 
 
 def _triples(sym: np.ndarray, j: int, k: int) -> np.ndarray:
@@ -188,13 +195,25 @@ def _witnesses(doc: np.ndarray, code: np.ndarray, value: np.ndarray, v: int) ->
     return np.array(out, np.int64)
 
 
-def _worst_words(sentence: np.ndarray, code: np.ndarray, value: np.ndarray) -> np.ndarray:
-    """The HARD worst of the words that are the worst of a sentence."""
+def _worst_words(sentence: np.ndarray, code: np.ndarray, value: np.ndarray, n: int) -> np.ndarray:
+    """The word of the largest value of each of n sentences, -1 where it has none."""
     order = np.lexsort((-value[code], sentence))
     first = np.ones(len(order), bool)
     first[1:] = sentence[order][1:] != sentence[order][:-1]
-    worst = np.unique(code[order][first])
-    return worst[np.argsort(-value[worst], kind="stable")[:HARD]]
+    out = np.full(n, -1, np.int64)
+    out[sentence[order][first]] = code[order][first]
+    return out
+
+
+def _summed(rows: np.ndarray, at: np.ndarray, code: np.ndarray, square: np.ndarray, features) -> np.ndarray:
+    """Each sentence as the sum of its words' features before their scaling, over the sentence's own scale."""
+    size = at[rows + 1] - at[rows]
+    words, place = np.unique(code[ragged(at[rows], size)], return_inverse=True)
+    own = np.repeat(np.arange(len(rows)), size)
+    each = features(words) * np.sqrt(square[words])[:, None]
+    out = np.zeros((len(rows), each.shape[1]))
+    np.add.at(out, own, each[place])
+    return out / np.sqrt(np.bincount(own, weights=square[words][place], minlength=len(rows)))[:, None]
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -264,8 +283,8 @@ def _inserted(words: list[bytes], rng: np.random.Generator) -> pa.Array:
 
 
 def sentences(text: str | None) -> list[str]:
-    """At most MAX_SENTENCES sentences of a text, evenly spread."""
-    own = [x for x in SENTENCE_END.split(text or "") if x.strip()]
+    """At most MAX_SENTENCES sentences of a text, or stretches of long ones, evenly spread."""
+    own = [x[:MAX_CHARS] for part in SENTENCE_END.split(text or "") for x in STRETCH.findall(part)]
     return own if len(own) <= MAX_SENTENCES else [own[i * len(own) // MAX_SENTENCES] for i in range(MAX_SENTENCES)]
 
 
@@ -291,32 +310,49 @@ def train(texts: list[str], toxic: list[int]) -> Model:
     value[(pos < 2) | (value < np.log(20)) & (neg > 0)] = -9
     long_enough = _letters(bag.vocab) >= 3
     value[~long_enough] = -9
-    clean = np.flatnonzero((neg > 0) & long_enough)
-    frequent = clean[np.argsort(-neg[clean], kind="stable")[: NEGATIVES // 2]]
-    negative = np.union1d(frequent, rng.choice(clean, min(len(clean), NEGATIVES // 2), replace=False)) if len(clean) else clean
     mine = np.unique(text_of[sentence[learnt & bad]] * v + code[learnt & bad])
     good = _witnesses(mine // v, mine % v, value, v)
     good = good[np.argsort(-pos[good], kind="stable")]
-    clean_sentence, clean_code = sentence[learnt & ~bad], code[learnt & ~bad]
-    usable = long_enough[clean_code]
-    clean_sentence, clean_code = clean_sentence[usable], clean_code[usable]
-    inserted = _inserted([w for w in bag.vocab.take(pa.array(good, pa.int64())).to_pylist() if w.isalpha() and len(w) >= 5], rng)
-    model = None
-    for _ in range(ROUNDS if len(good) and len(negative) else 0):
-        half = LANDMARKS // 2
-        few = negative[np.argsort(-neg[negative], kind="stable")]
-        near = negative[np.argsort(-value[negative], kind="stable")]
-        marks = np.concatenate([good[:half], few[: half // 4], near[: half - half // 4]])
-        features, fold = _nystroem(bag.vocab, np.unique(marks))
-        words = pa.concat_arrays([bag.vocab.take(pa.array(np.concatenate([good, negative]))), inserted])
-        label = np.concatenate([np.ones(len(good)), -np.ones(len(negative)), np.ones(len(inserted))])
-        cost = COST * np.concatenate([1 + np.log(pos[good]), 1 + np.log(neg[negative]), np.full(len(inserted), 0.3)])
-        w = _svm(features(words), label, cost)
-        weight, bias = fold(w[:-1]), float(w[-1])
-        value = decision(bag.vocab, weight, bias)
-        value[~long_enough] = bias
-        negative = np.union1d(negative, _worst_words(clean_sentence, clean_code, value))
-        model = (weight, bias)
+    clean = np.flatnonzero((neg > 0) & long_enough)
+    clean = clean[np.argsort(-neg[clean], kind="stable")]  # the most frequent first
+    usable = long_enough[code]
+    sentence, code, learnt, bad = sentence[usable], code[usable], learnt[usable], bad[usable]
+    total = len(text_of)
+    at = np.searchsorted(sentence, np.arange(total + 1))
+    positive = np.unique(sentence[learnt & bad & np.isin(code, good)])
+    harmless = np.unique(sentence[learnt & ~bad])
+    negative = rng.choice(harmless, min(len(harmless), NEGATIVES), replace=False)
+    square = _square(_letters(bag.vocab))
+    quarter = LANDMARKS // 4
+    model = worst = None
+    for _ in range(ROUNDS if len(positive) and len(negative) else 0):
+        if worst is None:
+            others = rng.choice(clean, min(len(clean), quarter), replace=False)
+        else:
+            others = np.unique(worst[negative])
+            others = others[np.argsort(-value[others], kind="stable")][:quarter]
+        features, fold = _nystroem(bag.vocab, np.unique(np.concatenate([good[: 2 * quarter], clean[:quarter], others])))
+        of = lambda words: features(bag.vocab.take(pa.array(words)))  # noqa: B023, E731
+        rows = np.concatenate([positive, negative])
+        label = np.where(np.arange(len(rows)) < len(positive), 1.0, -1.0)
+        cost = np.full(len(rows), COST)
+        if worst is None:
+            z = _summed(rows, at, code, square, of)
+        else:
+            words, place = np.unique(worst[rows], return_inverse=True)
+            inserted = _inserted([w for w in bag.vocab.take(pa.array(worst[positive])).to_pylist() if w.isalpha() and len(w) >= 5], rng)
+            z = of(words)[place]
+            if len(inserted):
+                z = np.concatenate([z, features(inserted)])
+            label = np.concatenate([label, np.ones(len(inserted))])
+            cost = np.concatenate([cost, np.full(len(inserted), COST * INSERTED)])
+        w = _svm(z, label, cost)
+        model = fold(w[:-1]), float(w[-1])
+        value = decision(bag.vocab, *model)
+        value[~long_enough] = model[1]
+        worst = _worst_words(sentence, code, value, total)
+        hard = harmless[np.argsort(-value[worst[harmless]], kind="stable")[:HARD]]
+        negative = np.union1d(negative, hard)
     if model is None:
         return Model(np.zeros(A**3), 0.0, 0.0, float(np.log(y.mean() / (1 - y.mean()))))
     worst = np.full(len(y), model[1])

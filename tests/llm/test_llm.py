@@ -305,6 +305,28 @@ def test_license_templates_are_found_with_a_word_missing(spark, docs):
     assert "bsd" not in got[200_000]
 
 
+@pytest.mark.parametrize("partitions", [1, 16, 64])
+def test_packing_reaches_the_bound_under_any_partitions(spark, partitions):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
+    p = packing.pack(docs.repartition(partitions, "doc_id")).toPandas().sort_values(["sequence_id", "offset"])
+    by = p.groupby("sequence_id").length
+    assert by.sum().max() <= 2048 and (by.cumsum() - p.length == p.offset).all()
+    assert p.sequence_id.nunique() <= -(-p.length.sum() // 2048) + 1
+
+
+def test_dissolving_in_several_nodes_adds_no_sequence(spark, monkeypatch):
+    monkeypatch.setattr(packing, "NODE_ITEMS", 4)
+    rows = [(i, 0, 0, n, i, s, o) for i, (s, o, n) in enumerate([(1, 0, 1100), (2, 0, 1100), (3, 0, 948), (4, 0, 948), (5, 0, 2048), (6, 0, 1300), (7, 0, 1300), (8, 0, 700), (8, 700, 700)])]
+    placed = spark.createDataFrame(rows, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    for items in (4, 100):
+        monkeypatch.setattr(packing, "NODE_ITEMS", items)
+        p = packing._dissolve(placed, 2048, 2045, 3).toPandas().sort_values(["sequence_id", "offset"])
+        by = p.groupby("sequence_id").length
+        assert (by.cumsum() - p.length == p.offset).all() and by.sum().max() <= 2048 and sorted(p.doc_id) == list(range(9))
+        assert p.sequence_id.nunique() <= 8 and p[p.doc_id == 4].sequence_id.item() == 5
+    assert p.sequence_id.nunique() == 5
+
+
 # --- language and toxicity
 
 
@@ -377,6 +399,57 @@ def test_toxicity_held_out(spark):
     assert bad.sum() > 50 and got.predicted[bad].mean() > 0.85 and got.predicted[~bad].mean() < 0.02
 
 
+def _plain_kernel(a: bytes, b: bytes) -> float:
+    """Triples of letters in order within the window, each with its gap-decayed weight, over both words' scales."""
+
+    def held(word):
+        x, out = [int(toxicity.SYMBOL[c]) for c in word if toxicity.SYMBOL[c]], {}
+        for i in range(len(x)):
+            for k in range(i + 2, min(len(x), i + toxicity.WINDOW + 1)):
+                for j in range(i + 1, k):
+                    out[x[i], x[j], x[k]] = out.get((x[i], x[j], x[k]), 0) + toxicity.DECAY ** (k - i - 2)
+        square = sum(toxicity.DECAY ** (2 * (k - i - 2)) for i in range(len(x)) for k in range(i + 2, min(len(x), i + toxicity.WINDOW + 1)) for _ in range(i + 1, k))
+        return out, max(square, 1e-9) ** 0.5
+
+    (p, m), (q, n) = held(a), held(b)
+    return sum(v * q.get(t, 0) for t, v in p.items()) / m / n
+
+
+def test_toxicity_kernel_against_plain_loops():
+    marks = [b"idiot", b"clown", b"pathetic", b"the", b"reading", "größe".encode()]
+    words = [b"idiot", b"id-iot", b"idxiot", b"CLOWNS", b"clwn", b"on", b"", b"###", "GrÖße".encode(), b"a" * 50, b"there", b"x1y2z3"]
+    vocab = pa.array(marks, pa.binary())
+    features, fold = toxicity._nystroem(vocab, np.arange(len(marks)))
+    got = features(pa.array(words, pa.binary()))
+    among = np.array([[_plain_kernel(a, b) for b in marks] for a in marks])
+    value, vector = np.linalg.eigh(among)
+    across = np.array([[_plain_kernel(a, b) for b in marks] for a in words])
+    want = across @ (vector / np.maximum(value, 1e-6)) @ vector.T @ across.T  # Nyström's estimate of the words' kernels
+    assert np.abs(got @ got.T - want).max() < 1e-4 and np.abs(want[0, 0] - among[0, 0]) < 1e-6
+    w = np.random.default_rng(3).normal(size=len(marks))
+    assert np.abs(toxicity.decision(pa.array(words, pa.binary()), fold(w), 0.25) - (got @ w + 0.25)).max() < 1e-5
+
+
+def test_toxicity_rows_are_sentences():
+    words = pa.array([b"idiot", b"the", b"reading", b"clown"], pa.binary())
+    features, _ = toxicity._nystroem(words, np.arange(4))
+    sentence, code = np.array([0, 0, 0, 2, 2]), np.array([0, 1, 1, 2, 3])
+    square = toxicity._square(toxicity._letters(words))
+    rows = toxicity._summed(np.array([2, 0]), np.searchsorted(sentence, np.arange(4)), code, square, lambda c: features(words.take(pa.array(c))))
+    own = features(words) * np.sqrt(square)[:, None]
+    assert np.allclose(rows[0], (own[2] + own[3]) / np.sqrt(square[2] + square[3]))
+    assert np.allclose(rows[1], (own[0] + 2 * own[1]) / np.sqrt(square[0] + 2 * square[1]))
+    assert toxicity._worst_words(sentence, code, np.array([3.0, 1.0, 2.0, 5.0]), 3).tolist() == [0, -1, 3]
+
+
+def test_toxicity_sample_is_bounded_in_characters():
+    long = "word " * 400_000 + "x" * 1_000_000
+    own = toxicity.sentences(long)
+    assert len(own) == toxicity.MAX_SENTENCES and max(map(len, own)) <= toxicity.MAX_CHARS
+    assert toxicity.sentences("\n".join(own)) == own  # the sample is split again where it is learnt from
+    assert toxicity.sentences("a b. c\nd") == ["a b.", "c", "d"] and toxicity.sentences(" \n ") == []
+
+
 def test_toxicity_reads_sentences():
     text = " ".join(f"Sentence {i} here." for i in range(1000))
     own = toxicity.sentences(text)
