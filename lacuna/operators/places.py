@@ -10,22 +10,37 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lacuna.functions.scalar import col
-from lacuna.operators import djoin, lattice, outlines, region
+from lacuna.operators import djoin, lattice, outlines, region, stream
 from lacuna.operators.graph import cut
 
+#: Edges of a polygon that may go with each of its cells.
+FEW = 32
+
 
 def near_regions(points: DataFrame, polygons: DataFrame, reach: float, bucket: float, keys: list[str], far: bool = True) -> DataFrame:
     """Points with each polygon (its columns keys) that contains them or is at most reach away: inside, boundary_m.
 
-    On the boundary: not inside, at distance 0. Points without a place meet nothing; equal points are answered once. Without far, boundary_m is
-    null where it is more than reach, else it is found for points deep inside too.
+    On the boundary: not inside, at distance 0. Points without a place meet nothing. Without far, boundary_m is
+    null where it is more than reach, else it is found for points deep inside too: for polygons of at most FEW edges from
+    all of them, where points and polygons meet; for others by a descent of each pair.
     """
     e = outlines.edges(polygons, keys)
-    met = outlines.held(outlines.spots(points), e, bucket, reach)
-    if far:
-        met = cut(met)
-        deep = outlines.to_boundary(met.where("boundary_m IS NULL"), e, bucket)
-        met = met.where("boundary_m IS NOT NULL").unionByName(deep.withColumn("inside", F.lit(True)))
+    named = lambda met: met.select("pt.*", *(F.col("_key")[k].alias(k) for k in keys), "inside", "boundary_m")
+    if not far:
+        return named(stream.meet(points, e, bucket, "pairs", reach))
+    large = e.groupBy("_polygon").agg(F.count("*").alias("n")).where(F.col("n") > FEW).select("_polygon")
+    large = cut(large)
+    if large.isEmpty():
+        return named(stream.meet(points, e, bucket, "pairs", reach, far=True))
+    small = named(stream.meet(points, cut(e.join(large, "_polygon", "left_anti")), bucket, "pairs", reach, far=True))
+    return small.unionByName(_descended(points, cut(e.join(large, "_polygon", "left_semi")), reach, bucket, keys))
+
+
+def _descended(points: DataFrame, e: DataFrame, reach: float, bucket: float, keys: list[str]) -> DataFrame:
+    """near_regions of polygons of many edges; equal points are answered once."""
+    met = cut(outlines.held(outlines.spots(points), e, bucket, reach))
+    deep = outlines.to_boundary(met.where("boundary_m IS NULL"), e, bucket)
+    met = met.where("boundary_m IS NOT NULL").unionByName(deep.withColumn("inside", F.lit(True)))
     met = met.join(e.select("_polygon", "_key").distinct(), "_polygon").select(F.col("x").alias("_x"), F.col("y").alias("_y"), "_key", "inside", "boundary_m")
     here = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
     return points.join(met, here).select(*points.columns, *(F.col("_key")[k].alias(k) for k in keys), "inside", "boundary_m")
@@ -41,9 +56,21 @@ def tier_report(points: DataFrame, polygons: DataFrame, keys: list[str], bucket:
 def zone_info(points: DataFrame, zones: DataFrame, keys: list[str], bucket: float, excluded: list | None = None) -> DataFrame:
     """keys and zones, a map from each zone that holds the point to its spacing (C16). zones: zone, spacing, ring."""
     seen = zones.where(~F.col("zone").isin(excluded)) if excluded else zones
-    met = near_regions(points, seen, 0.0, bucket, ["zone", "spacing"], far=False).where("inside")
-    found = met.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_set(F.struct("zone", "spacing")))).alias("zones"))
-    return points.select(*keys).join(found, keys, "left")
+    found = stream.meet(points, outlines.edges(seen, ["zone", "spacing"]), bucket, "lists")
+    placed = "abs(CAST(x AS double)) < double('infinity') AND abs(CAST(y AS double)) < double('infinity')"
+    none = points.where(f"NOT coalesce({placed}, false)").select(*keys, F.lit(None).cast(found.schema["held"].dataType).alias("held"))
+    found = found.select(*(F.col("pt")[k].alias(k) for k in keys), "held").unionByName(none)
+    several = lambda df, by: not df.groupBy(*by).agg(F.count("*").alias("_n")).where("_n > 1").isEmpty()
+    held = F.array_distinct("held") if several(seen, ["zone"]) else F.col("held")
+    if several(points, keys):  # what rows of one key meet is put together; null keys are not joined
+        every = found.where("size(held) > 0").groupBy(*keys).agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("held")))).alias("held"))
+        found, held = points.select(*keys).join(every, keys, "left"), F.col("held")
+    elif keys:
+        known = F.lit(True)
+        for k in keys:
+            known = known & F.col(k).isNotNull()
+        held = F.when(known, held)
+    return found.select(*keys, F.when(F.size(held) > 0, F.map_from_entries(held)).alias("zones"))
 
 
 def nearest_region(points: DataFrame, polygons: DataFrame, keys: list[str], key: str, start: float) -> DataFrame:
@@ -52,13 +79,15 @@ def nearest_region(points: DataFrame, polygons: DataFrame, keys: list[str], key:
     Those that no polygon holds descend a pyramid of the cells with edges, start wide at the bottom.
     """
     e = outlines.edges(polygons, [key])
-    at = outlines.spots(points)
-    met = outlines.held(at, e, start).join(e.select("_polygon", "_key").distinct(), "_polygon")
-    held = cut(met.groupBy("x", "y").agg(F.min("_key").alias("_key")).withColumn("distance", F.lit(0.0)))
-    out = held.unionByName(outlines.nearest_edge(at.join(held, ["x", "y"], "left_anti"), e, start))
-    out = out.select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_key")[key].alias("region"), "distance")
+    out = stream.meet(points.select(*dict.fromkeys([*keys, "x", "y"])), e, start, "least")
+    out = cut(out.select("pt", "found", F.col("_key")[key].alias("region")))
+    lost = out.where("NOT found").select("pt.*")
+    near = outlines.nearest_edge(outlines.spots(lost), e, start).select(F.col("x").alias("_x"), F.col("y").alias("_y"), F.col("_key")[key].alias("region"), "distance")
     here = (F.col("x").cast("double") == F.col("_x")) & (F.col("y").cast("double") == F.col("_y"))
-    return points.join(out, here, "left").select(*keys, "region", "distance")
+    lost = lost.join(near, here, "left").select(*keys, "region", "distance")
+    placed = "abs(CAST(x AS double)) < double('infinity') AND abs(CAST(y AS double)) < double('infinity')"
+    none = points.where(f"NOT coalesce({placed}, false)").select(*keys, F.lit(None).cast(out.schema["region"].dataType).alias("region"), F.lit(None).cast("double").alias("distance"))
+    return out.where("found").select(*(F.col("pt")[k].alias(k) for k in keys), "region", F.lit(0.0).alias("distance")).unionByName(lost).unionByName(none)
 
 
 def centreline_points(lines: DataFrame, keys: list[str], spacing: str = "spacing") -> DataFrame:
