@@ -42,3 +42,23 @@ def test_tier_report_ships_no_pairs(spark, monkeypatch, task):
                 want[i, k] = (round(-away, 2), None) if away < 0 else (None, round(float(away), 2))
     assert got.keys() == want.keys() and len(want) > 100
     assert all(got[p] == pytest.approx(want[p], abs=0.0101) for p in want)
+
+
+def test_zone_info_ships_no_pairs(spark):
+    (shapes, polygons), (at, points) = squares(spark), spots(spark)
+    more = points.unionByName(spark.createDataFrame([(900, None, 1.0), (901, 1e6, 1e6), (None, 0.0, 0.0)], "id long, x double, y double"))
+    df = places.zone_info(more, polygons, ["id"], 5.0, [3])
+    above = plan(df).split("MapInArrow", 1)
+    assert len(above) == 2 and not any(x in above[0] for x in ("Exchange", "Aggregate", "Join"))
+    got = {r.id: r.zones for r in df.collect()}
+    want = {i: {k: 100 + k for k, a, b in shapes if k != 3 and a < x < a + 4 and b < y < b + 4} or None for i, x, y in at}
+    assert got == want | {900: None, 901: None, None: None} and any(want.values())
+
+
+def test_zone_info_of_repeated_rows(spark):
+    """An id at two places has the zones of both; a zone in two rows counts once."""
+    (_, polygons), (_, points) = squares(spark, 3), spots(spark, 0)
+    x, y = polygons.where("zone = 1").select("ring").first().ring[0][0]
+    two = spark.createDataFrame([(1, x + 1, y + 1), (1, x + 2, y + 2), (2, x - 900, y)], "id long, x double, y double")
+    rows = places.zone_info(two, polygons.where("zone = 1").unionByName(polygons.where("zone = 1")), ["id"], 5.0).collect()
+    assert sorted((r.id, r.zones) for r in rows if r.zones) == [(1, {1: 101})] * 2 and [r.zones for r in rows if r.id == 2] == [None]
