@@ -62,3 +62,16 @@ def test_zone_info_of_repeated_rows(spark):
     two = spark.createDataFrame([(1, x + 1, y + 1), (1, x + 2, y + 2), (2, x - 900, y)], "id long, x double, y double")
     rows = places.zone_info(two, polygons.where("zone = 1").unionByName(polygons.where("zone = 1")), ["id"], 5.0).collect()
     assert sorted((r.id, r.zones) for r in rows if r.zones) == [(1, {1: 101})] * 2 and [r.zones for r in rows if r.id == 2] == [None]
+
+
+def test_nearest_region_ships_a_row_a_point(spark):
+    (shapes, polygons), (at, points) = squares(spark), spots(spark)
+    met = stream.meet(points, places.outlines.edges(polygons, ["zone"]), 5.0, "least")
+    assert met.count() == len(at) and "MapInArrow" in plan(met).split("Exchange", 1)[0]
+    got = {r.id: (r.region, r.distance) for r in places.nearest_region(points.unionByName(spark.createDataFrame([(900, None, 1.0)], "id long, x double, y double")), polygons, ["id"], "zone", 5.0).collect()}
+    assert got.pop(900) == (None, None) and len(got) == len(at)
+    for i, x, y in at:
+        away = {k: float(np.hypot(max(a - x, x - a - 4, 0), max(b - y, y - b - 4, 0))) for k, a, b in shapes}
+        least = min(away.values())
+        assert got[i][1] == pytest.approx(least, abs=1e-9)
+        assert got[i][0] == min(k for k, d in away.items() if d <= least + 1e-9)
