@@ -66,6 +66,44 @@ def distance_join(left: DataFrame, right: DataFrame, radius: float | str | Colum
     return one.join(other, meet, how).withColumn("distance", apart).drop("_bx", "_by", "_cx", "_cy")
 
 
+def counted(left: DataFrame, right: DataFrame, radius: float, keys: list[str], fine: int = 12, few: float = 5e7) -> DataFrame:
+    """keys, near (how many right rows are at most radius away) and least (the least of their distances, else null).
+
+    Where the buckets of `distance_join` would bring together more than few pairs, the rows are dealt over cells of
+    radius / fine: a right cell that is within the radius as a whole counts for all rows of a left cell at once, and
+    single rows are compared only where a cell lies across the radius or may hold a row's nearest one. Rows of equal keys count together.
+    """
+    mine = left.select(*keys, F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
+    real = "abs(x) < double('infinity') AND abs(y) < double('infinity')"
+    place = mine.where(real)
+    other = right.select(F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y")).where(real)
+    cell = lambda df, w: df.withColumns({"_u": F.floor(F.col("x") / w), "_v": F.floor(F.col("y") / w)})
+    per = lambda df, w: cell(df, w).groupBy("_u", "_v").agg(F.count("*").cast("double").alias("n"))
+    around = F.explode(F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy")) for dx, dy in NEIGHBOURS]))
+    spread = per(other, radius).withColumn("_o", around).select((F.col("_u") + F.col("_o.dx")).alias("_u"), (F.col("_v") + F.col("_o.dy")).alias("_v"), F.col("n").alias("m"))
+    pairs = per(place, radius).join(spread, ["_u", "_v"]).agg(F.sum(F.col("n") * F.col("m"))).first()[0] or 0.0
+    if pairs <= few:
+        met = distance_join(mine, other, radius, how="left")
+        return met.groupBy(*keys).agg(F.count("r_x").alias("near"), F.min("distance").alias("least"))
+    w = radius / fine
+    slack = 1e-6 * w
+    here = cell(place, w)
+    there = cell(other, w).select(F.col("_u").alias("_s"), F.col("_v").alias("_t"), F.col("x").alias("r_x"), F.col("y").alias("r_y"))
+    steps = F.explode(F.sequence(F.lit(-fine - 1), F.lit(fine + 1)))
+    both = here.select("_u", "_v").distinct().withColumn("du", steps).withColumn("dv", steps).withColumns({"_s": F.col("_u") + F.col("du"), "_t": F.col("_v") + F.col("dv")})
+    away = lambda by: F.hypot(*(F.greatest(F.abs(c) + by, F.lit(0)).cast("double") for c in ("du", "dv"))) * w
+    # a little less and more than the bounds, as places are rounded
+    both = both.join(there.groupBy("_s", "_t").agg(F.count("*").alias("n")), ["_s", "_t"]).withColumns({"begin": away(-1) - slack, "end": away(1) + slack}).where(F.col("begin") <= radius)
+    both = cut(both.withColumns({"whole": F.col("end") <= radius, "bound": F.min("end").over(Window.partitionBy("_u", "_v"))}).select("_u", "_v", "_s", "_t", "n", "whole", (F.col("begin") <= F.col("bound")).alias("first")))
+    single = both.where("NOT whole OR first").select("_u", "_v", "_s", "_t", "whole").join(there, ["_s", "_t"]).drop("_s", "_t")
+    apart = distance("x", "y", "r_x", "r_y")
+    met = here.join(single, ["_u", "_v"]).withColumn("d", apart).where(F.col("d") <= radius)
+    met = met.groupBy("_u", "_v", *keys).agg(F.count_if(~F.col("whole")).alias("near"), F.min("d").alias("least")).drop("_u", "_v")
+    wholes = here.join(both.where("whole").groupBy("_u", "_v").agg(F.sum("n").alias("near")), ["_u", "_v"]).select(*keys, "near", F.lit(None).cast("double").alias("least"))
+    none = mine.select(*keys, F.lit(0).cast("long").alias("near"), F.lit(None).cast("double").alias("least"))
+    return none.unionByName(wholes).unionByName(met).groupBy(*keys).agg(F.sum("near").alias("near"), F.min("least").alias("least"))
+
+
 def nearest(left: DataFrame, right: DataFrame, keys: list[str], right_id: str, start: float, within: float | None = None) -> DataFrame:
     """keys, nearest_id and distance of the nearest right row (C8, C9, C18); the least id wins a tie.
 

@@ -165,8 +165,7 @@ def coverage_summary(spark, sf):
 
 @query(f"""WITH {P}, {S} SELECT pts.id, count(sites.id) AS near, min({d("pts", "sites")}) AS least FROM pts LEFT JOIN sites ON {d("pts", "sites")} <= 1000 GROUP BY pts.id""")
 def distance_join_left(spark, sf):
-    j = djoin.distance_join(src.points(spark, sf).select("id", "x", "y"), src.sites(spark, sf), 1000.0, how="left")
-    return j.groupBy("id").agg(F.count("r_id").alias("near"), F.min("distance").alias("least"))
+    return djoin.counted(src.points(spark, sf).select("id", "x", "y"), src.sites(spark, sf), 1000.0, ["id"])
 
 
 @query(f"""WITH {Z}, {T}, {S}, c AS (SELECT zone, EXISTS (SELECT 1 FROM sites WHERE {d("tp", "sites")} <= tp.required_radius) AS hit FROM tp)

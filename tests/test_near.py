@@ -52,3 +52,19 @@ def test_tolerance_equals_one_by_one(spark, kind):
             kept.append(i)
     got = dedupe.tolerance_dedupe(spark.createDataFrame([(i, *p) for i, p in enumerate(at)], "seq long, x double, y double"), 5.0)
     assert sorted(r.seq for r in got.collect()) == kept
+
+
+def test_counted_compares_few_pairs(spark):
+    """By cells and by pairs alike, against all pairs; whole cells count at once, so fewer rows meet than pairs are near."""
+    place = lambda n, seed: spark.range(n).selectExpr("id", f"CAST(pmod(xxhash64(id, {seed}), 1001) AS DOUBLE) AS x", f"CAST(pmod(xxhash64(id, {seed + 1}), 1001) AS DOUBLE) AS y")
+    left = place(300, 1).unionByName(spark.createDataFrame([(900, None, 1.0), (901, 9e6, 1.0), (902, float("nan"), 1.0)], "id long, x double, y double"))
+    right = place(2000, 3).unionByName(spark.createDataFrame([(900, None, 1.0)], "id long, x double, y double"))
+    p, q = left.collect(), [r for r in right.collect() if r.x is not None]
+    want = {}
+    for a in p:
+        d = [math.sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)) for b in q] if a.x is not None else []
+        d = [x for x in d if x <= 200.0]
+        want[a.id] = (len(d), min(d, default=None))
+    for few in (0, 1e9):
+        got = djoin.counted(left, right, 200.0, ["id"], few=few)
+        assert {r.id: (r.near, r.least) for r in got.collect()} == want
