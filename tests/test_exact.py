@@ -214,3 +214,17 @@ def test_service_equals_a_batch_and_drops_late_rows(spark, tmp_path):
     assert both[0] == both[1] and len(both[0]) > 50
     areas = {x.zone_id: x.covered_m2 for x in edits.zone_areas(spark.read.parquet(f"{folder}/{last}"), h).collect()}
     assert sum(areas.values()) == len(both[0]) * h * h
+
+
+def test_covered_circles_meet_no_disc(spark):
+    """Dense discs: only circles that may show are kept for the pairs, and the area is that of all of them."""
+    z = spark.createDataFrame([(1, 0.0, 0.0, 100.0, 100.0, 10.0)], "zone long, x0 double, y0 double, x1 double, y1 double, spacing double")
+    p = spark.range(4000).selectExpr("CAST(pmod(xxhash64(id, 1), 601) / 10 AS DOUBLE) AS x", "CAST(pmod(xxhash64(id, 2), 1001) / 10 AS DOUBLE) AS y")
+    d = discs.discs_of_zones(z, p)
+    left = discs.bare(d.selectExpr("zone", "x", "y", "r", "x0", "y0", "x1", "y1"))
+    assert left.columns == ["zone", "x", "y", "r", "x0", "y0", "x1", "y1"] and 0 < left.count() < d.count() / 5
+    own = np.array([(r.x, r.y) for r in d.select("x", "y").collect()])
+    h = 0.1
+    grid = (np.arange(1000) + 0.5) * h
+    most = np.array([[max((x + math.sqrt(max(100 - (y - v) ** 2, 0)) for x, v in own if abs(v - y) <= 10 and x > 50), default=0.0)] for y in grid[::10]])
+    assert discs.union_areas(d, 10.0).first().area_m2 == pytest.approx(float(np.minimum(most, 100).mean() * 100), rel=2e-3)
