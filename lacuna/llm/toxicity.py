@@ -17,9 +17,9 @@ words, and adds the clean sentences that the machine before took for the worst.
 sentence, through a logistic fit on sampled documents that the machine hasn't seen.
 
 What the fit is made from is bounded, by documented parameters: MAX_DOCS training documents of each
-label, the first by a hash of the id; of each MAX_SENTENCES stretches, evenly spread, of MAX_CHARS
-characters at most (a longer one is a single word); NEGATIVES clean sentences at random, and HARD more in
-each of ROUNDS rounds; LANDMARKS landmarks, half of them telling words of most sentences, the others words
+label, the first by a hash of the id, each with one text (of several rows of an id the least); of each
+MAX_SENTENCES stretches, evenly spread, of MAX_CHARS characters at most (a longer one is a single word);
+NEGATIVES clean sentences at random, and HARD more in each of ROUNDS rounds; LANDMARKS landmarks, half of them telling words of most sentences, the others words
 of clean sentences. Scoring reads every word of every text.
 
 Null or empty texts, and texts without a word of three letters, get the score of the bias alone.
@@ -380,6 +380,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     pair = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
     sample = pair.join(F.broadcast(ids), "doc_id").select(F.xxhash64("doc_id").alias("h"), "doc_id", "text", "toxic")  # 2 * MAX_DOCS ids at most
     sample = sample.mapInArrow(_sampled, "h long, doc_id long, text string, toxic int")
+    sample = sample.groupBy("h", "doc_id").agg(F.min("text").alias("text"), F.first("toxic").alias("toxic"))  # a row an id, however often it comes
     row = sample.repartition(1).sortWithinPartitions("h", "doc_id", "text").select("text", "toxic").mapInArrow(_train, "at array<int>, weight array<float>, bias double, slope double, shift double").first()
     if row is None:
         return train([], [])

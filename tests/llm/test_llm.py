@@ -468,6 +468,13 @@ def test_toxicity_edges(spark, odd, docs):
     assert toxicity.score(odd.limit(0), m).count() == 0 and toxicity.fit(docs.limit(0), labels).bias == 0
 
 
+def test_toxicity_learns_repeated_rows_once(spark, docs):
+    """The one task that trains has a row for each id, however often the table repeats it."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one, many = toxicity.fit(docs, labels), toxicity.fit(docs.unionByName(docs).unionByName(docs), labels)
+    assert np.array_equal(one.weight, many.weight) and (one.bias, one.slope, one.shift) == (many.bias, many.slope, many.shift)
+
+
 # --- conversations and PII
 
 
