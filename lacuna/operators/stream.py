@@ -19,6 +19,8 @@ from lacuna.operators import outlines
 
 #: Points times rows of the index that a task answers of one cell; box tests and edges that are looked at at a time.
 TASK, BOXES, EDGES = 1 << 31, 1 << 18, 1 << 18
+#: Squares that a cell is cut into along a side at most, so many places to a square; squares times polygons at most.
+SIDE, PLACES, MARKS = 32, 8, 1 << 24
 ENDS = outlines.ENDS
 PART, CROSSED, MEASURED, POINT = range(4)
 
@@ -76,6 +78,11 @@ def _answered(answer: str, w: float, reach: float, far: bool):
     return run
 
 
+def _ragged(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """Indices start[i], start[i] + 1, ... (count[i] of them), one i after the other."""
+    return np.repeat(start - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+
+
 class _Cell:
     """The polygons of one cell, in order of their keys, and their edges one polygon after the other."""
 
@@ -89,6 +96,7 @@ class _Cell:
         self.before = number("before", part).astype(np.int64)
         self.box = [number(c, part) + s * (reach * (1 + 1e-9) + 1e-9 * w) for c, s in (("x0", -1), ("y0", -1), ("x1", 1), ("y1", 1))]
         self.u, self.line, self.reach, self.far = at[0], at[1] * w, reach, far
+        self.w = w
         own = number("_polygon", part)
         by = np.argsort(own, kind="stable")
         self.edges = {}
@@ -114,8 +122,11 @@ class _Cell:
                 yield some, first, np.repeat(some, s), np.repeat(start[part[some]] - first, s) + np.arange(int(s.sum()))
             at = to
 
-    def judged(self, x: np.ndarray, y: np.ndarray, part: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of pairs of a place and a polygon: inside, and the distance to the edges that are known here (infinite without); as `outlines` has it."""
+    def judged(self, x: np.ndarray, y: np.ndarray, part: np.ndarray, away: bool = True) -> tuple[np.ndarray, np.ndarray]:
+        """Of pairs of a place and a polygon: inside, and the distance to the edges that are known here (infinite without); as `outlines` has it.
+
+        Without away only edges whose boxes hold the place count for the distance, so that it is right where it is 0.
+        """
         n, d = self.before[part], np.full(len(part), np.inf)
         _, (ax, ay, bx, by), crosses, column = self.edges[CROSSED]
         for some, first, pair, e in self._each(CROSSED, part):
@@ -126,11 +137,17 @@ class _Cell:
             above = np.where(has, left == (dx * dy > 0), eay > self.line)
             up = ((eax > px) != (ebx > px)) & above & ((dx * (py - eay) - dy * (px - eax)) * dx > 0)
             n[some] += np.add.reduceat((mine & left).astype(np.int64) + up, first)
-        kind = MEASURED if self.far else CROSSED
+        kind, pad = MEASURED if self.far else CROSSED, outlines.SLACK * self.w
         _, (ax, ay, bx, by), _, _ = self.edges[kind]
         for some, first, pair, e in self._each(kind, part):
-            px, py, eax, eay = x[pair], y[pair], ax[e], ay[e]
-            dx, dy = bx[e] - eax, by[e] - eay
+            px, py, eax, eay, ebx, eby = x[pair], y[pair], ax[e], ay[e], bx[e], by[e]
+            if not away:
+                near = np.flatnonzero((np.minimum(eax, ebx) <= px + pad) & (np.maximum(eax, ebx) >= px - pad) & (np.minimum(eay, eby) <= py + pad) & (np.maximum(eay, eby) >= py - pad))
+                if not len(near):
+                    continue
+                some, first = np.unique(pair[near], return_index=True)
+                px, py, eax, eay, ebx, eby = (c[near] for c in (px, py, eax, eay, ebx, eby))
+            dx, dy = ebx - eax, eby - eay
             square = dx * dx + dy * dy
             with np.errstate(invalid="ignore", divide="ignore"):
                 t = np.where(square > 0, np.clip(((px - eax) * dx + (py - eay) * dy) / square, 0.0, 1.0), 0.0)
@@ -160,11 +177,67 @@ class _Cell:
             unknown = np.isinf(d) if self.far else d > self.reach
             yield pa.RecordBatch.from_arrays([pt.take(pa.array(i)), self.key.take(pa.array(k)), pa.array(inside), pa.array(d, mask=unknown)], ["pt", "_key", "inside", "boundary_m"])
 
+    def _edged(self, g: int) -> np.ndarray:
+        """Of g times g squares of the cell, by rows, and each polygon (square, polygon): does an edge come near the square?"""
+        start, (ax, ay, bx, by), _, _ = self.edges[CROSSED]
+        owner, s, pad = np.repeat(np.arange(len(self.key)), np.diff(start)), self.w / g, outlines.SLACK * self.w
+        out = np.zeros((g * g, len(self.key)), bool)
+
+        def squares(low: np.ndarray, high: np.ndarray, base: float) -> tuple[np.ndarray, np.ndarray]:
+            """Which of these stretches meet the cell, once for each row or column of squares, and the row or column."""
+            a, b = (np.clip(np.floor((c - base) / s), -1, g).astype(np.int64) for c in (low - pad, high + pad))
+            a, n = np.maximum(a, 0), np.maximum(np.minimum(b, g - 1) - np.maximum(a, 0) + 1, 0)
+            return np.repeat(np.arange(len(n)), n), _ragged(a, n)
+
+        e, row = squares(np.minimum(ay, by), np.maximum(ay, by), self.line)
+        ax, ay, bx, by, owner = ax[e], ay[e], bx[e], by[e], owner[e]
+        dx, dy, left, right = bx - ax, by - ay, np.minimum(ax, bx), np.maximum(ax, bx)
+        low, high = np.maximum(np.minimum(ay, by), self.line + row * s - pad), np.minimum(np.maximum(ay, by), self.line + (row + 1) * s + pad)
+        with np.errstate(invalid="ignore", divide="ignore"):
+            p, q = (np.where(dy == 0, c, ax + (y - ay) / dy * dx) for y, c in ((low, left), (high, right)))
+        e, column = squares(np.clip(np.minimum(p, q), left, right), np.clip(np.maximum(p, q), left, right), self.u * self.w)
+        out[row[e] * g + column, owner[e]] = True
+        return out
+
     def lists(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-        for pt, i, k, inside, _ in self._blocks(batch):
-            i, k = i[inside], k[inside]
-            offsets = np.searchsorted(i, np.arange(len(pt) + 1)).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pt, pa.ListArray.from_arrays(pa.array(offsets), self.key.take(pa.array(k)))], ["pt", "held"])
+        """The cell is cut into squares: polygons without an edge near a square hold all of its places or none, so one place is judged for them."""
+        x, y = (batch.column(batch.schema.get_field_index(c)).to_numpy(zero_copy_only=False) for c in "xy")
+        n = max(1, len(self.key))
+        g = max(1, min(SIDE, int(np.sqrt(min(len(x) / PLACES, MARKS / n)))))
+        column, row = (np.clip(np.floor((c - base) * (g / self.w)), 0, g - 1).astype(np.int64) for c, base in ((x, self.u * self.w), (y, self.line)))
+        order = np.argsort(row * g + column, kind="stable")
+        x, y, pt = x[order], y[order], batch.column(batch.schema.get_field_index("pt")).take(pa.array(order))
+        square, first, own = np.unique((row * g + column)[order], return_index=True, return_inverse=True)
+        edged = self._edged(g)[square]
+        met, poly = np.nonzero(edged)
+        met = np.searchsorted(met, np.arange(len(square) + 1))
+        at, k = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for a in range(0, len(square), max(1, BOXES // n)):
+            one = first[a : a + max(1, BOXES // n)]
+            i, j = self._boxed(x[one], y[one], 0, len(self.key))
+            i, j = (c[~edged[a + i, j]] for c in (i, j))
+            inside = self.judged(x[one][i], y[one][i], j, False)[0]
+            at.append(a + i[inside])
+            k.append(j[inside])
+        whole = np.concatenate(k)
+        held = np.searchsorted(np.concatenate(at), np.arange(len(square) + 1))
+        total = np.cumsum((np.diff(met) + np.diff(held))[own])
+        a = 0
+        while a < len(x):
+            b = max(a + 1, int(np.searchsorted(total, (total[a - 1] if a else 0) + BOXES, side="right")))
+            of = own[a:b]
+            size = np.diff(held)[of]
+            i, j = np.repeat(np.arange(b - a), size), whole[_ragged(held[of], size)]
+            size = np.diff(met)[of]
+            p, q = np.repeat(np.arange(b - a), size), poly[_ragged(met[of], size)]
+            px, py = x[a:b][p], y[a:b][p]
+            near = (px >= self.box[0][q]) & (px <= self.box[2][q]) & (py >= self.box[1][q]) & (py <= self.box[3][q])
+            p, q = p[near], q[near]
+            inside = self.judged(px[near], py[near], q, False)[0]
+            code = np.sort(np.concatenate([i * n + j, p[inside] * n + q[inside]]))
+            offsets = np.searchsorted(code, np.arange(b - a + 1) * n).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([pt.slice(a, b - a), pa.ListArray.from_arrays(pa.array(offsets), self.key.take(pa.array(code % n)))], ["pt", "held"])
+            a = b
 
     def least(self, batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         """Polygons are tried in order of their keys, so few are tried where many hold a place."""

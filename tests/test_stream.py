@@ -1,6 +1,7 @@
 """Points past the polygons of their cell: no shuffle of pairs, cells dealt over tasks, odd keys."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lacuna.operators import places, stream
@@ -55,6 +56,48 @@ def test_zone_info_ships_no_pairs(spark):
     assert got == want | {900: None, 901: None, None: None} and any(want.values())
 
 
+def test_zone_info_judges_one_place_for_a_square(spark, monkeypatch):
+    """Triangles, notches, holes and corners on lattice points, against the plain way; few pairs are judged where places are crowded."""
+    rng = np.random.default_rng(9)
+    rings = [[[tuple(map(float, p)) for p in rng.integers(-12, 12, (int(rng.integers(3, 7)), 2))] for _ in range(int(rng.integers(1, 3)))] for _ in range(40)]
+    polygons = spark.createDataFrame([(k, 100 + k, r) for k, r in enumerate(rings)], f"zone long, spacing long, ring {RING}")
+    at = rng.uniform(-13, 13, (3000, 2))
+    at[:1000] = np.round(at[:1000])  # on edges and corners
+    points = spark.createDataFrame([(i, *map(float, p)) for i, p in enumerate(at)], "id long, x double, y double")
+    near = places.near_regions(points, polygons, 0.0, 5.0, ["zone"], far=False).where("inside")
+    want = {}
+    for r in near.select("id", "zone").collect():
+        want.setdefault(r.id, set()).add(r.zone)
+    got = {r.pt.id: [z.zone for z in r.held] for r in stream.meet(points, places.outlines.edges(polygons, ["zone"]), 5.0, "lists").collect()}
+    assert {i: set(z) for i, z in got.items() if z} == want and all(z == sorted(z) for z in got.values()) and len(got) == 3000
+
+    judged = []
+    plain = stream._Cell.judged
+    monkeypatch.setattr(stream._Cell, "judged", lambda self, x, *a: judged.append(len(x)) or plain(self, x, *a))
+    rows = stream.outlines.index(stream.outlines.edges(squares(spark)[1].select("zone", "ring"), ["zone"]), 40.0).where("u = 0 AND v = 0").toPandas()
+    cell = cell_of(rows, 40.0)
+    x, y = rng.uniform(0, 14, (2, 8000))
+    pt = pa.array(np.arange(8000))
+    out = list(cell.lists(pa.RecordBatch.from_arrays([pa.array(x), pa.array(y), pt], ["x", "y", "pt"])))
+    pairs = sum(len(b.column(1).flatten()) for b in out)
+    assert sum(b.num_rows for b in out) == 8000 and 0 < sum(judged) < pairs
+
+
+def cell_of(rows, w):
+    """A task's cell, from rows of the index."""
+    by = {k: g for k, g in rows.groupby("_polygon")}
+    box = {k: (g.ax.min(), g.ay.min(), g.bx.max(), g.by.max()) for k, g in by.items()}
+    t = []
+    for k, g in by.items():
+        for r in g.itertuples():
+            part = np.isnan(r.ax)
+            t.append({"kind": stream.PART if part else stream.CROSSED, "_polygon": k, "_key": k, "before": int(r.before) if part else None, "c": None if part or np.isnan(r.c) else int(r.c)}
+                     | dict(zip(("x0", "y0", "x1", "y1"), box[k], strict=True)) | {c: None if part else getattr(r, c) for c in stream.ENDS})
+    t.sort(key=lambda r: (r["kind"], r["_key"]))
+    schema = pa.schema([("kind", pa.int32()), ("_polygon", pa.int64()), ("_key", pa.int64()), ("before", pa.int64()), ("c", pa.int64()), *((c, pa.float64()) for c in ("x0", "y0", "x1", "y1", *stream.ENDS))])
+    return stream._Cell([pa.RecordBatch.from_pylist(t, schema=schema)], schema, (0, 0), w, 0.0, False)
+
+
 def test_zone_info_of_repeated_rows(spark):
     """An id at two places has the zones of both; a zone in two rows counts once."""
     (_, polygons), (_, points) = squares(spark, 3), spots(spark, 0)
